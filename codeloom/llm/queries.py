@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import secrets
 from codeloom.llm.common import table
+from codeloom.llm.language import identify
 from codeloom.llm.packing import pack
 from codeloom.llm.simhash import near_duplicates
 from codeloom.llm.token_counts import count_tokens
+from codeloom.llm.toxicity import toxicity
 
 #: Vocabulary files: read from the installed package on every machine, never copied.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -22,6 +24,14 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, locate=None).drop("offending")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), 512)
 
@@ -37,6 +47,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
