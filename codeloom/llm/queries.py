@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import secrets
+from codeloom.llm import secrets, substrings
 from codeloom.llm.ann import nearest
 from codeloom.llm.common import table
 from codeloom.llm.language import identify
@@ -37,6 +37,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), 512)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -55,8 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
+    "op6_substrings": op6_substrings,
     "op7_nearest": op7_nearest,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {"op1_secrets": secrets.oracle()}
+ORACLES: dict[str, str] = {"op1_secrets": secrets.oracle(), "op6_substrings": substrings.oracle()}
