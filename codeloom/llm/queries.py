@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codeloom.llm import secrets, substrings
 from codeloom.llm.ann import nearest
 from codeloom.llm.common import table
+from codeloom.llm.decontamination import contaminated
 from codeloom.llm.language import identify
 from codeloom.llm.packing import pack
 from codeloom.llm.simhash import near_duplicates
@@ -37,6 +38,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), 512)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
+    "op5_decontamination": op5_decontamination,
     "op6_substrings": op6_substrings,
     "op7_nearest": op7_nearest,
     "op9_packing": op9_packing,
