@@ -12,6 +12,7 @@ from codeloom.llm import secrets, substrings
 from codeloom.llm.ann import nearest
 from codeloom.llm.common import table
 from codeloom.llm.decontamination import contaminated
+from codeloom.llm.html_text import extract
 from codeloom.llm.language import identify
 from codeloom.llm.packing import pack
 from codeloom.llm.simhash import near_duplicates
@@ -50,6 +51,10 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 2048)
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_substrings": op6_substrings,
     "op7_nearest": op7_nearest,
+    "op8_main_text": op8_main_text,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
