@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import cut, slices
@@ -125,3 +125,53 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, text: st
     found = components(links(fps, radius))
     named = fps.join(found, fps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return own.join(named, "fp", "left").select(key, "fp", "component_id")
+
+
+def shingle_sets(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs → key, shingles: sorted distinct hashes, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            sets = []
+            for t in b.column(text).to_pylist():
+                w = words(t)
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))] if w else [], np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(sets, pa.binary())], [key, "shingles"])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} long, shingles binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose texts have that Jaccard similarity of word shingles or more."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    sets = cut(shingle_sets(docs.join(ends, key, "left_semi"), shingle, text, key).groupBy(key).agg(F.min("shingles").alias("shingles")))
+    both = pairs.join(sets.select(F.col(key).alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col(key).alias("b"), F.col("shingles").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(common >= similarity * (len(x) + len(y) - common))
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one document, that of the smallest key, of each group of near duplicates: equal fingerprints, or fingerprints within the radius and texts of that similarity.
+
+    Rows that repeat a key are one document, of which one row stays; rows without a key belong to no group and stay.
+    """
+    own = cut(fingerprint_docs(docs.filter(F.col(key).isNotNull()), shingle, text, key))
+    fps = own.groupBy("fp").agg(F.min(key).alias("rep"))
+    found = components(verified(links(fps, radius), docs, similarity, shingle, text, key))
+    named = fps.join(found, fps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("kept"))
+    gone = own.join(named, "fp").filter(F.col(key) != F.col("kept")).select(key).distinct()
+    rest = docs.join(gone, key, "left_anti")
+    again = own.groupBy(key).count().filter("count > 1").select(key)
+    order = Window.partitionBy(key).orderBy(*[F.xxhash64(c) for c in (text,)], F.xxhash64(*docs.columns))
+    single = rest.join(again, key, "left_anti")
+    repeated = rest.join(again, key, "left_semi").withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    return single.unionByName(repeated).select(*docs.columns)
