@@ -31,7 +31,7 @@ from codeloom.llm.common import cut, slices
 #: Parts that each length is ranked in.
 SALTS = 256
 #: Known chunks are kept up to so many.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 
 
 class ChunkEncoder:
@@ -54,7 +54,11 @@ class ChunkEncoder:
         """→ all ids in a row, ids of each text."""
         if len(self.slot) > CACHE_ENTRIES:
             self._clear()
-        chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token, whose case would matter
+            # The vocabulary has lower case only, and a mark between a letter and white space is a pre-token of its own: fewer distinct chunks.
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,])(\s)", r"\1 \2\3")
+        chunks = pc.ascii_split_whitespace(texts)
         coded = chunks.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         slot = self.slot
