@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from codeloom.plans import graph_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.Q}
+ORACLES: dict[str, str] = {**graph_queries.O}
