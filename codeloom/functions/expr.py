@@ -58,11 +58,7 @@ def extension(path: str | Column) -> Column:
 
 def language(path: str | Column) -> Column:
     """Language by extension, null where the file isn't a source."""
-    out = None
-    for name, ext in EXTENSIONS.items():
-        test = extension(path).isin(ext)
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out
+    return F.create_map(*[F.lit(v) for name, ext in EXTENSIONS.items() for e in ext for v in (e, name)])[extension(path)]
 
 
 def is_test_path(path: str | Column) -> Column:

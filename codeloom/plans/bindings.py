@@ -62,7 +62,7 @@ TARGETS = """SELECT CAST(p_partkey AS BIGINT) AS symbol_index, 'p' || CAST(p_par
 
 #: Lines of code made from rows, some as comments or under tests, so that detectors and their exclusions have something to find.
 CODE = """SELECT 'src/m' || CAST(o_orderkey % 50 AS STRING) || '/o' || CAST(o_orderkey % 700 AS STRING) || CASE WHEN o_orderkey % 11 = 0 THEN '_test.py' ELSE '.rs' END AS file_path, CAST(o_orderkey AS INT) AS line,
- CASE WHEN o_orderkey % 13 = 0 THEN '// ' ELSE '' END || CASE o_orderkey % 5 WHEN 0 THEN 'if (mode == "' || o_orderpriority || '") {' WHEN 1 THEN 'let url = "http://' || lower(o_orderstatus) || '.internal/x' || CAST(o_orderkey % 9 AS STRING) || '";' WHEN 2 THEN 'let k = env::var("KEY_' || CAST(o_custkey % 30 AS STRING) || '");' WHEN 3 THEN 'call("Order/' || CAST(o_custkey % 200 AS STRING) || '", "x");' ELSE 'let s = "http://www.w3.org/2000/svg";' END AS content FROM {orders}
+ CASE WHEN o_orderkey % 13 = 0 THEN '// ' ELSE '' END || CASE o_orderkey % 5 WHEN 0 THEN 'if (mode == "' || o_orderpriority || '") do' WHEN 1 THEN 'let url = "http://' || lower(o_orderstatus) || '.internal/x' || CAST(o_orderkey % 9 AS STRING) || '";' WHEN 2 THEN 'let k = env::var("KEY_' || CAST(o_custkey % 30 AS STRING) || '");' WHEN 3 THEN 'call("Order/' || CAST(o_custkey % 200 AS STRING) || '", "x");' ELSE 'let s = "http://www.w3.org/2000/svg";' END AS content FROM {orders}
  UNION ALL SELECT 'app/e' || CAST(user_id % 40 AS STRING) || CASE event_type WHEN 'click' THEN '.php' WHEN 'view' THEN '.js' WHEN 'error' THEN '.rb' ELSE '.py' END, CAST(event_id AS INT),
  CASE WHEN event_id % 17 = 0 THEN '# ' ELSE '' END || CASE event_id % 6 WHEN 0 THEN 'eval(' || event_type || ')' WHEN 1 THEN 'os.system(' || event_type || ')' WHEN 2 THEN 'x = request.GET' WHEN 3 THEN 'child_process.exec(req.query)' WHEN 4 THEN 'exec($_GET[k])' ELSE 'Marshal.load(params[1])' END FROM {events}"""
 

@@ -181,7 +181,7 @@ def _(s, d):
 i AS (SELECT p.c, p.n, e.* FROM {C_} e JOIN m p ON p.path = source_file_path JOIN m q ON q.path = target_file_path WHERE p.c = q.c AND {DEP} AND source_file_path <> target_file_path),
 sl AS (SELECT DISTINCT source_file_path AS src, target_file_path AS dst FROM i WHERE confidence_millis >= 900), sr(a, z) AS (SELECT src, dst FROM sl UNION SELECT sr.a, sl.dst FROM sr JOIN sl ON sl.src = sr.z),
 sc AS (SELECT x.a AS path, count(*) AS k FROM sr x JOIN sr y ON x.a = y.z AND x.z = y.a GROUP BY x.a), core AS (SELECT c, max(k) AS k FROM m LEFT JOIN sc USING (path) GROUP BY c),
-tr AS (SELECT c, relation_kind, count(*) AS k, CASE relation_kind WHEN 'Import' THEN 0 WHEN 'Call' THEN 1 WHEN 'TypeUse' THEN 6 WHEN 'Extends' THEN 7 ELSE 8 END AS o FROM i GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY c ORDER BY k DESC, o) <= 3)
+tr AS (SELECT c, relation_kind, count(*) AS k, CASE relation_kind WHEN 'Import' THEN 0 WHEN 'Call' THEN 1 WHEN 'TypeUse' THEN 6 WHEN 'Extends' THEN 7 ELSE 8 END AS o FROM i GROUP BY c, relation_kind QUALIFY row_number() OVER (PARTITION BY c ORDER BY k DESC, o) <= 3)
 SELECT c AS component, n::INT AS size, CASE WHEN n >= 8 AND coalesce((SELECT k FROM core WHERE core.c = g.c), 0) < 0.6 * n THEN 'ProbableArtifact' WHEN lo <> hi THEN 'Mixed' ELSE lo END AS cycle_class, CASE WHEN lo <> hi THEN 'Structural,Runtime' ELSE lo END AS layers, (SELECT string_agg(relation_kind, ',' ORDER BY k DESC, o) FROM tr WHERE tr.c = g.c) AS top_relations, edge_count
 FROM (SELECT c, n, min(layer) AS lo, max(layer) AS hi, count(*) AS edge_count FROM i GROUP BY c, n) g""")
 def _(s, d):

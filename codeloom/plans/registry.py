@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import graph_queries
+from codeloom.plans import graph_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.Q}
-ORACLES: dict[str, str] = {**graph_queries.O}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.Q, **text_queries.Q}
+ORACLES: dict[str, str] = {**graph_queries.O, **text_queries.O}
