@@ -70,12 +70,12 @@ SOURCES = "SELECT source || '/' || lang || '/' || CAST(doc_id AS STRING) || '.tx
 PAGES = "SELECT url AS file_path, html AS text FROM {pages}"
 
 #: Findings of two analyses: a third of the orders in both, some changed.
-BEFORE = "SELECT 'c' || CAST(o_custkey AS STRING) || '|' || o_orderpriority AS fingerprint, CAST(o_totalprice / 1000 AS INT) AS severity_millis, CAST(o_orderkey % 900 AS INT) AS confidence_millis, 'c' || CAST(o_custkey % 50 AS STRING) || '/f.py' AS path FROM {orders} WHERE o_orderkey % 3 <> 0"
-NOW = "SELECT 'c' || CAST(o_custkey AS STRING) || '|' || o_orderpriority AS fingerprint, CAST(o_totalprice / 1000 AS INT) + CAST(CASE WHEN o_orderkey % 5 = 0 THEN 40 ELSE 0 END AS INT) AS severity_millis, CAST(o_orderkey % 900 AS INT) AS confidence_millis, 'c' || CAST(o_custkey % 50 AS STRING) || '/f.py' AS path FROM {orders} WHERE o_orderkey % 3 <> 1"
+BEFORE = "SELECT 'c' || CAST(o_custkey AS STRING) || '|' || o_orderpriority AS fingerprint, CAST(floor(o_totalprice / 1000) AS INT) AS severity_millis, CAST(o_orderkey % 900 AS INT) AS confidence_millis, 'c' || CAST(o_custkey % 50 AS STRING) || '/f.py' AS path FROM {orders} WHERE o_orderkey % 3 <> 0"
+NOW = "SELECT 'c' || CAST(o_custkey AS STRING) || '|' || o_orderpriority AS fingerprint, CAST(floor(o_totalprice / 1000) AS INT) + CAST(CASE WHEN o_orderkey % 5 = 0 THEN 40 ELSE 0 END AS INT) AS severity_millis, CAST(o_orderkey % 900 AS INT) AS confidence_millis, 'c' || CAST(o_custkey % 50 AS STRING) || '/f.py' AS path FROM {orders} WHERE o_orderkey % 3 <> 1"
 
 #: Findings with a family, for counts and policies.
 FINDINGS = """SELECT 'f' || CAST(o_orderkey AS STRING) AS fingerprint, 'm' || CAST(o_custkey % 20 AS STRING) || '/f' || CAST(o_custkey % 120 AS STRING) AS path, CASE o_orderstatus WHEN 'F' THEN 'dead_code' WHEN 'O' THEN 'hardwiring' ELSE 'security' END AS family,
- CASE o_orderpriority WHEN '1-URGENT' THEN 'High' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium' ELSE 'Low' END AS severity, o_orderpriority AS value, CAST(o_totalprice / 1000 AS INT) AS severity_millis FROM {orders}"""
+ CASE o_orderpriority WHEN '1-URGENT' THEN 'High' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium' ELSE 'Low' END AS severity, o_orderpriority AS value, CAST(floor(o_totalprice / 1000) AS INT) AS severity_millis FROM {orders}"""
 
 SCAN = "SELECT source || '/' || lang || '/' || CAST(doc_id AS STRING) || CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.rs' WHEN 2 THEN '.php' WHEN 3 THEN '.ts' ELSE '.md' END AS relative_path, CAST(n_chars AS BIGINT) AS size_bytes, CAST(n_chars * 7 + doc_id % 3 AS BIGINT) AS content_hash FROM {documents}"
 
