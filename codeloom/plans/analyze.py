@@ -47,6 +47,7 @@ def analyze(sources: DataFrame, before: DataFrame | None = None, rules: DataFram
     e = graph.cut(edges.recovery_downgrade(edges.admitted_edges(edges.filled(found.unionByName(links))), outcomes))
     nodes, pairs = graph.file_graph(e)
     components = graph.strong_components(pairs)
+    sources = sources.withColumn("text", F.when(F.col("file_path").endswith(".vue"), masks.vue_scripts("text")).otherwise(F.col("text")))
     ranges = sources.filter(F.col("file_path").endswith(".rs")).select("file_path", F.explode(masks.rust_test_ranges("text")).alias("r")).select("file_path", "r.start", "r.end")
     lines = text.lines_of(sources)
     code = text.code_lines(lines, ranges)
