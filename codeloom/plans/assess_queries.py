@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import assess as az
 from codeloom.operators import plugins as pl
 from codeloom.operators import review as rv
+from codeloom.operators import surface as sf
 from codeloom.plans import bindings as b
 from codeloom.plans.bindings import duck, frame
 
@@ -199,3 +200,49 @@ def _(s, d):
     from codeloom.streaming.refresh import windowed_counts
 
     return windowed_counts(s, f"{d}/events.parquet")
+
+
+@add("overview", f"SELECT (SELECT count(*) FROM ({duck(b.FILES)})) AS files, (SELECT count(*) FROM {S_}) AS symbols, (SELECT count(*) FROM {C_}) AS edges, (SELECT count(*) FROM {C_} WHERE layer = 'Structural') AS structural_edges, (SELECT count(*) FROM {FD_}) AS findings")
+def _(s, d):
+    return sf.overview(frame(s, d, b.FILES), frame(s, d, b.SYMBOLS), frame(s, d, b.CYCLES), frame(s, d, b.FINDINGS)).select("files", "symbols", "edges", "structural_edges", "findings")
+
+
+@add("highlights", f"SELECT family, row_number() OVER (PARTITION BY family ORDER BY severity_millis DESC, path, fingerprint)::INT AS rank, fingerprint, path, severity_millis FROM {FD_} QUALIFY rank <= 5")
+def _(s, d):
+    return sf.highlights(frame(s, d, b.FINDINGS))
+
+
+SIZED = "SELECT 'm' || CAST(c_custkey % 22 AS STRING) || '/g' || CAST(c_custkey AS STRING) AS path, CASE c_custkey % 3 WHEN 0 THEN 'Python' ELSE 'Rust' END AS language, CAST(c_custkey * 3 AS BIGINT) AS size_bytes FROM {customer}"
+
+
+@add("zone_summary", f"""WITH f AS (SELECT split_part(path, '/', 1) AS zone, count(*) AS files, sum(size_bytes)::BIGINT AS bytes, array_to_string(list_sort(list(DISTINCT language)), ',') AS languages FROM ({duck(SIZED)}) GROUP BY 1), n AS (SELECT split_part(path, '/', 1) AS zone, count(*) AS findings FROM {FD_} GROUP BY 1), e AS (SELECT split_part(path, '/', 1) AS zone, count(*) AS entries FROM {CE_} GROUP BY 1)
+SELECT zone, coalesce(files, 0) AS files, coalesce(bytes, 0)::BIGINT AS bytes, languages, coalesce(findings, 0) AS findings, coalesce(entries, 0) AS entries FROM f FULL JOIN n USING (zone) FULL JOIN e USING (zone)""")
+def _(s, d):
+    return sf.zones(frame(s, d, SIZED), frame(s, d, b.FINDINGS), frame(s, d, CENTRAL).select("path"))
+
+
+@add("work_packets", f"""WITH {REVIEWED}, x AS (SELECT path, count(*) AS findings, max(severity_millis) AS worst, array_to_string(list_sort(list(DISTINCT family)), ',') AS families FROM w WHERE status = 'Visible' GROUP BY path)
+SELECT path, findings, worst, families, (worst + 40 * least(findings, 10) + least(floor(coalesce(centrality_millis, 0) / 10), 300))::BIGINT AS weight FROM x LEFT JOIN {CE_} USING (path) ORDER BY weight DESC, path LIMIT 8""")
+def _(s, d):
+    return sf.packets(rv.suppressed(frame(s, d, b.FINDINGS), rules(s)), frame(s, d, CENTRAL)).select("path", "findings", "worst", "families", "weight")
+
+
+@add("framework_misuse", f"SELECT file_path, line, 'framework_misuse/rust/raw_env_outside_config' AS rule FROM {CODE_} WHERE file_path LIKE '%.rs' AND content LIKE '%env::var(%' AND content NOT LIKE '//%'")
+def _(s, d):
+    return sf.misuse(frame(s, d, b.CODE))
+
+
+ACCESS = "SELECT CAST(p_partkey AS BIGINT) AS symbol_index, 'p' || CAST(p_partkey AS STRING) AS id, 'Method' AS kind, p_brand AS parent_symbol_id, CASE p_partkey % 4 WHEN 0 THEN 'set' WHEN 1 THEN 'add' WHEN 2 THEN 'get' ELSE 'has' END || upper(substr(p_name, 1, 1)) || replace(substr(p_name, 2), ' ', '') AS name, CAST(p_partkey % 997 AS INT) AS start_line FROM {part}"
+
+
+@add("state_flows", f"""WITH u AS (SELECT target_symbol_id AS id, count(*) AS uses FROM {E_} WHERE kind = 'Call' GROUP BY 1), m AS (SELECT parent_symbol_id AS carrier, id, name LIKE 'set%' OR name LIKE 'add%' AS writes, regexp_replace(lower(substr(name, 4)), 's$', '') AS slot, start_line, coalesce(uses, 0) AS uses FROM ({duck(ACCESS)}) LEFT JOIN u USING (id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY carrier, slot, writes ORDER BY uses DESC, start_line, id DESC) AS n FROM m)
+SELECT a.carrier, a.slot, a.id AS writer, z.id AS reader, least(780, 560 + CASE WHEN a.uses > 0 AND z.uses > 0 THEN 120 ELSE 0 END + CASE WHEN abs(a.start_line - z.start_line) <= 40 THEN 60 ELSE 0 END)::INT AS confidence_millis FROM k a JOIN k z ON a.carrier = z.carrier AND a.slot = z.slot AND a.writes AND NOT z.writes WHERE a.n = 1 AND z.n = 1""")
+def _(s, d):
+    return sf.state_flows(frame(s, d, ACCESS), frame(s, d, b.EDGES))
+
+
+@add("class_wiring", f"SELECT id, count(e.edge_index) FILTER (relation_kind = 'Implements') AS implementers, count(e.edge_index) FILTER (relation_kind = 'Call') AS calls FROM {S_} s LEFT JOIN {E_} e ON e.target_symbol_id = s.id WHERE s.kind = 'Class' GROUP BY id")
+def _(s, d):
+    none = s.createDataFrame([], "symbol_id string")
+    return sf.wiring(frame(s, d, b.SYMBOLS), frame(s, d, b.EDGES), none).select("id", "implementers", "calls")
