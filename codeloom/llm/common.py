@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
@@ -29,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files that nothing refers to any more: after a cut, all that led to it. Else they stay until the driver's JVM happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,6 +49,14 @@ def py_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+def sampled(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """About `most` rows (all, if there are no more), those of small hashes of their keys, each key once: bounded however many rows there are or share a key, and the same on every run."""
+    n = rows.count()
+    if n > most:
+        rows = rows.filter(F.xxhash64(*keys).bitwiseAND(F.lit((1 << 31) - 1)) < int(most / n * (1 << 31)))
+    return rows.dropDuplicates(keys)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that column holds about `limit` bytes in each; a longer value comes alone."""
     for batch in batches:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, slices
+from codeloom.llm.common import cut, release, slices
 
 WINDOW = 13
 #: {1, 2, 4} covers all differences modulo 7; anchors have as many words as leave a shift of up to 6.
@@ -38,6 +38,7 @@ PERIOD, COVER = 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries that a task gathers before it hands them on.
 FLUSH = 2_000_000
+PACKED = "bucket int, known boolean, ids binary, counts binary, part0 binary"
 _BASE_A, _BASE_B, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -111,19 +112,35 @@ def _unpacked(table: pa.Table, kinds: list[str]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _per_id(ids: np.ndarray, values: np.ndarray, kind: str) -> pa.Table:
-    """(id, bytes of its values)."""
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order].astype(kind)
-    start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, int)
-    ends = np.r_[start[1:], len(ids)].astype(int)
-    return pa.table({"id": pa.array(ids[start], pa.int64()), "found": pa.array([values[a:b].tobytes() for a, b in zip(start, ends)], pa.binary())})
+_PACKED = ["bucket", "known", "ids", "counts"]
+_PACKED_TYPES = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+
+
+def _by_id(ids: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
+    """Packed rows of (id, value), one for each share of the ids that has any."""
+    mixed = ids.astype(np.uint64) * _BASE_A
+    rows = list(_packed(bucket_of(mixed ^ mixed >> np.uint64(29), buckets), ids, [values], False))
+    cols = list(zip(*rows)) if rows else [()] * 5
+    return pa.table({n: pa.array(c, t) for n, c, t in zip([*_PACKED, "part0"], cols, [*_PACKED_TYPES, pa.binary()])})
+
+
+def _per_id(met: DataFrame, kind: str, finish: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """Packed rows of a share of the ids → (id, found: what finish makes of its values)."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        _, ids, values = _unpacked(table, [kind])
+        order = np.argsort(ids, kind="stable")
+        ids, values = ids[order], values[order]
+        start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        return pa.table({"id": pa.array(ids[start], pa.int64()), "found": pa.array([finish(v) for v in np.split(values, start[1:])], pa.binary())})
+
+    return met.groupBy("bucket").applyInArrow(gather, "id long, found binary")
 
 
 def _gathered(docs: DataFrame, collect: Callable, hand_on: Callable, parts: int) -> DataFrame:
     """A mapInArrow that gathers entries of many slices, up to FLUSH, and hands them on as packed rows."""
-    names = ["bucket", "known", "ids", "counts", *[f"part{i}" for i in range(parts)]]
-    types = [pa.int32(), pa.bool_(), *[pa.binary()] * (2 + parts)]
+    names = [*_PACKED, *[f"part{i}" for i in range(parts)]]
+    types = [*_PACKED_TYPES, *[pa.binary()] * parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -184,14 +201,14 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         key = key.view("<i8").ravel() | bucket << 48
         k, i, run, _, n = split(key[~known], ids[~known])
         again = n[run] > 1
-        return _per_id(np.r_[i[again], ids[known]], np.r_[k[again], key[known]], "<i8")
+        return _by_id(np.r_[i[again], ids[known]], np.r_[k[again], key[known]].astype("<i8"), max(16, buckets // 2))
 
-    met = _gathered(docs, collect, hand_on, 1).groupBy("bucket").applyInArrow(meet, "id long, found binary")
-    return met.groupBy("id").agg(F.collect_list("found").alias("found"))
+    met = _gathered(docs, collect, hand_on, 1).groupBy("bucket").applyInArrow(meet, PACKED)
+    return _per_id(met, "<i8", lambda v: v.tobytes())
 
 
-def covered_starts(held: DataFrame, buckets: int) -> DataFrame:
-    """(id, text, found: its shared anchors) → (id, found: bytes of the starts of windows that a smaller id has)."""
+def covered_words(held: DataFrame, buckets: int) -> DataFrame:
+    """(id, text, found: its shared anchors) → (id, found: the runs of words within windows that a smaller id has, as bytes)."""
 
     def collect(b: pa.RecordBatch) -> tuple:
         x, sizes = word_arrays(b.column("text"))
@@ -202,7 +219,7 @@ def covered_starts(held: DataFrame, buckets: int) -> DataFrame:
         mark = np.zeros(len(x) + 1, np.int64)
         for d, found in enumerate(b.column("found").to_pylist()):
             own = slice(edge[d], edge[d + 1])
-            hit = at[own][np.isin(key[own], np.frombuffer(b"".join(found), "<i8"))]
+            hit = at[own][np.isin(key[own], np.frombuffer(found, "<i8"))]
             lo, hi = np.maximum(hit - PERIOD + 1, 0), np.minimum(hit, sizes[d] - WINDOW)
             np.add.at(mark, begin[d] + lo, 1)
             np.add.at(mark, begin[d] + hi + 1, -1)
@@ -239,23 +256,28 @@ def covered_starts(held: DataFrame, buckets: int) -> DataFrame:
             _, i, a = _unpacked(done.drop_columns(["part0", "part1"]), ["<u4"])
             ids.append(i)
             at.append(a)
-        return _per_id(np.concatenate(ids), np.concatenate(at), "<u4")
+        return _by_id(np.concatenate(ids), np.concatenate(at), max(16, buckets // 2))
+
+    met = _gathered(held, collect, hand_on, 3).groupBy("bucket").applyInArrow(meet, PACKED)
+    return _per_id(met, "<u4", spans)
+
 
-    met = _gathered(held, collect, hand_on, 3).groupBy("bucket").applyInArrow(meet, "id long, found binary")
-    return met.groupBy("id").agg(F.collect_list("found").alias("found"))
+def spans(starts: np.ndarray) -> bytes:
+    """Starts of windows → (first, end) of the runs of words they cover."""
+    at = np.unique(starts).astype(np.int64)
+    new = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + WINDOW])
+    return np.stack([at[new], np.r_[at[new[1:] - 1], at[-1]] + WINDOW], 1).astype("<u4").tobytes()
 
 
-def remove(text: str | None, starts: np.ndarray) -> tuple[int, int, bytes]:
-    """→ words, words removed, what is kept."""
+def remove(text: str | None, gone: np.ndarray) -> tuple[int, int, bytes]:
+    """→ words, words removed (gone: first, end of each run), what is kept."""
     words = text.encode().split() if text else []
-    if not len(starts):
-        return len(words), 0, b" ".join(words)
-    mark = np.zeros(len(words) + 1, np.int64)
-    starts = starts[starts + WINDOW <= len(words)]
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + WINDOW, -1)
-    gone = np.cumsum(mark[:-1]) > 0
-    return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+    kept, at = [], 0
+    for first, end in gone.tolist():
+        kept += words[at:first]
+        at = min(end, len(words))
+    kept += words[at:]
+    return len(words), len(words) - len(kept), b" ".join(kept)
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_text: bool = True) -> DataFrame:
@@ -265,13 +287,14 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_text: b
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     with_id = plain.filter("id is not null")
     hits = cut(shared_anchors(with_id, buckets))
-    held = cut(with_id.join(hits, "id"))
-    starts = covered_starts(held, buckets)
+    release(spark)
+    gone = cut(covered_words(with_id.join(hits, "id"), buckets))
+    release(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            found = b.column("found").to_pylist() if "found" in b.schema.names else [None] * b.num_rows
-            got = [remove(t, np.frombuffer(b"".join(f or []), "<u4").astype(np.int64)) for t, f in zip(b.column("text").to_pylist(), found)]
+            found = b.column("found").to_pylist()
+            got = [remove(t, np.frombuffer(f or b"", "<u4").reshape(-1, 2)) for t, f in zip(b.column("text").to_pylist(), found)]
             cols = [b.column("id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())]
             if keep_text:
                 cols.append(pa.array([g[2].decode() for g in got], pa.string()))
@@ -279,10 +302,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_text: b
 
     names = ["id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else [])]
     types = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else "")
-    changed = held.select("id", "text").join(starts, "id", "left").select("id", "text", "found").mapInArrow(finish, types)
-    # Documents without a shared anchor stay as they are; their texts aren't shuffled again.
-    same = plain.mapInArrow(finish, types).join(hits.select("id"), "id", "left_anti")
-    return same.unionByName(changed).withColumnRenamed("id", key)
+    return plain.join(gone, "id", "left").select("id", "text", "found").mapInArrow(finish, types).withColumnRenamed("id", key)
 
 
 def oracle() -> str:
