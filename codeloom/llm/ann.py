@@ -2,8 +2,8 @@
 
 The quantiser is a product code of 16 centres for each pair of dimensions. Both its training and the encoding of a
 vector minimise ‖r‖² + (η - 1) ⟨r, x/‖x‖⟩² of the residual r: error along a vector changes the scores that matter
-for maximum inner product and costs η times as much. Codebooks are fitted on the driver on a bounded sample (SAMPLE
-rows of the smallest hash of their id); every row is encoded, and the codes stand beside the vectors in the shared folder.
+for maximum inner product and costs η times as much. Codebooks are fitted on the driver on a bounded sample (about
+SAMPLE rows, those of small hashes of their id); every row is encoded, and the codes stand beside the vectors in the shared folder.
 
 Queries are taken in blocks of about BLOCK, each of which goes to all index rows; per batch of rows, byte tables (two
 four-bit codes each) are summed in 16-bit numbers, the RERANK best distinct vectors are scored exactly in double
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut
+from codeloom.llm.common import cut, sampled
 
 SAMPLE, BLOCK, RERANK = 8_000, 2048, 128
 CENTRES, SWEEPS, ROUNDS = 16, 2, 6
@@ -114,8 +114,10 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def build_index(fit: DataFrame, d: int, sample: int = SAMPLE) -> tuple[DataFrame, Quantiser]:
-    rows = fit.select("v").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    quantiser = Quantiser(np.array([r.v for r in rows], np.float64))
+    rows = sorted((r.id, r.v) for r in sampled(fit, ["id"], sample).collect())
+    if not rows:
+        rows = [(r.id, r.v) for r in fit.limit(1).collect()]
+    quantiser = Quantiser(np.array([v for _, v in rows], np.float64))
     shared = fit.sparkSession.sparkContext.broadcast(quantiser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
