@@ -5,8 +5,8 @@ capacity to the source or the sink: what its elements say (article; menu, footer
 classifier of its text's shape. Neighbours in page order and blocks that are close in the element tree are joined
 by smoothness edges. The minimum cut, by maximum flow, is the cheapest labelling.
 
-The classifier is fitted on the driver on a bounded sample of pages (SAMPLE, those of the smallest hash of their url and
-html), on the blocks whose elements leave no doubt. Where these lack either label, WITHOUT stands in.
+The classifier is fitted on the driver on a bounded sample of pages (about SAMPLE, those of small hashes, of up to
+SAMPLE_CHARS characters), on the blocks whose elements leave no doubt. Where these lack either label, WITHOUT stands in.
 
 Defined results: null or empty html, or a page without content, gives an empty text; repeated rows each give a row;
 null ids and urls are carried through; other columns are ignored; an open element is closed by the end of the page, a
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import slices
+from codeloom.llm.common import sampled, slices
 
-SAMPLE, SEEDS = 1000, 20
+SAMPLE, SAMPLE_CHARS, SEEDS = 1000, 100_000, 20
 #: Elements that don't break a line of text; that hold no text of their own; that are closed by a like one.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +51,7 @@ NEXT_TO, NEAR = 1.0, 0.6
 WITHOUT = np.array([-2.5, 0.5, 0.3, -4.0, 2.0, 0.0, 1.0, 0.5, -0.5, 0.5])
 
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
-_attr = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_attr = re.compile(r"""(?<!\S)(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _word = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _ends = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
@@ -301,7 +301,8 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), sample: int = SAMPLE) -> DataFrame:
     """pages → keep..., text, n_chars."""
     whole = F.col(html)
-    weights = fit([r[0] for r in pages.filter(whole.isNotNull() & (F.length(whole) <= 200_000)).select(whole).orderBy(F.xxhash64(whole), whole).limit(sample).collect()])
+    usable = pages.filter(whole.isNotNull() & (F.length(whole) <= SAMPLE_CHARS)).select(whole.alias("html"))
+    weights = fit(sorted(r[0] for r in sampled(usable, ["html"], sample).collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__html"):
