@@ -127,20 +127,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, text: st
     return own.join(named, "fp", "left").select(key, "fp", "component_id")
 
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text."""
+    w = words(text)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))] if w else [], np.uint64))
+
+
 def shingle_sets(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs → key, shingles: sorted distinct hashes, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
-            sets = []
-            for t in b.column(text).to_pylist():
-                w = words(t)
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))] if w else [], np.uint64)).tobytes())
+            sets = [shingle_hashes(t, shingle).tobytes() for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(sets, pa.binary())], [key, "shingles"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} long, shingles binary")
 
 
+def described(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs → key, fp, same (128-bit hash of the shingle set), n (its size)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            texts = b.column(text).to_pylist()
+            sets = [shingle_hashes(t, shingle) for t in texts]
+            same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(fingerprints(texts, shingle), pa.int64()), pa.array(same, pa.binary()), pa.array(map(len, sets), pa.int32())], [key, "fp", "same", "n"])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} long, fp long, same binary, n int")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
     """Those of the pairs (a, b) of keys whose texts have that Jaccard similarity of word shingles or more."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
@@ -159,16 +175,36 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int,
     return both.mapInArrow(run, "a long, b long")
 
 
+def met(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes (rep, fp, n) → t, v, rep, fp, n, size: the members of every bucket of two or more."""
+    tables = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(covering_masks(radius))]))
+    keyed = nodes.select("rep", "fp", "n", tables.alias("k")).select("k.t", "k.v", "rep", "fp", "n")
+    size = keyed.groupBy("t", "v").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least")).filter("size > 1")
+    return cut(keyed.join(size, ["t", "v"]))
+
+
+def alike_pairs(docs: DataFrame, nodes: DataFrame, radius: int, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
+    """nodes (rep, fp, n), one for each distinct shingle set → verified pairs (a, b) of reps: all that meet in small buckets and, in crowded ones, those like the smallest."""
+    found = met(nodes, radius)
+    lengths = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-6
+    small = found.filter(F.col("size") <= BUCKET_PAIRS)
+    x, y = small.alias("x"), small.select("t", "v", F.col("rep").alias("b"), F.col("fp").alias("fp2"), F.col("n").alias("n2")).alias("y")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
+    pairs = x.join(y, ["t", "v"]).filter((F.col("rep") < F.col("b")) & near & lengths).select(F.col("rep").alias("a"), "b")
+    star = found.filter((F.col("size") > BUCKET_PAIRS) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    return cut(verified(cut(pairs.unionByName(star).distinct()), docs, similarity, shingle, text, key))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one document, that of the smallest key, of each group of near duplicates: equal fingerprints, or fingerprints within the radius and texts of that similarity.
+    """docs with one document, that of the smallest key, of each group of near duplicates: equal shingle sets, or fingerprints within the radius (equal ones included) and texts of that similarity.
 
     Rows that repeat a key are one document, of which one row stays; rows without a key belong to no group and stay.
     """
-    own = cut(fingerprint_docs(docs.filter(F.col(key).isNotNull()), shingle, text, key))
-    fps = own.groupBy("fp").agg(F.min(key).alias("rep"))
-    found = components(verified(links(fps, radius), docs, similarity, shingle, text, key))
-    named = fps.join(found, fps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("kept"))
-    gone = own.join(named, "fp").filter(F.col(key) != F.col("kept")).select(key).distinct()
+    own = cut(described(docs.filter(F.col(key).isNotNull()), shingle, text, key))
+    nodes = own.groupBy("same").agg(F.min(key).alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    found = components(alike_pairs(docs, nodes, radius, similarity, shingle, text, key))
+    named = nodes.join(found, nodes.rep == found.node, "left").select("same", F.coalesce("component", "rep").alias("kept"))
+    gone = own.join(named, "same").filter(F.col(key) != F.col("kept")).select(key).distinct()
     rest = docs.join(gone, key, "left_anti")
     again = own.groupBy(key).count().filter("count > 1").select(key)
     order = Window.partitionBy(key).orderBy(*[F.xxhash64(c) for c in (text,)], F.xxhash64(*docs.columns))
