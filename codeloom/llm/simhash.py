@@ -5,7 +5,7 @@ position gets a non-zero vector of r + 1 bits, in turn; table v (non-zero too) k
 an odd inner product with v. Any r positions leave some v that is orthogonal to all of theirs, so two fingerprints
 that differ in at most r bits agree on all that table v keeps: every such pair meets in some table, with certainty.
 
-Equal fingerprints are merged first. In buckets of up to BUCKET_PAIRS distinct fingerprints pairs are compared
+For the fingerprints alone (near_duplicates), equal ones are merged first. In buckets of up to BUCKET_PAIRS distinct fingerprints pairs are compared
 in a join condition; in larger ones, which must not be paired out, each fingerprint is listed at itself and at its
 neighbours that differ in up to half the radius, and those that meet there are joined to the smallest, which gives
 the same components.
@@ -184,7 +184,10 @@ def met(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def alike_pairs(docs: DataFrame, nodes: DataFrame, radius: int, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
-    """nodes (rep, fp, n), one for each distinct shingle set → verified pairs (a, b) of reps: all that meet in small buckets and, in crowded ones, those like the smallest."""
+    """nodes (rep, fp, n), one for each distinct shingle set → verified pairs (a, b) of reps whose components are those of all alike pairs that meet in a bucket.
+
+    In buckets of up to BUCKET_PAIRS members all pairs are checked; in crowded ones all members against the smallest. The members of crowded buckets that aren't one component after that are joined by `across`.
+    """
     found = met(nodes, radius)
     lengths = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-6
     small = found.filter(F.col("size") <= BUCKET_PAIRS)
@@ -192,7 +195,48 @@ def alike_pairs(docs: DataFrame, nodes: DataFrame, radius: int, similarity: floa
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
     pairs = x.join(y, ["t", "v"]).filter((F.col("rep") < F.col("b")) & near & lengths).select(F.col("rep").alias("a"), "b")
     star = found.filter((F.col("size") > BUCKET_PAIRS) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    return cut(verified(cut(pairs.unionByName(star).distinct()), docs, similarity, shingle, text, key))
+    first = cut(verified(cut(pairs.unionByName(star).distinct()), docs, similarity, shingle, text, key))
+    named = nodes.select("rep").distinct().join(components(first), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    crowd = found.filter(F.col("size") > BUCKET_PAIRS).select("t", "v", "rep").join(named, "rep")
+    split = crowd.groupBy("t", "v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("t", "v")
+    left = cut(crowd.join(split, ["t", "v"]).select("rep", "component").distinct())
+    if left.isEmpty():
+        return first
+    return first.unionByName(cut(verified(across(docs, left, similarity, shingle, text, key), docs, similarity, shingle, text, key)))
+
+
+def across(docs: DataFrame, members: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
+    """members (rep, component) → pairs (a, b) of different components, every alike one among them.
+
+    Sets of that similarity share a shingle among the first n - ceil(similarity n) + 1 of each, in any one order; rare
+    shingles come first, so what many texts have in common pairs nothing. At a shingle, those of its largest component,
+    which may be thousands of copies, are paired with the others only.
+    """
+    keyed = docs.join(members.select(F.col("rep").alias(key)), key, "left_semi")
+    sets = shingle_sets(keyed, shingle, text, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "shingles"):
+            sets = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            who = b.column("rep").take(pa.array(np.repeat(np.arange(len(sets)), sizes)))
+            yield pa.RecordBatch.from_arrays([who, pa.array(np.concatenate(sets)), pa.array(np.repeat(sizes, sizes))], ["rep", "s", "n"])
+
+    listed = cut(sets.withColumnRenamed(key, "rep").groupBy("rep").agg(F.min("shingles").alias("shingles")).mapInArrow(run, "rep long, s long, n long"))
+    often = listed.groupBy("s").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # A shingle of one text only pairs nothing, but counts as one of the first.
+    shared = listed.join(often, "s")
+    own = listed.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("all")).join(shared.groupBy("rep").agg(F.count(F.lit(1)).alias("more")), "rep").select("rep", (F.col("all") - F.col("more")).alias("single"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("often", "s")) + F.col("single")
+    prefix = F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1
+    first = cut(shared.join(own, "rep").withColumn("place", place).filter(F.col("place") <= prefix).join(members, "rep").select("s", "rep", "n", "component"))
+    most = first.groupBy("s", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("s", "most")
+    theirs = first.join(most, "s")
+    other = theirs.filter("component != most").select("s", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+    lengths = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-6
+    once = (F.col("component") == F.col("most")) | (F.col("rep") < F.col("rep2"))
+    pairs = theirs.join(other, "s").filter((F.col("component") != F.col("component2")) & once & lengths)
+    return cut(pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct())
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:

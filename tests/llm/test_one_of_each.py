@@ -39,3 +39,21 @@ def test_equal_fingerprints_are_checked(spark):
     fp = simhash.fingerprints([t for _, t in rows], 5)
     assert len(set(fp)) == 1
     assert kept(spark, rows) == set(range(12)) == alike(rows)
+
+
+def chains(r, n):
+    """Groups in which the smallest id is alike to none or few, and others are alike to each other, all of nearly equal fingerprints."""
+    rows = lines(r, n, 120)
+    for d in range(n, 4 * n):
+        w = rows[r.randrange(len(rows))][1].split()
+        at = r.randrange(540, len(w) - 9)
+        w[at : at + 8] = [str(r.random()) for _ in range(8)]
+        rows.append((d, " ".join(w)))
+    return rows
+
+
+def test_crowded_buckets_are_checked_whole(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_PAIRS", 2)
+    rows = chains(random.Random(6), 12)
+    assert 12 <= len(alike(rows)) < 40
+    assert kept(spark, rows) == alike(rows)
