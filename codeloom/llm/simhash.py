@@ -10,6 +10,9 @@ in a join condition; in larger ones, which must not be paired out, each fingerpr
 neighbours that differ in up to half the radius, and those that meet there are joined to the smallest, which gives
 the same components.
 
+One fingerprint sees few pairs of a moderate similarity (about one in twenty at a Jaccard of 0.8), so one_of_each also
+takes candidates from bands of least hashes of the shingle sets; all candidates are checked exactly.
+
 Defined results: null or empty text has fingerprint 0 and links like any other; fewer words than a shingle make one
 shingle; repeated rows each give a row; a null doc_id gets a fingerprint and its component, but never names one (a
 component of null ids only is null); other columns are ignored. An empty table gives no rows.
@@ -31,6 +34,8 @@ from codeloom.llm.components import components
 
 BITS = 64
 BUCKET_PAIRS = 64
+#: Least hashes of a shingle set in each band: a pair of Jaccard similarity j shares one of b bands with probability 1 - (1 - j^BAND)^b.
+BAND = 5
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -144,17 +149,38 @@ def shingle_sets(docs: DataFrame, shingle: int, text: str = "text", key: str = "
     return docs.select(key, text).mapInArrow(run, f"{key} long, shingles binary")
 
 
-def described(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs → key, fp, same (128-bit hash of the shingle set), n (its size)."""
+def banded(sets: list[np.ndarray], bands: int, seed: int = 7) -> list[list[int]]:
+    """One signed 64-bit key for each band and set: hashes of BAND minima each, under random permutations. None for an empty set."""
+    out = np.zeros((len(sets), bands), np.uint64)
+    full = [i for i, x in enumerate(sets) if len(x)]
+    if full and bands:
+        flat = np.concatenate([sets[i] for i in full])
+        start = np.r_[0, np.cumsum([len(sets[i]) for i in full])[:-1]]
+        turns = np.random.default_rng(seed).integers(1, 1 << 62, (bands, BAND, 2)).astype(np.uint64)
+        flat ^= flat >> np.uint64(32)
+        for k, band in enumerate(turns):
+            h = np.zeros(len(full), np.uint64)
+            for a, b in band:
+                x = flat * (a * np.uint64(2) + np.uint64(1))
+                x += b
+                h = (h ^ np.minimum.reduceat(x, start)) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(32)
+            out[full, k] = h
+    return [x.tolist() if len(s) else [] for s, x in zip(sets, out.view(np.int64))]
+
+
+def described(docs: DataFrame, shingle: int, bands: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs → key, fp, same (128-bit hash of the shingle set), n (its size), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
             texts = b.column(text).to_pylist()
             sets = [shingle_hashes(t, shingle) for t in texts]
             same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(fingerprints(texts, shingle), pa.int64()), pa.array(same, pa.binary()), pa.array(map(len, sets), pa.int32())], [key, "fp", "same", "n"])
+            columns = [b.column(key), pa.array(fingerprints(texts, shingle), pa.int64()), pa.array(same, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(banded(sets, bands), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "fp", "same", "n", "bands"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} long, fp long, same binary, n int")
+    return docs.select(key, text).mapInArrow(run, f"{key} long, fp long, same binary, n int, bands array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
@@ -176,15 +202,16 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int,
 
 
 def met(nodes: DataFrame, radius: int) -> DataFrame:
-    """nodes (rep, fp, n) → t, v, rep, fp, n, size: the members of every bucket of two or more."""
+    """nodes (rep, fp, n, bands) → t, v, rep, fp, n, size, least: the members of every bucket of two or more; t is under 0 for bands."""
     tables = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(covering_masks(radius))]))
     keyed = nodes.select("rep", "fp", "n", tables.alias("k")).select("k.t", "k.v", "rep", "fp", "n")
+    keyed = keyed.unionByName(nodes.select("rep", "fp", "n", F.posexplode("bands").alias("t", "v")).withColumn("t", -1 - F.col("t")))
     size = keyed.groupBy("t", "v").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least")).filter("size > 1")
     return cut(keyed.join(size, ["t", "v"]))
 
 
 def alike_pairs(docs: DataFrame, nodes: DataFrame, radius: int, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
-    """nodes (rep, fp, n), one for each distinct shingle set → verified pairs (a, b) of reps whose components are those of all alike pairs that meet in a bucket.
+    """nodes (rep, fp, n, bands), one for each distinct shingle set → verified pairs (a, b) of reps whose components are those of all alike pairs that meet in a bucket.
 
     In buckets of up to BUCKET_PAIRS members all pairs are checked; in crowded ones all members against the smallest. The members of crowded buckets that aren't one component after that are joined by `across`.
     """
@@ -192,7 +219,7 @@ def alike_pairs(docs: DataFrame, nodes: DataFrame, radius: int, similarity: floa
     lengths = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-6
     small = found.filter(F.col("size") <= BUCKET_PAIRS)
     x, y = small.alias("x"), small.select("t", "v", F.col("rep").alias("b"), F.col("fp").alias("fp2"), F.col("n").alias("n2")).alias("y")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
+    near = (F.col("t") < 0) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)
     pairs = x.join(y, ["t", "v"]).filter((F.col("rep") < F.col("b")) & near & lengths).select(F.col("rep").alias("a"), "b")
     star = found.filter((F.col("size") > BUCKET_PAIRS) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
     first = cut(verified(cut(pairs.unionByName(star).distinct()), docs, similarity, shingle, text, key))
@@ -239,13 +266,13 @@ def across(docs: DataFrame, members: DataFrame, similarity: float, shingle: int,
     return cut(pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct())
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one document, that of the smallest key, of each group of near duplicates: equal shingle sets, or fingerprints within the radius (equal ones included) and texts of that similarity.
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, bands: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one document, that of the smallest key, of each group of near duplicates: equal shingle sets, or texts of that similarity that meet by fingerprints within the radius (equal ones included) or in one of the bands.
 
     Rows that repeat a key are one document, of which one row stays; rows without a key belong to no group and stay.
     """
-    own = cut(described(docs.filter(F.col(key).isNotNull()), shingle, text, key))
-    nodes = own.groupBy("same").agg(F.min(key).alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    own = cut(described(docs.filter(F.col(key).isNotNull()), shingle, bands, text, key))
+    nodes = own.groupBy("same").agg(F.min(key).alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     found = components(alike_pairs(docs, nodes, radius, similarity, shingle, text, key))
     named = nodes.join(found, nodes.rep == found.node, "left").select("same", F.coalesce("component", "rep").alias("kept"))
     gone = own.join(named, "same").filter(F.col(key) != F.col("kept")).select(key).distinct()

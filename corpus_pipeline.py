@@ -3,7 +3,7 @@
 Every stage works on all that the one before it kept; the first four return the columns of documents.
 
 1. toxicity: documents that score 0.3 or more go. Learned from the labels of documents that are not held out.
-2. SimHash near-dedup: of each group of near duplicates the smallest id stays.
+2. SimHash near-dedup: of each group of near duplicates (Jaccard similarity 0.8 of five-word shingles) the smallest id stays.
 3. benchmark decontamination: documents that contain a benchmark item go.
 4. secret scans: found secrets are replaced by a marker; every document stays.
 5. best-fit packing: the token pieces of what is left, with their place in sequences of 2048.
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, shingle=5, radius=4, similarity=0.8)
+    return simhash.one_of_each(docs, shingle=5, radius=4, similarity=0.8, bands=20)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from codeloom.llm import simhash
 from tests.llm.test_pipeline import jaccard
 
@@ -57,3 +58,17 @@ def test_crowded_buckets_are_checked_whole(spark, monkeypatch):
     rows = chains(random.Random(6), 12)
     assert 12 <= len(alike(rows)) < 40
     assert kept(spark, rows) == alike(rows)
+
+
+def test_bands_find_what_fingerprints_miss(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(60):
+        w = [str(r.random()) for _ in range(300)]
+        rows.append((2 * i, " ".join(w)))
+        for at in range(20, 300, 50):
+            w[at] = str(r.random())
+        rows.append((2 * i + 1, " ".join(w)))
+    assert alike(rows) == set(range(0, 120, 2))  # each pair at J = 0.82
+    assert corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").count() == 60
+    assert len(kept(spark, rows)) > 100  # of fingerprints alone
