@@ -9,6 +9,10 @@ symbol): windows at a small edit distance agree in most steps, so edit distance
 walks, and several samples of a few steps of each, give the hash tables; what meets in one is checked exactly with the
 bit-parallel edit recurrence over the region around the window. More tables reach a higher recall (WALKS * SAMPLES).
 
+Items over PIECE words are hashed as pieces of up to that many: of k edits of an item of n words, some piece of m words
+has no more than k m / n, so the size of windows and the distance of their starts stay bounded however long an item is.
+Where a piece is within its share of edits, the whole item is checked.
+
 Windows start on a grid of an eighth of their size. They are taken only where an item could be: k edits leave at least
 n - 2 - 3 k of its word triples, so a stretch with fewer triples of any item at all is skipped without loss.
 
@@ -35,6 +39,8 @@ from codeloom.llm.common import slices
 
 EDITS, EXACT, LEAST = 0.2, 10, 5
 WALKS, SAMPLES, SYMBOLS = 6, 8, 3
+#: Most words hashed as one.
+PIECE = 64
 #: Ratio of one window size to the next.
 STEP = 1.12
 BLOCK, CACHE_ENTRIES = 20_000, 300_000
@@ -81,21 +87,26 @@ class Items:
         self.base = len(names) + 1
         self.patterns = [self._bits(c.tolist()) for c in self.coded]
         self.triples = np.unique(np.concatenate([np.zeros(0, np.int64), *[self._triple(c) for c in self.coded]]))
+        #: Item number and first word of each piece, and the pieces themselves.
+        cuts = [(k, i) for k, c in enumerate(self.coded) for i in np.linspace(0, len(c), -(-len(c) // PIECE) + 1).astype(int)[:-1].tolist()]
+        self.piece_item, self.piece_at = np.array([k for k, _ in cuts], np.int64), np.array([i for _, i in cuts], np.int64)
+        pieces = [self.coded[k][i : cuts[p + 1][1] if p + 1 < len(cuts) and cuts[p + 1][0] == k else None] for p, (k, i) in enumerate(cuts)]
+        self.pieces = [(self._bits(c.tolist()), len(c)) for c in pieces]
         by: dict[int, list[int]] = {}
-        for k, c in enumerate(self.coded):
+        for k, c in enumerate(pieces):
             by.setdefault(math.ceil(math.log(len(c)) / math.log(STEP) - 1e-9), []).append(k)
         rng = np.random.default_rng(seed)
-        #: (window size, most edits, least triples, walk numbers, sampled steps, sorted keys, their items)
+        #: (window size, most edits, least triples, walk numbers, sampled steps, sorted keys, their pieces)
         self.sizes = []
         for power, members in sorted(by.items()):
-            size = max(len(self.coded[k]) for k in members)
-            most = max(allowed(len(self.coded[k])) for k in members)
-            need = max(1, min(len(self.coded[k]) - 2 - 3 * allowed(len(self.coded[k])) for k in members))
+            size = max(len(pieces[k]) for k in members)
+            most = max(allowed(len(pieces[k])) for k in members)
+            need = max(1, min(len(pieces[k]) - 2 - 3 * allowed(len(pieces[k])) for k in members))
             walks = rng.integers(1, 1 << 62, (WALKS, 2, 3 * size)).astype(np.uint64) | np.uint64(1)
             # Later steps drift more, so samples come from the first two thirds of the walk: about one reading of the window.
             steps = np.array([[np.sort(rng.choice(2 * size, SYMBOLS, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)])
-            flat = np.concatenate([self.coded[k] for k in members] + [np.zeros(0, np.int64)])
-            ends = np.cumsum([len(self.coded[k]) for k in members])
+            flat = np.concatenate([pieces[k] for k in members] + [np.zeros(0, np.int64)])
+            ends = np.cumsum([len(pieces[k]) for k in members])
             keys = self.keys(flat, np.r_[0, ends[:-1]], ends, walks, steps)
             table = np.arange(keys.shape[1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             flat_keys, owner = (keys ^ table).ravel(), np.repeat(members, keys.shape[1])
@@ -189,7 +200,8 @@ class Finder:
         doc = np.searchsorted(bound, at, side="right") - 1
         inside = at + 3 <= bound[doc + 1]
         at, doc = at[inside], doc[inside]
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Stretches of the words to check, by document and item.
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for size, most, need, walks, steps, keys, owner, table in items.sizes:
             starts, ends = self.windows(flat, bound, size, most, need, at, doc)
             pairs = []
@@ -199,16 +211,33 @@ class Finder:
                 lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
                 n = hi - lo
                 hit = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                pairs.append(np.unique(np.repeat(np.repeat(s, len(table)), n) * np.int64(len(items.coded)) + owner[hit]))
+                pairs.append(np.unique(np.repeat(np.repeat(s, len(table)), n) * np.int64(len(items.piece_item)) + owner[hit]))
             for pair in np.concatenate(pairs).tolist() if pairs else ():
-                start, item = divmod(pair, len(items.coded))
+                start, piece = divmod(pair, len(items.piece_item))
+                item = int(items.piece_item[piece])
                 n = len(items.coded[item])
-                k = allowed(n)
                 d = int(np.searchsorted(bound, start, side="right")) - 1
-                slack = size // 8 + k + 1
-                lo, hi = max(int(bound[d]), start - slack), min(int(bound[d + 1]), start + n + slack)
+                slack = size // 8 + allowed(n) + 1
+                if n > PIECE:
+                    bits, m = items.pieces[piece]
+                    near = size // 8 + allowed(m) + 1
+                    if edits(bits, m, flat[max(int(bound[d]), start - near) : min(int(bound[d + 1]), start + m + near)].tolist())[0] > allowed(m):
+                        continue
+                    slack += size // 4
+                    start -= int(items.piece_at[piece])
+                spans.setdefault((d, item), []).append((max(int(bound[d]), start - slack), min(int(bound[d + 1]), start + n + slack)))
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for (d, item), found_at in spans.items():
+            n = len(items.coded[item])
+            merged: list[list[int]] = []
+            for lo, hi in sorted(found_at):
+                if merged and lo <= merged[-1][1]:
+                    merged[-1][1] = max(hi, merged[-1][1])
+                else:
+                    merged.append([lo, hi])
+            for lo, hi in merged:
                 found, end = edits(items.patterns[item], n, flat[lo:hi].tolist())
-                if found <= k:
+                if found <= allowed(n):
                     score = (found, lo + end - int(bound[d]))
                     if (d, item) not in best or score < best[d, item]:
                         best[d, item] = score
