@@ -236,34 +236,39 @@ def across(docs: DataFrame, members: DataFrame, similarity: float, shingle: int,
     """members (rep, component) → pairs (a, b) of different components, every alike one among them.
 
     Sets of that similarity share a shingle among the first n - ceil(similarity n) + 1 of each, in any one order; rare
-    shingles come first, so what many texts have in common pairs nothing. At a shingle, those of its largest component,
+    shingles come first, so what many texts have in common pairs nothing. After the last of those that two sets share,
+they share no more than the shorter rest holds, which drops most pairs before they are checked. At a shingle, those of its largest component,
     which may be thousands of copies, are paired with the others only.
     """
-    keyed = docs.join(members.select(F.col("rep").alias(key)), key, "left_semi")
-    sets = shingle_sets(keyed, shingle, text, key)
+    sets = shingle_sets(docs.join(members.select(F.col("rep").alias(key)), key, "left_semi"), shingle, text, key)
+    sets = sets.withColumnRenamed(key, "rep").groupBy("rep").agg(F.min("shingles").alias("shingles")).join(members, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "shingles"):
-            sets = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
-            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            who = b.column("rep").take(pa.array(np.repeat(np.arange(len(sets)), sizes)))
-            yield pa.RecordBatch.from_arrays([who, pa.array(np.concatenate(sets)), pa.array(np.repeat(sizes, sizes))], ["rep", "s", "n"])
+            found = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            of = pa.array(np.repeat(np.arange(len(found)), sizes))
+            yield pa.RecordBatch.from_arrays([b.column("rep").take(of), b.column("component").take(of), pa.array(np.concatenate(found)), pa.array(np.repeat(sizes, sizes))], ["rep", "component", "s", "n"])
 
-    listed = cut(sets.withColumnRenamed(key, "rep").groupBy("rep").agg(F.min("shingles").alias("shingles")).mapInArrow(run, "rep long, s long, n long"))
+    listed = cut(sets.mapInArrow(run, "rep long, component long, s long, n long"))
     often = listed.groupBy("s").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    # A shingle of one text only pairs nothing, but counts as one of the first.
-    shared = listed.join(often, "s")
-    own = listed.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("all")).join(shared.groupBy("rep").agg(F.count(F.lit(1)).alias("more")), "rep").select("rep", (F.col("all") - F.col("more")).alias("single"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("often", "s")) + F.col("single")
+    # Shingles of one text only pair nothing, but are the first of its set.
+    shared = listed.join(often, "s").groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("list"))
+    single = F.col("n") - F.size("list")
     prefix = F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1
-    first = cut(shared.join(own, "rep").withColumn("place", place).filter(F.col("place") <= prefix).join(members, "rep").select("s", "rep", "n", "component"))
+    head = shared.withColumn("single", single).select("rep", "component", "n", "single", F.posexplode(F.slice("list", F.lit(1), F.greatest(prefix - single, F.lit(0)).cast("int"))).alias("i", "x"))
+    first = cut(head.select("rep", "component", "n", F.col("x.s").alias("s"), (F.col("single") + F.col("i") + 1).alias("place")))
     most = first.groupBy("s", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("s", "most")
     theirs = first.join(most, "s")
-    other = theirs.filter("component != most").select("s", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+    other = theirs.filter("component != most").select("s", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("place").alias("place2"))
     lengths = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-6
     once = (F.col("component") == F.col("most")) | (F.col("rep") < F.col("rep2"))
     pairs = theirs.join(other, "s").filter((F.col("component") != F.col("component2")) & once & lengths)
-    return cut(pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct())
+    # Which side a text is on differs by shingle; a pair's shingles are counted together.
+    one, two = F.struct("rep", "n", "place"), F.struct(F.col("rep2").alias("rep"), F.col("n2").alias("n"), F.col("place2").alias("place"))
+    pairs = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"))
+    pairs = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("n2")).agg(F.count(F.lit(1)).alias("c"), F.max("x.place").alias("p"), F.max("y.place").alias("p2"))
+    return cut(pairs.filter(F.col("c") + F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6).select("a", "b"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, bands: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:

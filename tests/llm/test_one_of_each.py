@@ -72,3 +72,13 @@ def test_bands_find_what_fingerprints_miss(spark):
     assert alike(rows) == set(range(0, 120, 2))  # each pair at J = 0.82
     assert corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").count() == 60
     assert len(kept(spark, rows)) > 100  # of fingerprints alone
+
+
+def test_across_lists_every_alike_pair(spark):
+    rows = [(d, t) for d, t in chains(random.Random(8), 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (24, 4):  # components: each text its own, or mixed
+        members = spark.createDataFrame([(d, d % parts) for d, _ in rows], "rep long, component long")
+        got = {tuple(x) for x in simhash.across(docs, members, 0.8, 5, "text", "doc_id").collect()}
+        want = {(d, e) for d, x in rows for e, y in rows if d < e and d % parts != e % parts and jaccard(x, y) >= 0.8}
+        assert want and want <= got
