@@ -16,6 +16,7 @@ cut, into whole sequences and a rest.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -28,12 +29,26 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import cut, slices
 
+#: Fixed value: the published split of lower-case word vocabularies; letters, digits and runs of marks stand apart.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Parts that each length is ranked in.
 SALTS = 256
 #: Known chunks are kept up to so many.
 CACHE_ENTRIES = 600_000
 
 
+def _marks_apart(path: str) -> bool:
+    """Whether a vocabulary lower-cases and cuts letters from marks, so that `a.` and `A .` have the same ids."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [s for part in ("normalizer", "pre_tokenizer") for s in _steps(spec.get(part))]
+    return any(s["type"] == "Lowercase" for s in steps) and any(s["type"] == "Split" and s.get("invert") and s["behavior"] == "Removed" and s["pattern"].get("Regex") == PRE_TOKEN for s in steps)
+
+
+def _steps(part: dict | None) -> list[dict]:
+    return [] if part is None else part.get("normalizers", part.get("pretokenizers", [part]))
+
+
 class ChunkEncoder:
     """Ids of whole texts, where the vocabulary's pre-tokeniser never joins text across ASCII white space: each distinct chunk is encoded once."""
 
@@ -44,6 +59,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.marks_apart = _marks_apart(path)
         self._clear()
 
     def _clear(self) -> None:
@@ -55,9 +71,10 @@ class ChunkEncoder:
         if len(self.slot) > CACHE_ENTRIES:
             self._clear()
         texts = pc.fill_null(texts, "")
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token, whose case would matter
+        if self.marks_apart and not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token, whose case would matter
             # The vocabulary has lower case only, and a mark between a letter and white space is a pre-token of its own: fewer distinct chunks.
-            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,])(\s)", r"\1 \2\3")
+            # Only after ASCII letters: composing and lower-casing leave these letters, others may become something else.
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])(\s)", r"\1 \2\3")
         chunks = pc.ascii_split_whitespace(texts)
         coded = chunks.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()

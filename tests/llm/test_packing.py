@@ -43,6 +43,18 @@ def test_pieces_and_layout(spark):
     assert n <= total / 64 * 1.02 + 1
 
 
+def test_ids_of_letters_that_change_under_the_normaliser(spark):
+    r = random.Random(7)
+    signs = list("abÉéİıKÅΣσßﬁ.,.,  \n'!?0") + ["e\u0301", "क़", "שׁ", "ড়", "\u0301", "\u0307", "Ꭰ", "ⓐ", "ǅ", "\u1e9e", "\u00a0", "\u2003", "한", "각"]
+    rows = [(0, "İ. a"), (1, "क़. a"), (2, "שׁ, b"), (3, "é. b"), (4, "e\u0301. b"), (5, "K. x A. y"), (6, "it's. 'S. x")]
+    rows += [(10 + i, "".join(r.choice(signs) for _ in range(r.randrange(40)))) for i in range(2500)]
+    check(spark, rows, 64)
+
+
+def test_marks_are_left_alone_in_other_vocabularies():
+    assert packing._marks_apart(PATH) and not packing._marks_apart(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_empty_table(spark):
     assert check(spark, [], 64) == (0, 0)
 
