@@ -5,7 +5,8 @@ start is the sum of what split() leaves before it and of the earlier matches.
 
 The method adds bare values: tokens of a live look (long, letters and digits, varied) anywhere in a text. Every
 candidate value is hashed and counted by distinct repositories and distinct owners over the whole corpus. A value of
-up to MAX_OWNERS owners is owner-specific and counts as live; one that more owners have is a widely copied example.
+up to MAX_OWNERS owners and MAX_REPOSITORIES repositories is owner-specific and counts as live; one that more have is a
+widely copied example, be it by many owners or through many repositories of one.
 A bare value is added as a span of kind `owned` where it is live and touches no base span; base spans always stay.
 
 Defined results: null or empty text has no spans, base_sha256 of the empty string and an empty `spans`; repeated rows
@@ -23,28 +24,29 @@ from codeloom.llm.common import cut
 #: The patterns of the base kinds and the least length of what must be long enough (group 2; whole match).
 KINDS = [
     ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 8),
-    ("access", r"AKIA[A-Z0-9]+", 16),
-    ("hex", r"[0-9a-f]+", 32),
+    ("access", r"AKIA[A-Z0-9]{12,}", 16),
+    ("hex", r"[0-9a-f]{32,}", 32),
 ]
-#: A hex match of the least length, for the cheap test before the scan.
-SEEN = {"assign": KINDS[0][1], "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
 #: Of an assign match, all before the value: name, sign and quotes.
 BEFORE_VALUE = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?"""
 #: A bare value: as long, of these characters.
-BARE, BARE_SEEN = r"[A-Za-z0-9+/_-]+", r"[A-Za-z0-9+/_-]{24}"
+BARE = r"[A-Za-z0-9+/_-]{24,}"
 BARE_LEAST, BARE_DISTINCT = 24, 10
-#: A value with more owners than this is a widely copied example.
-MAX_OWNERS = 1
+#: A value with more owners, or in more repositories, than this is a widely copied example.
+MAX_OWNERS, MAX_REPOSITORIES = 1, 4
+#: Matches are placed in runs of so many, so that a text of many matches costs no square of them.
+RUN = 1024
+#: Parts that the rows of one hash are joined in.
+SALTS = 8
 NO_SPANS = "array<struct<start:int,end:int,value:string>>"
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str, seen: str) -> Column:
+def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end, value>>, ends exclusive, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.transform(gaps, F.char_length), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("out"))
+    pairs = F.slice(F.zip_with(F.transform(gaps, F.char_length), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))), F.lit(1), F.size(found))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -52,8 +54,18 @@ def matches(text: Column, pattern: str, seen: str) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    walked = F.aggregate(F.slice(pairs, F.lit(1), F.size(found)), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(seen), walked).otherwise(F.array().cast(NO_SPANS))
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("out"))
+    # Places within each run first, then each run moved on by the length of those before it.
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(pairs, k * RUN + 1, RUN), nothing, step))
+
+    def chain(acc: Column, run: Column) -> Column:
+        moved = F.struct(acc["at"].alias("by"), run["out"].alias("out"))
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    none_yet = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<by:int,out:{NO_SPANS}>>").alias("out"))
+    chained = F.aggregate(runs, none_yet, chain, lambda acc: acc["out"])
+    placed = F.flatten(F.transform(chained, lambda r: F.transform(r["out"], lambda m: F.struct((m["start"] + r["by"]).alias("start"), (m["end"] + r["by"]).alias("end"), m["value"].alias("value")))))
+    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(NO_SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -69,8 +81,9 @@ def _of_kind(text: Column, k: int) -> Column:
         value = F.regexp_replace(m["value"], BEFORE_VALUE, "") if kind == "assign" else m["value"]
         return F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), value.alias("value"))
 
-    # A pattern that takes only matches long enough would shift later ones, so all are taken and the short ones dropped.
-    return F.filter(F.transform(matches(text, pattern, SEEN[kind]), made), lambda s: F.char_length(s["value"]) >= least)
+    # Of the other kinds a match is a whole run, so the pattern may ask for the least length; an assign pattern that
+    # did would shift later matches, so all are taken and the short ones dropped.
+    return F.filter(F.transform(matches(text, pattern), made), lambda s: F.char_length(s["value"]) >= least)
 
 
 def live_look(value: Column) -> Column:
@@ -93,25 +106,28 @@ def ownership(each: DataFrame) -> DataFrame:
     return once.groupBy("hash").agg(F.count_distinct("__owner").alias("owners"), F.count_distinct("__repo").alias("repositories"), F.sum("n").alias("copies"))
 
 
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str | None = "source", repository: str | None = None, max_owners: int = MAX_OWNERS, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str | None = "source", repository: str | None = None, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs → key, keep..., n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, found.
 
-    owner, repository: columns that name who holds a document and where (repository: the owner's by default).
-    n_live, n_example: base spans whose value has up to max_owners owners, or more. found: all spans by start and
+    owner, repository: columns that name who holds a document and where (by default each document is its own).
+    n_live, n_example: base spans whose value is live, or a copied example. found: all spans by start and
     kind, with value, owners, repositories, copies and live.
     """
     owner_of = F.col(owner).cast("string") if owner else F.lit(None).cast("string")
-    repo_of = F.col(repository).cast("string") if repository else owner_of
+    repo_of = F.col(repository or key).cast("string")
     whole = F.coalesce(F.col(text), F.lit(""))
     kept = [F.col(c) for c in dict.fromkeys((key, *keep))]
-    base = docs.select(F.struct(*kept).alias("__kept"), owner_of.alias("__owner"), repo_of.alias("__repo"), base_spans(whole).alias("__base"), F.filter(matches(whole, BARE, BARE_SEEN), lambda m: live_look(m["value"])).alias("__bare"))
+    base = docs.select(F.struct(*kept).alias("__kept"), owner_of.alias("__owner"), repo_of.alias("__repo"), base_spans(whole).alias("__base"), F.filter(matches(whole, BARE), lambda m: live_look(m["value"])).alias("__bare"))
     free = F.filter("__bare", lambda m: ~F.exists("__base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
     bare = F.transform(free, lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
     # The texts are scanned once; what goes on is the spans.
     rows = cut(base.select("__kept", "__owner", "__repo", F.concat("__base", bare).cast(SPANS).alias("__all"))).withColumn("__row", F.monotonically_increasing_id())
     each = _exploded(rows)
-    span = F.struct("s.start", "s.kind", "s.end", "s.value", "owners", "repositories", "copies", (F.col("owners") <= max_owners).alias("live"))
-    judged = each.join(ownership(each), "hash").groupBy("__row").agg(F.array_sort(F.collect_list(span)).alias("found"))
+    span = F.struct("s.start", "s.kind", "s.end", "s.value", "owners", "repositories", "copies", ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("live"))
+    # A copied example may have a large share of all rows: they meet their hash in SALTS parts.
+    known = ownership(each).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = each.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int"))
+    judged = salted.join(known, ["hash", "__salt"]).groupBy("__row").agg(F.array_sort(F.collect_list(span)).alias("found"))
     with_any = rows.filter(F.size("__all") > 0).join(judged, "__row").select("__kept", "found")
     kind_of = judged.schema["found"].dataType.simpleString()
     both = with_any.unionByName(rows.filter(F.size("__all") == 0).select("__kept", F.array().cast(kind_of).alias("found")))
@@ -148,28 +164,27 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str
 
 
 def oracle() -> str:
-    """The same as SQL for DuckDB over `documents` (owner and repository: source), but for the extra column found."""
-    scans = " UNION ALL ".join(
-        f"""SELECT r, {k} AS kind, unnest(range(1, 1 + len(m)))::BIGINT AS i, m, g FROM (SELECT r, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM d)"""
-        for k, p in enumerate([x.replace("'", "''") for x in (*[p for _, p, _ in KINDS], BARE)])
-    )
+    """The same as SQL for DuckDB over `documents` (owner: source; repository: doc_id), but for the extra column found."""
+    quoted = [x.replace("'", "''") for x in (*[p for _, p, _ in KINDS], BARE)]
+    scans = " UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}')" for k, p in enumerate(quoted))
     before = BEFORE_VALUE.replace("'", "''")
     least = " ".join(f"WHEN {k} THEN {n}" for k, (*_, n) in enumerate(KINDS))
     names = " ".join(f"WHEN {k} THEN '{n}'" for k, (n, *_) in enumerate(KINDS))
-    text = "string_agg(CASE kind {names} ELSE 'owned' END || ':' || s || ':' || e, ',' ORDER BY s, kind)".replace("{names}", names)
+    text = f"string_agg(CASE kind {names} ELSE 'owned' END || ':' || s || ':' || e, ',' ORDER BY s, kind)"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 raw AS ({scans}),
-placed AS (SELECT r, kind, m[i] AS v0, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS s FROM raw),
+each AS (SELECT r, kind, unnest(range(1, 1 + len(m)))::BIGINT AS i, unnest(m) AS v0, length(unnest(g[1:len(m)])) AS gap FROM raw),
+placed AS (SELECT r, kind, v0, sum(gap + length(v0)) OVER (PARTITION BY r, kind ORDER BY i) - length(v0) AS s FROM each),
 sp AS (SELECT r, kind, s::BIGINT AS s, (s + length(v0))::BIGINT AS e, CASE WHEN kind = 0 THEN regexp_replace(v0, '{before}', '') ELSE v0 END AS v FROM placed),
 base AS (SELECT * FROM sp WHERE kind < {len(KINDS)} AND length(v) >= CASE kind {least} END),
-bare AS (SELECT * FROM sp WHERE kind = {len(KINDS)} AND length(v) >= {BARE_LEAST} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {BARE_DISTINCT}
+bare AS (SELECT * FROM sp WHERE kind = {len(KINDS)} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {BARE_DISTINCT}
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = sp.r AND b.s < sp.e AND sp.s < b.e)),
 cand AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
-own AS (SELECT v, count(DISTINCT source) AS owners FROM cand JOIN d USING (r) GROUP BY v),
-judged AS (SELECT cand.*, owners <= {MAX_OWNERS} AS live FROM cand JOIN own USING (v)),
+own AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repositories FROM cand JOIN d USING (r) GROUP BY v),
+judged AS (SELECT cand.*, owners <= {MAX_OWNERS} AND repositories <= {MAX_REPOSITORIES} AS live FROM cand JOIN own USING (v)),
 per AS (SELECT r, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{n}" for k, (n, *_) in enumerate(KINDS))},
-  {text.replace(" ORDER BY", " ORDER BY")} FILTER (kind < {len(KINDS)}) AS b, {text} FILTER (kind < {len(KINDS)} OR live) AS a,
+  {text} FILTER (kind < {len(KINDS)}) AS b, {text} FILTER (kind < {len(KINDS)} OR live) AS a,
   count(*) FILTER (kind < {len(KINDS)} AND live) AS n_live, count(*) FILTER (kind < {len(KINDS)} AND NOT live) AS n_example FROM judged GROUP BY r)
 SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n, *_ in KINDS)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM d LEFT JOIN per USING (r)"""

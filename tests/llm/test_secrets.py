@@ -39,6 +39,24 @@ def test_base_and_owned(spark):
     assert {(r.doc_id, r.n_live, r.n_example) for r in got if r.doc_id == 5} == {(5, 0, 1)}  # two owners
 
 
+def test_copies_through_repositories_of_one_owner_are_examples(spark):
+    value = "Zz3Cd5Ef7Gh9Jk1Lm3Np5Qr7St"
+    for n, live in ((secrets.MAX_REPOSITORIES, True), (secrets.MAX_REPOSITORIES + 1, False)):
+        rows = [(i, f"x {value} token={value}", "one", f"r{i}") for i in range(n)] + [(900, f"{value}", "one", "r0")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+        got = secrets.scan(docs, repository="repo").collect()
+        assert len(got) == n + 1 and all(("owned" in r.spans) == live for r in got)
+        assert sum(r.n_live for r in got) == (n if live else 0) and sum(r.n_example for r in got) == (0 if live else n)
+        (found,) = {(f.owners, f.repositories, f.copies) for r in secrets.scan(docs.filter("doc_id < 900"), repository="repo").collect() for f in r.found}
+        assert found[:2] == (1, n)
+
+
+def test_very_long_text_of_many_matches(spark):
+    runs = "é " + " ".join(f"{i:040x}" for i in range(5000)) + " token=abcdefghij" * 3000
+    (r,) = secrets.scan(spark.createDataFrame([(1, runs, "s")], "doc_id long, text string, source string")).collect()
+    assert (r.n_hex, r.n_assign) == (5000, 3000) and [x for x in r.spans.split(",") if not x.startswith("owned")] == brute(runs)
+
+
 def test_redact(spark):
     rows = [(i, t, f"s{i}", len(t or "")) for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], "s0", 5), (None, TEXTS[0], "s0", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
