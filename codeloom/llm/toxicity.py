@@ -2,12 +2,16 @@
 
 A sentence's log-odds are a base plus the weights of its words; a word's weight is the sum over its hashed features
 (the word, its beginnings, its character n-grams), so that unseen forms of a known stem count. A document's score is
-the noisy-or of its sentences, with the base as one leak for the whole document instead of one for each sentence: else any text
-would become toxic by length alone. Training sees document labels only; the sentence scores then say where.
+the noisy-or of its sentences, 1 - (1 - leak) * product of (1 - p) / (1 - leak) over the sentences whose p exceeds the leak, where the
+leak is the base of one sentence, counted once for the whole document: else any text would become toxic by length
+alone. Training sees document labels only; the sentence scores then say where.
+
+The fit follows the gradient of that likelihood, with one departure: in a document of label 1 a sentence below the
+leak, on which the likelihood is flat, gets the gradient that it would have above, so that it can still become the reason.
 
 The classifier is fitted in one task on a bounded sample of labelled rows: about SAMPLE rows of each label, those
-of small hashes of their id, with texts of up to SAMPLE_CHARS characters. Classes are weighted back to their
-shares among all labels. Scoring covers every whole text.
+of small hashes of their id, with their whole texts. Classes are weighted back to their shares among all labels.
+Of rows that repeat an id and label the first text in order is learned from. Scoring covers every whole text.
 
 Defined results: a null or empty text has the leak as its score; without both labels to learn from every score
 is 0; repeated rows each give a row; a null key is not held out; a null label doesn't count; other columns are ignored.
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import held_out, sampled, slices
 
-SAMPLE, SAMPLE_CHARS = 2500, 20_000
+SAMPLE = 2500
 FEATURES = 1 << 18
 ROUNDS, RATE, DAMP, SPARSE = 60, 0.1, 1e-2, 2e-4
 CACHE_ENTRIES = 300_000
@@ -130,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     counts = {r[0]: r[1] for r in known.groupBy("__y").count().collect()}
     picked = [sampled(known.filter(F.col("__y") == y), ["__k", "__y"], sample) for y in (0, 1)]
     # The sample is bounded, so it may be broadcast; the texts aren't shuffled.
-    rows = docs.join(F.broadcast(picked[0].unionByName(picked[1])), F.col(key) == F.col("__k")).filter(F.length(text) <= SAMPLE_CHARS)
+    rows = docs.join(F.broadcast(picked[0].unionByName(picked[1])), F.col(key) == F.col("__k")).filter(F.col(text).isNotNull())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["k", "t"])
@@ -142,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         return pd.DataFrame({"at": np.r_[-1, used], "w": np.r_[model.base, model.weights[used].astype(float)]})
 
     # The bounded sample goes to one task; the driver gets the weights that aren't zero.
-    few = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col("__y").alias("y")).dropDuplicates(["k", "y"])
+    few = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col("__y").alias("y")).groupBy("k", "y").agg(F.min("t").alias("t"))
     got = few.groupBy().applyInPandas(run, "at int, w double").collect()
     if not got:
         return None
@@ -176,7 +180,8 @@ class Scorer:
         doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         total = self.leak + np.bincount(doc_of, more, len(docs))
         scores = (-np.expm1(-total)).tolist()
-        return [(p, self._where(t, locate) if locate is not None else []) for p, t in zip(scores, texts)]
+        # No sentence scores more than its document, leak included, so documents under `locate` have nothing to locate.
+        return [(p, self._where(t, locate) if locate is not None and p >= locate - 1e-9 else []) for p, t in zip(scores, texts)]
 
     def _where(self, text: str | None, least: float) -> list[tuple[int, int, float]]:
         out, at = [], 0

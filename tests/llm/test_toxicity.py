@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 from codeloom.llm import toxicity
 from codeloom.llm.common import py_held_out
@@ -39,6 +41,31 @@ def test_held_out_and_location(spark):
     assert rows and "Winter light. You grumbash vexlings! Paper."[where.start : where.end] == " You grumbash vexlings"
 
 
+def test_scores_are_the_noisy_or_of_sentences():
+    rows, labels = made(200)
+    model = toxicity.fit([t for _, t in rows], [y for _, y in labels], [1.0] * len(rows))
+    texts = [t for _, t in rows] + ["", None, "Vexling. Grumbish vexlord!\ncalm"]
+    for text, (score, where) in zip(texts, toxicity.Scorer(model).score(texts, 0.3)):
+        leak, clean, offending, at = 1 / (1 + math.exp(-model.base)), 1.0, [], 0
+        for s in re.split(r"([.!?\n])", text or ""):
+            words = set(toxicity._letters.findall(s.lower()))
+            if words:
+                p = 1 / (1 + math.exp(-model.base - sum(float(model.weights[toxicity.features(w)].sum()) for w in words)))
+                clean *= min(1.0, (1 - p) / (1 - leak))
+                offending += [(at, at + len(s))] if p >= 0.3 else []
+            at += len(s)
+        assert abs(score - (1 - (1 - leak) * clean)) < 1e-4
+        assert [(a, b) for a, b, _ in where] == offending
+
+
+def test_long_texts_and_repeated_ids_are_learned_from(spark):
+    rows, labels = made(300)
+    long = [(d, t + " calm river" * 4000) for d, t in rows]  # over 40,000 characters each
+    got = [toxicity.learn(*frames(spark, x, labels)) for x in (long + long[:5], (long + long[:5])[::-1])]
+    assert got[0] is not None and got[0].base == got[1].base and (got[0].weights == got[1].weights).all()
+    assert toxicity.Scorer(got[0]).score(["grumbish vexlord"])[0][0] > 0.3 > toxicity.Scorer(got[0]).score(["calm river"])[0][0]
+
+
 def test_nothing_to_learn_from(spark):
     got = toxicity.toxicity(*frames(spark, [(1, "grumbish"), (2, None)], [(1, 0)])).collect()
     assert [(g.score, g.predicted) for g in got] == [(0.0, 0)] * 2
