@@ -7,6 +7,7 @@ import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,13 @@ def sampled(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     return rows.dropDuplicates(keys)
 
 
+def chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts cut at ASCII white space: the distinct chunks, the number of each chunk in a row, and where each text begins (one more at the end)."""
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = parts.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that column holds about `limit` bytes in each; a longer value comes alone."""
     for batch in batches:
