@@ -33,6 +33,8 @@ from codeloom.llm.common import cut, slices
 from codeloom.llm.components import components
 
 BITS = 64
+#: Shingle hashes spread to bits at a time.
+HASHES = 200_000
 BUCKET_PAIRS = 64
 #: Least hashes of a shingle set in each band: a pair of Jaccard similarity j shares one of b bands with probability 1 - (1 - j^BAND)^b.
 BAND = 5
@@ -60,18 +62,16 @@ def fingerprints(texts: list[str | None], shingle: int, seed: int = 42) -> list[
                 start = np.r_[0, stop[:-1]][: len(w) - shingle + 1].tolist()
                 hashes += [digest(joined[i:j], seed) for i, j in zip(start, (stop[shingle - 1 :] - 1).tolist())]
         ends.append(len(hashes))
-    ends = np.array(ends)
-    begin = np.r_[0, ends[:-1]]
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(ends > begin)
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    for part in np.array_split(full, max(1, len(hashes) // 200_000)):
-        if len(part):
-            lo, hi = begin[part[0]], ends[part[-1]]
-            sums = np.add.reduceat(bits[lo:hi], begin[part] - lo, axis=0, dtype=np.int32)
-            set_ = sums * 2 > (ends[part] - begin[part])[:, None]
-            out[part] = np.packbits(set_, axis=1).view(">u8").ravel()
-    return out.view(np.int64).tolist()
+    ends = np.array(ends, np.int64)
+    sizes = np.diff(np.r_[0, ends])
+    raw = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
+    of = np.repeat(np.arange(len(texts)), sizes)
+    sums = np.zeros((len(texts), BITS), np.int64)
+    for k in range(0, len(raw), HASHES):  # a bounded number of hashes is spread to bits at a time
+        mine = of[k : k + HASHES]
+        first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+        sums[mine[first]] += np.add.reduceat(np.unpackbits(raw[k : k + HASHES], axis=1), first, axis=0, dtype=np.int64)
+    return np.packbits(sums * 2 > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64).tolist()
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -236,9 +236,9 @@ def across(docs: DataFrame, members: DataFrame, similarity: float, shingle: int,
     """members (rep, component) → pairs (a, b) of different components, every alike one among them.
 
     Sets of that similarity share a shingle among the first n - ceil(similarity n) + 1 of each, in any one order; rare
-    shingles come first, so what many texts have in common pairs nothing. After the last of those that two sets share,
-they share no more than the shorter rest holds, which drops most pairs before they are checked. At a shingle, those of its largest component,
-    which may be thousands of copies, are paired with the others only.
+    shingles come first, so what many texts have in common pairs nothing. A text that has much of its own can't share
+    enough with any other, which drops nearly all that meet in the join itself. At a shingle, those of its largest
+    component, which may be thousands of copies, are paired with the others only.
     """
     sets = shingle_sets(docs.join(members.select(F.col("rep").alias(key)), key, "left_semi"), shingle, text, key)
     sets = sets.withColumnRenamed(key, "rep").groupBy("rep").agg(F.min("shingles").alias("shingles")).join(members, "rep")
@@ -257,18 +257,22 @@ they share no more than the shorter rest holds, which drops most pairs before th
     single = F.col("n") - F.size("list")
     prefix = F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1
     head = shared.withColumn("single", single).select("rep", "component", "n", "single", F.posexplode(F.slice("list", F.lit(1), F.greatest(prefix - single, F.lit(0)).cast("int"))).alias("i", "x"))
-    first = cut(head.select("rep", "component", "n", F.col("x.s").alias("s"), (F.col("single") + F.col("i") + 1).alias("place")))
+    first = cut(head.select("rep", "component", "n", "single", F.col("x.s").alias("s"), (F.col("single") + F.col("i") + 1).alias("place")))
     most = first.groupBy("s", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("s", "most")
     theirs = first.join(most, "s")
-    other = theirs.filter("component != most").select("s", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("place").alias("place2"))
-    lengths = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-6
+    other = theirs.filter("component != most").select("s", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("place").alias("place2"), F.col("single").alias("single2"))
     once = (F.col("component") == F.col("most")) | (F.col("rep") < F.col("rep2"))
-    pairs = theirs.join(other, "s").filter((F.col("component") != F.col("component2")) & once & lengths)
+    # What two sets of these sizes must share; then they share one of the first n - need + 1 of both. Up to a common shingle they share no more
+    # than the shorter part without what only one text has, from there on no more than the shorter rest.
+    need = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6)
+    early = (F.col("place") <= F.col("n") - need + 1) & (F.col("place2") <= F.col("n2") - need + 1)
+    enough = F.least(F.col("place") - F.col("single"), F.col("place2") - F.col("single2")) + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= need
+    pairs = theirs.join(other, (theirs.s == other.s) & (F.col("component") != F.col("component2")) & once & early & enough)
     # Which side a text is on differs by shingle; a pair's shingles are counted together.
     one, two = F.struct("rep", "n", "place"), F.struct(F.col("rep2").alias("rep"), F.col("n2").alias("n"), F.col("place2").alias("place"))
     pairs = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"))
     pairs = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("n2")).agg(F.count(F.lit(1)).alias("c"), F.max("x.place").alias("p"), F.max("y.place").alias("p2"))
-    return cut(pairs.filter(F.col("c") + F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6).select("a", "b"))
+    return cut(pairs.filter(F.col("c") + F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) >= need).select("a", "b"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, bands: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
