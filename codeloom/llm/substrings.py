@@ -12,6 +12,8 @@ only 3 of 7 positions are hashed.
 
 Tasks first merge what they have: of a common anchor or window one entry goes on for each task, however many documents
 hold it, and what the task knows already passes through beside it. A bucket holds a hash share of that, as Arrow-packed arrays.
+The bytes of all texts, counted first, say how many buckets (BUCKET_BYTES of text each) and tasks (PART_BYTES) there are, so that
+neither grows with the corpus.
 
 Defined results: a null or empty text has no words and the digest of the empty string; a null key neither removes nor
 loses words; repeated rows are one document for removal and each give a row (with one key and different texts,
@@ -38,6 +40,9 @@ PERIOD, COVER = 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries that a task gathers before it hands them on.
 FLUSH = 2_000_000
+#: Text that a bucket, and a task that gathers buckets, stands for; bits of a bucket's number and of what it keeps of an anchor.
+BUCKET_BYTES, PART_BYTES = 128 << 20, 1 << 30
+BUCKET_BITS, KEPT_BITS = 23, 40
 PACKED = "bucket int, known boolean, ids binary, counts binary, part0 binary"
 _BASE_A, _BASE_B, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -82,12 +87,12 @@ def anchors(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def folded(h: np.ndarray, buckets: int) -> np.ndarray:
-    """What a bucket keeps of an anchor: itself and 48 bits."""
-    return (bucket_of(h, buckets) << 48) | (h & np.uint64((1 << 48) - 1)).astype(np.int64)
+    """What a bucket keeps of an anchor: itself and 40 bits."""
+    return (bucket_of(h, buckets) << KEPT_BITS) | (h & np.uint64((1 << KEPT_BITS) - 1)).astype(np.int64)
 
 
 def _packed(buckets: np.ndarray, docs: np.ndarray, parts: list[np.ndarray], known: bool) -> Iterator[tuple]:
@@ -124,7 +129,12 @@ def _by_id(ids: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip([*_PACKED, "part0"], cols, [*_PACKED_TYPES, pa.binary()])})
 
 
-def _per_id(met: DataFrame, kind: str, finish: Callable[[np.ndarray], bytes]) -> DataFrame:
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """rows, to be grouped by bucket, dealt to `parts` tasks where the session's number is smaller."""
+    return rows.repartition(parts, "bucket") if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
+def _per_id(met: DataFrame, kind: str, finish: Callable[[np.ndarray], bytes], parts: int) -> DataFrame:
     """Packed rows of a share of the ids → (id, found: what finish makes of its values)."""
 
     def gather(table: pa.Table) -> pa.Table:
@@ -134,7 +144,7 @@ def _per_id(met: DataFrame, kind: str, finish: Callable[[np.ndarray], bytes]) ->
         start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         return pa.table({"id": pa.array(ids[start], pa.int64()), "found": pa.array([finish(v) for v in np.split(values, start[1:])], pa.binary())})
 
-    return met.groupBy("bucket").applyInArrow(gather, "id long, found binary")
+    return _dealt(met, parts).groupBy("bucket").applyInArrow(gather, "id long, found binary")
 
 
 def _gathered(docs: DataFrame, collect: Callable, hand_on: Callable, parts: int) -> DataFrame:
@@ -168,7 +178,7 @@ def _runs(*sorted_: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+def shared_anchors(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
     """(id, text) → (id, found: bytes of its folded anchors that other ids have as well)."""
 
     def collect(b: pa.RecordBatch) -> tuple:
@@ -189,25 +199,25 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     def hand_on(key: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
         key, ids, run, first, n = split(key, ids)
         many = n[run] > 1
-        low = lambda k: np.ascontiguousarray((k & ((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-        yield from _packed(key[first] >> 48, ids[first], [low(key[first])], False)
-        yield from _packed(key[many] >> 48, ids[many], [low(key[many])], True)
+        low = lambda k: np.ascontiguousarray((k & ((1 << KEPT_BITS) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEPT_BITS // 8])
+        yield from _packed(key[first] >> KEPT_BITS, ids[first], [low(key[first])], False)
+        yield from _packed(key[many] >> KEPT_BITS, ids[many], [low(key[many])], True)
 
     def meet(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        known, ids, raw = _unpacked(table, ["V6"])
+        known, ids, raw = _unpacked(table, [f"V{KEPT_BITS // 8}"])
         key = np.zeros((len(raw), 8), np.uint8)
-        key[:, :6] = raw.view(np.uint8).reshape(-1, 6)
-        key = key.view("<i8").ravel() | bucket << 48
+        key[:, : KEPT_BITS // 8] = raw.view(np.uint8).reshape(-1, KEPT_BITS // 8)
+        key = key.view("<i8").ravel() | bucket << KEPT_BITS
         k, i, run, _, n = split(key[~known], ids[~known])
         again = n[run] > 1
         return _by_id(np.r_[i[again], ids[known]], np.r_[k[again], key[known]].astype("<i8"), max(16, buckets // 2))
 
-    met = _gathered(docs, collect, hand_on, 1).groupBy("bucket").applyInArrow(meet, PACKED)
-    return _per_id(met, "<i8", lambda v: v.tobytes())
+    met = _dealt(_gathered(docs, collect, hand_on, 1), parts).groupBy("bucket").applyInArrow(meet, PACKED)
+    return _per_id(met, "<i8", lambda v: v.tobytes(), parts)
 
 
-def covered_words(held: DataFrame, buckets: int) -> DataFrame:
+def covered_words(held: DataFrame, buckets: int, parts: int) -> DataFrame:
     """(id, text, found: its shared anchors) → (id, found: the runs of words within windows that a smaller id has, as bytes)."""
 
     def collect(b: pa.RecordBatch) -> tuple:
@@ -258,8 +268,8 @@ def covered_words(held: DataFrame, buckets: int) -> DataFrame:
             at.append(a)
         return _by_id(np.concatenate(ids), np.concatenate(at), max(16, buckets // 2))
 
-    met = _gathered(held, collect, hand_on, 3).groupBy("bucket").applyInArrow(meet, PACKED)
-    return _per_id(met, "<u4", spans)
+    met = _dealt(_gathered(held, collect, hand_on, 3), parts).groupBy("bucket").applyInArrow(meet, PACKED)
+    return _per_id(met, "<u4", spans, parts)
 
 
 def spans(starts: np.ndarray) -> bytes:
@@ -283,12 +293,14 @@ def remove(text: str | None, gone: np.ndarray) -> tuple[int, int, bytes]:
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_text: bool = True) -> DataFrame:
     """docs → key, n_words, n_removed, kept_sha256[, kept]."""
     spark = docs.sparkSession
-    buckets = min(32_767, max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     with_id = plain.filter("id is not null")
-    hits = cut(shared_anchors(with_id, buckets))
+    size = with_id.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    buckets = min(1 << BUCKET_BITS, max(16, 2 * parts, -(-size // BUCKET_BYTES)))
+    hits = cut(shared_anchors(with_id, buckets, parts))
     release(spark)
-    gone = cut(covered_words(with_id.join(hits, "id"), buckets))
+    gone = cut(covered_words(with_id.join(hits, "id"), buckets, parts))
     release(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
