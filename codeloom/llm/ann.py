@@ -7,10 +7,11 @@ SAMPLE rows, those of small hashes of their id); every row is encoded, and the c
 
 Queries are taken in blocks of about BLOCK, each of which goes to all index rows; per batch of rows, byte tables (two
 four-bit codes each) are summed in 16-bit numbers, the RERANK best distinct vectors are scored exactly in double
-precision, and each task hands on its `k` best for each query.
+precision (summed in the order of the components), and each task hands on its `k` best for each query. What a block finds is
+written to the shared folder, so that neither the plan nor the driver holds more than one block.
 
-Defined results: vectors null, zero, with null or non-finite components, or not of the commonest length take no part, as
-neither do null ids; equal vectors are looked at once and stand for all their ids; a repeated row (id and vector)
+Defined results: vectors null, zero, or with null or non-finite components take no part, as neither do null ids; a
+vector is compared with those of its own length, for others there is no inner product; equal vectors are looked at once and stand for all their ids; a repeated row (id and vector)
 counts once; of several vectors of one query id the first in order is the query; fewer candidates than k give fewer rows.
 """
 
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, sampled
+from codeloom.llm.common import cut, sampled, scratch
 
-SAMPLE, BLOCK, RERANK = 8_000, 2048, 128
+SAMPLE, BLOCK, RERANK = 8_000, 8192, 128
 CENTRES, SWEEPS, ROUNDS = 16, 2, 6
 #: Inner products under this share of the norm don't matter; gives η = (d - 1) T² / (1 - T²).
 THRESHOLD = 0.2
@@ -100,13 +101,11 @@ class Quantiser:
         return (lut[1::2, :, None] + lut[::2, None]).reshape(len(lut) // 2, CENTRES * CENTRES, -1)
 
 
-def usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """Rows that take part, as (id, v), and their dimension."""
+def usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, list[int]]:
+    """Rows that take part, as (id, v), and the lengths that occur."""
     v = F.col("v")
     fit = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    widest = fit.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    d = widest[0].d if widest else 0
-    return fit.filter(F.size("v") == d), d
+    return fit, sorted(r.d for r in fit.select(F.size("v").alias("d")).distinct().collect())
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -129,6 +128,14 @@ def build_index(fit: DataFrame, d: int, sample: int = SAMPLE) -> tuple[DataFrame
     return cut(fit.mapInArrow(run, f"id long, v {fit.schema['v'].dataType.simpleString()}, code binary")), quantiser
 
 
+def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(q, r, d) and (q, d) → (q, r): inner products, summed one component after the other, so that they are the same everywhere."""
+    total = np.zeros(a.shape[:2])
+    for j in range(a.shape[2]):
+        total += a[:, :, j] * b[:, None, j]
+    return total
+
+
 def _distinct(ids: np.ndarray, vectors: np.ndarray, keep: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """First places of the distinct vectors, by smallest id, and each one's `keep` smallest ids."""
     order = np.argsort(ids, kind="stable")
@@ -161,7 +168,7 @@ def search_block(index: DataFrame, quantiser: Quantiser, d: int, query_ids: np.n
                         total += table[j][codes[:, j]]
                     total = total.T
                     near = np.argpartition(total, len(places) - least, axis=1)[:, len(places) - least :]
-                    exact = np.einsum("qrd,qd->qr", vectors[near], queries[at : at + WIDE])
+                    exact = inner(vectors[near], queries[at : at + WIDE])
                     # By score, then smallest id: the distinct vectors lie in the order of their smallest ids.
                     order = np.lexsort((near, -exact), axis=1)[:, : k + 1]
                     for q, (cols, values) in enumerate(zip(np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1))):
@@ -176,23 +183,38 @@ def search_block(index: DataFrame, quantiser: Quantiser, d: int, query_ids: np.n
     return index.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
-    """Queries: rows whose id is divisible by `every`. → query_id, rank (from 1), vec_id, score; ties to the smaller id."""
-    fit, d = usable(vectors, key, vector)
-    if not d:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, quantiser = build_index(fit, d)
+def _blocks(index: DataFrame, quantiser: Quantiser, d: int, every: int, k: int, rerank: int, block: int) -> Iterator[DataFrame]:
+    """(query_id, vec_id, score) of one block of queries after the other."""
     asked = index.filter(F.col("id") % every == 0)
     blocks = max(1, -(-asked.count() // block))
-    found = None
     for n in range(blocks):
-        # A block is bounded: its share of the queries by a hash of their ids.
-        rows = sorted((r.id, tuple(r.v)) for r in asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).select("id", "v").collect())
-        rows = [r for i, r in enumerate(rows) if not i or rows[i - 1][0] != r[0]]
+        # A block is bounded: its share of the queries by a hash of their ids, of which equal ones are one query.
+        share = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).groupBy("id").agg(F.min("v").alias("v"))
+        rows = sorted((r.id, tuple(r.v)) for r in share.collect())
         if rows:
-            part = search_block(index, quantiser, d, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), k, rerank)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+            yield search_block(index, quantiser, d, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), k, rerank)
+
+
+def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
+    """Queries: rows whose id is divisible by `every`. → query_id, rank (from 1), vec_id, score; ties to the smaller id."""
+    spark = vectors.sparkSession
+    fit, lengths = usable(vectors, key, vector)
+    folder, some = scratch(spark, "nearest"), False
+    for d in lengths:
+        for part in _blocks(*build_index(fit.filter(F.size("v") == d), d), d, every, k, rerank, block):
+            part.write.mode("append").parquet(folder)
+            some = True
+    if not some:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = spark.read.schema("query_id long, vec_id long, score double").parquet(folder)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def oracle(every: int = 20, k: int = 20) -> str:
+    """The same as SQL for DuckDB over `embeddings`: all inner products, so equal where no neighbour is missed."""
+    return f"""
+WITH e AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+q AS (SELECT vec_id AS query_id, min(v) AS w FROM e WHERE vec_id % {every} = 0 GROUP BY vec_id),
+s AS (SELECT DISTINCT query_id, vec_id, list_inner_product(v, w) AS score FROM q JOIN e ON vec_id <> query_id AND len(v) = len(w))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= {k}"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -31,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for a table that is written in parts."""
+    shared_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove shuffle files that nothing refers to any more: after a cut, all that led to it. Else they stay until the driver's JVM happens to collect its garbage."""
     gc.collect()

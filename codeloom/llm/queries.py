@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import secrets, substrings
+from codeloom.llm import ann, secrets, substrings
 from codeloom.llm.ann import nearest
 from codeloom.llm.common import table
 from codeloom.llm.decontamination import contaminated
@@ -78,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {"op1_secrets": secrets.oracle(), "op6_substrings": substrings.oracle()}
+ORACLES: dict[str, str] = {"op1_secrets": secrets.oracle(), "op6_substrings": substrings.oracle(), "op7_nearest": ann.oracle()}

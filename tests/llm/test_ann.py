@@ -64,3 +64,18 @@ def test_parallel_error_is_penalised():
         return ((rest * unit).sum((1, 2)) ** 2).mean()
 
     assert along(0.6) < 0.5 * along(0.0)
+
+
+def test_each_length_is_searched_and_blocks_change_nothing(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=4 if i % 3 else 6).tolist()) for i in range(200)] + [(1000, [1.0]), (1020, [2.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q, v in rows:
+        if q % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v))[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(near)]
+    for block in (3, 8192):
+        got = sorted(tuple(x) for x in ann.nearest(frame, every=20, k=5, block=block).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+        assert max(abs(g[3] - w[3]) for g, w in zip(got, sorted(want))) < 1e-12
