@@ -16,6 +16,7 @@ cut, into whole sequences and a rest.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import zlib
@@ -33,8 +34,10 @@ from codeloom.llm.common import cut, slices
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Parts that each length is ranked in.
 SALTS = 256
+#: Text that is encoded at a time.
+ENCODED_BYTES = 2 << 20
 #: Known chunks are kept up to so many.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 
 
 def _marks_apart(path: str) -> bool:
@@ -81,11 +84,10 @@ class ChunkEncoder:
         slot = self.slot
         new = [x for x in names if x not in slot]
         got, lengths = [], []
-        for k in range(0, len(new), 20_000):
-            for e in self.tokenizer.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False):
-                ids = e.ids
-                got.append(np.array(ids, np.uint32))
-                lengths.append(len(ids))
+        for k in range(0, len(new), 5_000):
+            part = [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 5_000], add_special_tokens=False)]
+            lengths += map(len, part)
+            got.append(np.fromiter(itertools.chain.from_iterable(part), np.uint32))
         slot.update(zip(new, range(len(slot), len(slot) + len(new))))
         self.lengths = np.r_[self.lengths, np.array(lengths, np.int64)]
         self.flat = np.concatenate([self.flat, *got])
@@ -108,7 +110,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
-        for b in slices(batches, text):
+        for b in slices(batches, text, ENCODED_BYTES):
             ids, sizes = encoder.encode(b.column(text))
             rows: list[tuple] = []
             begin = 0
