@@ -34,7 +34,9 @@ from codeloom.llm.components import components
 
 BITS = 64
 #: Shingle hashes spread to bits at a time.
-HASHES = 200_000
+HASHES = 50_000
+#: Text that is described at a time.
+DESCRIBED_BYTES = 2 << 20
 BUCKET_PAIRS = 64
 #: Least hashes of a shingle set in each band: a pair of Jaccard similarity j shares one of b bands with probability 1 - (1 - j^BAND)^b.
 BAND = 5
@@ -46,31 +48,34 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_LOWER).split() if text else []
 
 
+def shingles(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles of a text, repeats included; of fewer words, of the whole sequence."""
+    w = words(text)
+    if not w:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(w), xxhash.xxh64_intdigest
+    if len(w) <= shingle:
+        return np.array([digest(joined, seed)], np.uint64)
+    stop = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    start = np.r_[0, stop[:-1]][: len(w) - shingle + 1].tolist()
+    return np.fromiter((digest(joined[i:j], seed) for i, j in zip(start, (stop[shingle - 1 :] - 1).tolist())), np.uint64, len(start))
+
+
 def fingerprints(texts: list[str | None], shingle: int, seed: int = 42) -> list[int]:
     """Signed 64-bit fingerprints of a batch of texts."""
-    hashes: list[int] = []
-    ends = []
-    digest = xxhash.xxh64_intdigest
-    for text in texts:
-        w = words(text)
-        if w:
-            joined = b" ".join(w)
-            if len(w) <= shingle:
-                hashes.append(digest(joined, seed))
-            else:
-                stop = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-                start = np.r_[0, stop[:-1]][: len(w) - shingle + 1].tolist()
-                hashes += [digest(joined[i:j], seed) for i, j in zip(start, (stop[shingle - 1 :] - 1).tolist())]
-        ends.append(len(hashes))
-    ends = np.array(ends, np.int64)
-    sizes = np.diff(np.r_[0, ends])
-    raw = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
-    of = np.repeat(np.arange(len(texts)), sizes)
-    sums = np.zeros((len(texts), BITS), np.int64)
+    return summed([shingles(t, shingle, seed) for t in texts])
+
+
+def summed(hashes: list[np.ndarray]) -> list[int]:
+    """Fingerprints of texts from the hashes of their shingles."""
+    sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
+    raw = np.concatenate([np.zeros(0, np.uint64), *hashes]).astype(">u8").view(np.uint8).reshape(-1, 8)
+    of = np.repeat(np.arange(len(hashes)), sizes)
+    sums = np.zeros((len(hashes), BITS), np.int64)
     for k in range(0, len(raw), HASHES):  # a bounded number of hashes is spread to bits at a time
         mine = of[k : k + HASHES]
         first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-        sums[mine[first]] += np.add.reduceat(np.unpackbits(raw[k : k + HASHES], axis=1), first, axis=0, dtype=np.int64)
+        sums[mine[first]] += np.add.reduceat(np.unpackbits(raw[k : k + HASHES], axis=1), first, axis=0, dtype=np.int32)
     return np.packbits(sums * 2 > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64).tolist()
 
 
@@ -134,8 +139,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, text: st
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text."""
-    w = words(text)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))] if w else [], np.uint64))
+    return np.unique(shingles(text, shingle))
 
 
 def shingle_sets(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -173,11 +177,11 @@ def described(docs: DataFrame, shingle: int, bands: int = 0, text: str = "text",
     """docs → key, fp, same (128-bit hash of the shingle set), n (its size), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
-            texts = b.column(text).to_pylist()
-            sets = [shingle_hashes(t, shingle) for t in texts]
+        for b in slices(batches, text, DESCRIBED_BYTES):
+            all_ = [shingles(t, shingle) for t in b.column(text).to_pylist()]
+            prints, sets = summed(all_), [np.unique(x) for x in all_]
             same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-            columns = [b.column(key), pa.array(fingerprints(texts, shingle), pa.int64()), pa.array(same, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(banded(sets, bands), pa.list_(pa.int64()))]
+            columns = [b.column(key), pa.array(prints, pa.int64()), pa.array(same, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(banded(sets, bands), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, [key, "fp", "same", "n", "bands"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} long, fp long, same binary, n int, bands array<long>")
@@ -224,36 +228,41 @@ def alike_pairs(docs: DataFrame, nodes: DataFrame, radius: int, similarity: floa
     star = found.filter((F.col("size") > BUCKET_PAIRS) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
     first = cut(verified(cut(pairs.unionByName(star).distinct()), docs, similarity, shingle, text, key))
     named = nodes.select("rep").distinct().join(components(first), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    crowd = found.filter(F.col("size") > BUCKET_PAIRS).select("t", "v", "rep").join(named, "rep")
-    split = crowd.groupBy("t", "v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("t", "v")
-    left = cut(crowd.join(split, ["t", "v"]).select("rep", "component").distinct())
+    crowd = found.filter(F.col("size") > BUCKET_PAIRS).select("t", "v", "rep", "n").join(named, "rep")
+    split = crowd.groupBy("t", "v").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("shortest")).filter("x < y").select("t", "v", "shortest")
+    left = cut(crowd.join(split, ["t", "v"]).groupBy("rep", "component").agg(F.min("shortest").alias("shortest")))
     if left.isEmpty():
         return first
     return first.unionByName(cut(verified(across(docs, left, similarity, shingle, text, key), docs, similarity, shingle, text, key)))
 
 
 def across(docs: DataFrame, members: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
-    """members (rep, component) → pairs (a, b) of different components, every alike one among them.
+    """members (rep, component, shortest: the least size of what it may be alike to) → pairs (a, b) of different components, every alike one among them.
 
     Sets of that similarity share a shingle among the first n - ceil(similarity n) + 1 of each, in any one order; rare
     shingles come first, so what many texts have in common pairs nothing. A text that has much of its own can't share
-    enough with any other, which drops nearly all that meet in the join itself. At a shingle, those of its largest
-    component, which may be thousands of copies, are paired with the others only.
+    enough with any other, and is left out before its shingles are listed, or drops out in the join itself. At a
+    shingle, those of its largest component, which may be thousands of copies, are paired with the others only.
     """
     sets = shingle_sets(docs.join(members.select(F.col("rep").alias(key)), key, "left_semi"), shingle, text, key)
-    sets = sets.withColumnRenamed(key, "rep").groupBy("rep").agg(F.min("shingles").alias("shingles")).join(members, "rep")
+    sets = cut(sets.withColumnRenamed(key, "rep").groupBy("rep").agg(F.min("shingles").alias("shingles")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "shingles"):
             found = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             of = pa.array(np.repeat(np.arange(len(found)), sizes))
-            yield pa.RecordBatch.from_arrays([b.column("rep").take(of), b.column("component").take(of), pa.array(np.concatenate(found)), pa.array(np.repeat(sizes, sizes))], ["rep", "component", "s", "n"])
-
-    listed = cut(sets.mapInArrow(run, "rep long, component long, s long, n long"))
-    often = listed.groupBy("s").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+            yield pa.RecordBatch.from_arrays([b.column("rep").take(of), pa.array(np.concatenate(found)), pa.array(np.repeat(sizes, sizes))], ["rep", "s", "n"])
+
+    counted = cut(sets.mapInArrow(run, "rep long, s long, n long").groupBy("s").agg(F.count(F.lit(1)).alias("often"), F.min("rep").alias("one"), F.min("n").alias("n")))
+    alone = counted.filter("often = 1").groupBy(F.col("one").alias("rep")).agg(F.count(F.lit(1)).alias("alone"), F.first("n").alias("n"))
+    least = F.greatest(F.col("shortest"), F.ceil(similarity * F.col("n") - 1e-6))
+    lost = alone.join(members, "rep").filter(F.col("n") - F.col("alone") < F.ceil(similarity / (1 + similarity) * (F.col("n") + least) - 1e-6)).select("rep")
+    able = members.select("rep", "component").join(lost, "rep", "left_anti")
+    listed = cut(sets.join(able, "rep", "left_semi").mapInArrow(run, "rep long, s long, n long"))
+    often = counted.filter("often > 1").select("s", "often")
     # Shingles of one text only pair nothing, but are the first of its set.
-    shared = listed.join(often, "s").groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("list"))
+    shared = listed.join(often, "s").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("list")).join(able, "rep")
     single = F.col("n") - F.size("list")
     prefix = F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1
     head = shared.withColumn("single", single).select("rep", "component", "n", "single", F.posexplode(F.slice("list", F.lit(1), F.greatest(prefix - single, F.lit(0)).cast("int"))).alias("i", "x"))

@@ -78,7 +78,25 @@ def test_across_lists_every_alike_pair(spark):
     rows = [(d, t) for d, t in chains(random.Random(8), 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for parts in (24, 4):  # components: each text its own, or mixed
-        members = spark.createDataFrame([(d, d % parts) for d, _ in rows], "rep long, component long")
+        shortest = min(len(simhash.shingle_hashes(t, 5)) for _, t in rows)
+        members = spark.createDataFrame([(d, d % parts, shortest) for d, _ in rows], "rep long, component long, shortest long")
         got = {tuple(x) for x in simhash.across(docs, members, 0.8, 5, "text", "doc_id").collect()}
         want = {(d, e) for d, x in rows for e, y in rows if d < e and d % parts != e % parts and jaccard(x, y) >= 0.8}
         assert want and want <= got
+
+
+def test_across_leaves_out_what_has_too_much_of_its_own(spark):
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(130)]
+    rows = []
+    for d in range(120):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 4, 6, 9])):
+            w[r.randrange(len(w))] = f"u{r.randrange(10**6)}"
+        rows.append((d, " ".join(w[: r.choice([110, 125, 130])])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [len(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    members = spark.createDataFrame([(d, d, min(sizes)) for d, _ in rows], "rep long, component long, shortest long")
+    got = {tuple(x) for x in simhash.across(docs, members, 0.8, 5, "text", "doc_id").collect()}
+    want = {(d, e) for d, x in rows for e, y in rows if d < e and jaccard(x, y) >= 0.8}
+    assert len(want) > 100 and want <= got and len(got) < 3 * len(want)
