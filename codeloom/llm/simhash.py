@@ -35,6 +35,8 @@ from codeloom.llm.components import components
 BITS = 64
 #: Shingle hashes spread to bits at a time.
 HASHES = 50_000
+#: Commonest shingles of crowded groups that are told apart by how often they occur.
+HOT = 100_000
 #: Text that is described at a time.
 DESCRIBED_BYTES = 2 << 20
 BUCKET_PAIRS = 64
@@ -239,43 +241,60 @@ def alike_pairs(docs: DataFrame, nodes: DataFrame, radius: int, similarity: floa
 def across(docs: DataFrame, members: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
     """members (rep, component, shortest: the least size of what it may be alike to) → pairs (a, b) of different components, every alike one among them.
 
-    Sets of that similarity share a shingle among the first n - ceil(similarity n) + 1 of each, in any one order; rare
-    shingles come first, so what many texts have in common pairs nothing. A text that has much of its own can't share
-    enough with any other, and is left out before its shingles are listed, or drops out in the join itself. At a
-    shingle, those of its largest component, which may be thousands of copies, are paired with the others only.
+    Sets of that similarity share a shingle among the first n - ceil(similarity n) + 1 of each, in any one order. The
+    HOT commonest shingles come last, by how often they occur, so what many texts have in common pairs nothing. A text
+    that has much of its own can't share enough with any other, and is left out beforehand, or drops out in the join
+    itself. At a shingle, those of its largest component, which may be thousands of copies, are paired with the others only.
     """
+    spark = docs.sparkSession
     sets = shingle_sets(docs.join(members.select(F.col("rep").alias(key)), key, "left_semi"), shingle, text, key)
     sets = cut(sets.withColumnRenamed(key, "rep").groupBy("rep").agg(F.min("shingles").alias("shingles")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "shingles"):
             found = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             of = pa.array(np.repeat(np.arange(len(found)), sizes))
             yield pa.RecordBatch.from_arrays([b.column("rep").take(of), pa.array(np.concatenate(found)), pa.array(np.repeat(sizes, sizes))], ["rep", "s", "n"])
 
-    counted = cut(sets.mapInArrow(run, "rep long, s long, n long").groupBy("s").agg(F.count(F.lit(1)).alias("often"), F.min("rep").alias("one"), F.min("n").alias("n")))
+    counted = cut(sets.mapInArrow(listed, "rep long, s long, n long").groupBy("s").agg(F.count(F.lit(1)).alias("often"), F.min("rep").alias("one"), F.min("n").alias("n")))
+    # Shingles of one text only pair nothing.
     alone = counted.filter("often = 1").groupBy(F.col("one").alias("rep")).agg(F.count(F.lit(1)).alias("alone"), F.first("n").alias("n"))
     least = F.greatest(F.col("shortest"), F.ceil(similarity * F.col("n") - 1e-6))
-    lost = alone.join(members, "rep").filter(F.col("n") - F.col("alone") < F.ceil(similarity / (1 + similarity) * (F.col("n") + least) - 1e-6)).select("rep")
-    able = members.select("rep", "component").join(lost, "rep", "left_anti")
-    listed = cut(sets.join(able, "rep", "left_semi").mapInArrow(run, "rep long, s long, n long"))
-    often = counted.filter("often > 1").select("s", "often")
-    # Shingles of one text only pair nothing, but are the first of its set.
-    shared = listed.join(often, "s").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("list")).join(able, "rep")
-    single = F.col("n") - F.size("list")
-    prefix = F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1
-    head = shared.withColumn("single", single).select("rep", "component", "n", "single", F.posexplode(F.slice("list", F.lit(1), F.greatest(prefix - single, F.lit(0)).cast("int"))).alias("i", "x"))
-    first = cut(head.select("rep", "component", "n", "single", F.col("x.s").alias("s"), (F.col("single") + F.col("i") + 1).alias("place")))
+    enough = F.col("n") - F.col("alone") >= F.ceil(similarity / (1 + similarity) * (F.col("n") + least) - 1e-6)
+    able = members.join(alone, "rep", "left").filter(F.col("alone").isNull() | enough).select("rep", "component", F.coalesce("alone", F.lit(0)).alias("alone"))
+    # A bounded number of shingles; without the others the order is as good for the result, only not for the work.
+    hot = counted.filter("often > 2").orderBy(F.desc("often"), "s").limit(HOT).select("s", "often").collect()
+    order = np.argsort(np.array([r.s for r in hot], np.int64))
+    shared = spark.sparkContext.broadcast((np.array([r.s for r in hot], np.int64)[order], np.array([r.often for r in hot], np.int64)[order]))
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = shared.value
+        for b in slices(batches, "shingles"):
+            rows = []
+            for raw in b.column("shingles").to_pylist():
+                s = np.frombuffer(raw, np.int64)
+                rank = np.zeros(len(s), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    rank = np.where(common[at] == s, often[at], 0)
+                first = np.lexsort((s, rank))[: len(s) - int(np.ceil(similarity * len(s) - 1e-6)) + 1]
+                rows.append((s[first], rank[first] > 0, np.arange(1, len(first) + 1), np.full(len(first), len(s))))
+            of = pa.array(np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]))
+            cols = [pa.array(np.concatenate(c)) for c in zip(*rows)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(of) for c in ("rep", "component", "alone")], *cols], ["rep", "component", "alone", "s", "hot", "place", "n"])
+
+    first = cut(sets.join(able, "rep").mapInArrow(headed, "rep long, component long, alone long, s long, hot boolean, place long, n long"))
     most = first.groupBy("s", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("s", "most")
     theirs = first.join(most, "s")
-    other = theirs.filter("component != most").select("s", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("place").alias("place2"), F.col("single").alias("single2"))
+    other = theirs.filter("component != most").select("s", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("place").alias("place2"), F.col("alone").alias("alone2"))
     once = (F.col("component") == F.col("most")) | (F.col("rep") < F.col("rep2"))
-    # What two sets of these sizes must share; then they share one of the first n - need + 1 of both. Up to a common shingle they share no more
-    # than the shorter part without what only one text has, from there on no more than the shorter rest.
+    # What two sets of these sizes must share; then they share one of the first n - need + 1 of both. They share nothing of what only one has, all
+    # of which comes before the hot ones; from a shingle on they share no more than the shorter rest.
     need = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6)
     early = (F.col("place") <= F.col("n") - need + 1) & (F.col("place2") <= F.col("n2") - need + 1)
-    enough = F.least(F.col("place") - F.col("single"), F.col("place2") - F.col("single2")) + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= need
+    before = F.when(F.col("hot"), F.least(F.col("place") - F.col("alone"), F.col("place2") - F.col("alone2"))).otherwise(F.least("place", "place2"))
+    enough = (before + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= need) & (F.least(F.col("n") - F.col("alone"), F.col("n2") - F.col("alone2")) >= need)
     pairs = theirs.join(other, (theirs.s == other.s) & (F.col("component") != F.col("component2")) & once & early & enough)
     # Which side a text is on differs by shingle; a pair's shingles are counted together.
     one, two = F.struct("rep", "n", "place"), F.struct(F.col("rep2").alias("rep"), F.col("n2").alias("n"), F.col("place2").alias("place"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from codeloom.llm import simhash
 from tests.llm.test_pipeline import jaccard
@@ -74,7 +76,9 @@ def test_bands_find_what_fingerprints_miss(spark):
     assert len(kept(spark, rows)) > 100  # of fingerprints alone
 
 
-def test_across_lists_every_alike_pair(spark):
+@pytest.mark.parametrize("hot", [0, 20, 100_000])
+def test_across_lists_every_alike_pair(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
     rows = [(d, t) for d, t in chains(random.Random(8), 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for parts in (24, 4):  # components: each text its own, or mixed
