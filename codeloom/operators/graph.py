@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from codeloom.functions import expr as E
 from codeloom.operators.edges import dependency_edges, snake
 
 LOCAL_EDGES = 1_000_000
+#: Sources of an estimated betweenness.
+PIVOTS = 256
 #: How much a relation says about a way through the code.
 RELATION_RANK = {"Call": 5, "Dispatch": 4, "ContainerResolution": 3, "EventPublish": 2, "Import": 1}
 ENTRY_RELATIONS = ["Import", "Call", "Dispatch", "ContainerResolution", "EventPublish"]
@@ -58,9 +61,11 @@ def coupling(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def hub_smells(coupled: DataFrame) -> DataFrame:
     """Modules with many dependencies either way: at least 2 and 2, and a total in the upper fifth (6 at least)."""
     t = coupled.withColumn("total", F.col("afferent") + F.col("efferent"))
-    # The exact value at an index of the sorted totals; modules are few beside files.
-    stat = t.agg(F.array_sort(F.collect_list("total")).alias("s"), F.max("total").alias("m"))
-    stat = stat.select("m", F.greatest(F.lit(6), F.element_at("s", F.least(F.floor(F.size("s") * 0.8), F.size("s") - 1).cast("int") + 1)).alias("bar"))
+    # The exact value at an index of the sorted totals, from how many modules have each total.
+    per = t.groupBy("total").agg(F.count(F.lit(1)).alias("n"))
+    below = per.withColumn("upto", F.sum("n").over(Window.orderBy("total").rowsBetween(Window.unboundedPreceding, 0)))
+    stat = below.agg(F.max("total").alias("m"), F.max("upto").alias("all")).select("m", F.least(F.floor(F.col("all") * 0.8), F.col("all") - 1).alias("at"))
+    stat = below.join(F.broadcast(stat), F.col("upto") > F.col("at")).groupBy("m").agg(F.greatest(F.lit(6), F.min("total")).alias("bar"))
     return t.join(F.broadcast(stat)).filter("afferent >= 2 and efferent >= 2 and total >= bar").select(F.lit("HubLikeDependency").alias("kind"), F.col("module").alias("subject"), E.millis(F.col("total") / F.col("m")).alias("severity_millis"))
 
 
@@ -222,41 +227,53 @@ def cycle_witness(links: DataFrame, members: DataFrame) -> DataFrame:
     return inner.groupBy("component").applyInPandas(run, "component string, witness array<string>")
 
 
-def betweenness(nodes: DataFrame, links: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """Directed, unweighted, unnormalised betweenness in millis, ends excluded. Sources are shared out over the tasks, each with the (counted) links; beyond the bound, level by level."""
-    spark = links.sparkSession
+def betweenness(nodes: DataFrame, links: DataFrame, local_edges: int = LOCAL_EDGES, pivots: int = PIVOTS) -> DataFrame:
+    """Directed, unweighted, unnormalised betweenness in millis, ends excluded.
+
+    Exact for up to local_edges links: the sources are shared out over tasks, each of which gets all links, a counted
+    number. Beyond, level by level from `pivots` sources, those of small hashes, scaled to all; exact where there are no
+    more nodes than that, else a file's score is an estimate whose standard error falls with the root of the pivots.
+    """
     if links.count() > local_edges:
-        return _betweenness_rounds(nodes, links)
-    out: dict[str, list[str]] = {}
-    for r in links.orderBy("src", "dst").collect():
-        out.setdefault(r.src, []).append(r.dst)
-    shared = spark.sparkContext.broadcast(out)
-
-    def run(batches):
-        out, total = shared.value, {}
-        for pdf in batches:
-            for s in pdf.path:
-                order, came, sigma, dist, queue = [], {s: []}, {s: 1.0}, {s: 0}, deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in out.get(v, ()):
-                        if w not in dist:
-                            dist[w], sigma[w], came[w] = dist[v] + 1, 0.0, []
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            sigma[w] += sigma[v]
-                            came[w].append(v)
-                delta = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in came[w]:
-                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + delta[w]
-        yield pd.DataFrame({"path": list(total), "part": list(total.values())})
-
-    part = nodes.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "path string, part double")
-    return _centrality(nodes, part)
+        return _betweenness_rounds(nodes, links, pivots)
+    parts = links.sparkSession.sparkContext.defaultParallelism
+    shared = links.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    asked = nodes.select("path", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int").alias("part"))
+
+    def run(key, own: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
+        names, ends = np.unique(np.concatenate([all_.src.to_numpy(object), all_.dst.to_numpy(object), own.path.to_numpy(object)]).astype(str), return_inverse=True)
+        src, dst, roots = np.split(ends, [len(all_), 2 * len(all_)])
+        order = np.argsort(src, kind="stable")
+        dst, first = dst[order], np.searchsorted(src[order], np.arange(len(names) + 1))
+        total = np.zeros(len(names))
+        for root in roots.tolist():
+            total += _shares(root, first, dst, len(names))
+        some = np.flatnonzero(total)
+        return pd.DataFrame({"path": names[some].astype(object), "part": total[some]})
+
+    return _centrality(nodes, asked.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(run, "path string, part double"))
+
+
+def _shares(root: int, first: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """How much of the shortest ways from root to all others leads over each node; links of node i are dst[first[i] : first[i + 1]]."""
+    depth, ways = np.full(n, -1), np.zeros(n)
+    depth[root], ways[root] = 0, 1.0
+    front, steps = np.array([root]), []
+    while len(front):
+        size = first[front + 1] - first[front]
+        tail = np.repeat(front, size)
+        head = dst[np.repeat(first[front] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        new = depth[head] < 0
+        tail, head = tail[new], head[new]
+        steps.append((tail, head))
+        front = np.unique(head)
+        depth[front] = len(steps)
+        ways += np.bincount(head, ways[tail], n)
+    share = np.zeros(n)
+    for tail, head in reversed(steps):
+        share += np.bincount(tail, ways[tail] / ways[head] * (1 + share[head]), n) if len(head) else 0.0
+    share[root] = 0.0
+    return share
 
 
 def _centrality(nodes: DataFrame, part: DataFrame) -> DataFrame:
@@ -264,9 +281,11 @@ def _centrality(nodes: DataFrame, part: DataFrame) -> DataFrame:
     return nodes.join(total, "path", "left").select("path", F.round(F.coalesce("score", F.lit(0.0)) * 1000).cast("long").alias("centrality_millis"))
 
 
-def _betweenness_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """All sources at once: (s, v, distance, ways) by levels forth, then shares back."""
-    reached = cut(nodes.select(F.col("path").alias("s"), F.col("path").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("ways")))
+def _betweenness_rounds(nodes: DataFrame, links: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """All pivots at once: (s, v, distance, ways) by levels forth, then shares back; rows grow with pivots times nodes."""
+    n = nodes.count()
+    roots = nodes.orderBy(F.xxhash64("path"), "path").limit(pivots) if n > pivots else nodes
+    reached = cut(roots.select(F.col("path").alias("s"), F.col("path").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("ways")))
     front, depth = reached, 0
     while front.head(1):
         depth += 1
@@ -280,7 +299,7 @@ def _betweenness_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:
         below = reached.filter(F.col("d") == d + 1).select("s", F.col("v").alias("w"), F.col("ways").alias("wn")).join(share.select("s", F.col("v").alias("w"), "delta"), ["s", "w"], "left").na.fill(0.0, ["delta"])
         flow = here.join(links, here.v == links.src).join(below.withColumnRenamed("s", "s2"), (F.col("s") == F.col("s2")) & (F.col("dst") == F.col("w"))).groupBy("s", "v").agg(F.sum(F.col("ways") / F.col("wn") * (1 + F.col("delta"))).alias("delta"))
         share = cut(share.unionByName(flow))
-    return _centrality(nodes, share.select(F.col("v").alias("path"), F.col("delta").alias("part")))
+    return _centrality(nodes, share.select(F.col("v").alias("path"), (F.col("delta") * (max(n, 1) / max(1, min(n, pivots)))).alias("part")))
 
 
 def bottlenecks(centrality: DataFrame, top: int = 20) -> DataFrame:
@@ -337,21 +356,22 @@ def resolve_target(symbols: DataFrame, files: DataFrame, name: str) -> DataFrame
     return found.join(F.broadcast(best)).filter(F.when(F.col("as") == "file", 0).when(F.col("as") == "id", 1).otherwise(2) == F.col("b")).drop("b")
 
 
-def traces(edges: DataFrame, source: str, target: str, most: int = 6, k: int = 1, branches: int = 12) -> DataFrame:
-    """Up to k node-simple ways from source to target, shortest first; of each file's links the `branches` best by relation, confidence and layer go on."""
+def traces(edges: DataFrame, source: str, target: str, most: int = 6, k: int = 1, branches: int = 12, ways: bool = False) -> DataFrame:
+    """Up to k node-simple ways from source to target, shortest first; of each file's links the `branches` best by relation, confidence and layer go on. ways: all ways of `most` links instead."""
     rank = F.coalesce(F.create_map(*[v for r, n in RELATION_RANK.items() for v in (F.lit(r), F.lit(n))])[F.col("relation_kind")], F.lit(0))
     step = edges.filter("source_file_path != target_file_path").groupBy(F.col("source_file_path").alias("src"), F.col("target_file_path").alias("dst")).agg(F.min(F.struct((-rank).alias("r"), (-F.col("confidence_millis")).alias("c"), M.rank("layer", M.LAYERS).alias("l"), "relation_kind")).alias("e"))
     step = cut(step.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("e", "dst"))).filter(F.col("n") <= branches))
     front = edges.sparkSession.createDataFrame([([source], [])], "path array<string>, relations array<string>")
-    found = None
+    found = front.limit(0)
     for _ in range(most):
         got = front.withColumn("src", F.element_at("path", -1)).join(step, "src").filter(~F.array_contains("path", F.col("dst")))
         got = cut(got.select(F.concat("path", F.array("dst")).alias("path"), F.concat("relations", F.array("e.relation_kind")).alias("relations")))
-        done = got.filter(F.element_at("path", -1) == target)
-        found = done if found is None else found.unionByName(done)
-        if found.count() >= k or not got.head(1):
-            break
+        found = found.unionByName(got.filter(F.element_at("path", -1) == target))
         front = got.filter(F.element_at("path", -1) != target)
+        if not ways and found.count() >= k or not got.head(1):
+            break
+    if ways:
+        return front
     return found.withColumn("hops", F.size("relations")).orderBy("hops", "path").limit(k)
 
 

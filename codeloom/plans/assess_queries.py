@@ -25,7 +25,7 @@ def add(name, oracle=None):
     return put
 
 
-CENTRAL = "SELECT 'm' || CAST(o_custkey % 20 AS STRING) || '/f' || CAST(o_custkey % 120 AS STRING) AS path, CAST(max(o_orderkey % 1000) AS BIGINT) AS centrality_millis FROM {orders} WHERE o_custkey % 3 = 0 GROUP BY 1"
+CENTRAL = "SELECT 'm' || CAST(o_custkey % 20 AS STRING) || '/f' || CAST(o_custkey AS STRING) AS path, CAST(max(o_orderkey % 1000) AS BIGINT) AS centrality_millis FROM {orders} GROUP BY 1"
 CE_ = f"({duck(CENTRAL)})"
 W = "CASE family WHEN 'dead_code' THEN 1 WHEN 'hardwiring' THEN 2 ELSE 3 END"
 
@@ -66,7 +66,7 @@ def _(s, d):
     return az.broad_interfaces(frame(s, d, MEMBERS), frame(s, d, b.EDGES))
 
 
-NAMES = "SELECT 'f' || CAST(p_partkey % 91 AS STRING) AS file_path, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN replace(p_name, ' ', '-') ELSE split_part(p_name, ' ', 1) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) END AS name FROM {part} WHERE p_partkey % 7 < 3"
+NAMES = "SELECT 'f' || CAST(p_partkey % 91 AS STRING) AS file_path, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN replace(p_name, ' ', '-') ELSE split_part(p_name, ' ', 1) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) END AS name FROM {part}"
 
 
 @add("split_identity", f"""WITH x AS (SELECT file_path, name, replace(replace(lower(name), '_', ''), '-', '') AS stem, CASE WHEN contains(name, '_') THEN 's' WHEN contains(name, '-') THEN 'k' ELSE 'c' END AS style FROM ({duck(NAMES)})), pf AS (SELECT stem, file_path, count(DISTINCT style) AS st, count(*) AS n FROM x GROUP BY ALL)
@@ -84,8 +84,8 @@ def _(s, d):
     return az.forwarder_chains(frame(s, d, FORWARDS))
 
 
-COSTS = "SELECT 'c' || CAST(o_custkey % 300 AS STRING) || '.py' AS file_path, CAST(o_orderkey AS INT) AS line, CASE o_orderkey % 4 WHEN 0 THEN 'sort' WHEN 1 THEN 'nested_loop' WHEN 2 THEN 'filesystem_read' ELSE 'collection_scan' END AS subtype, o_orderpriority AS token FROM {orders} WHERE o_orderkey % 6 = 0 OR o_orderkey % 7 = 0"
-DEPTHS = "SELECT 'c' || CAST(c_custkey AS STRING) || '.py' AS path, CAST(c_custkey % 3 AS INT) AS depth, CASE c_custkey % 2 WHEN 0 THEN 'Call' ELSE 'Import' END AS relation FROM {customer} WHERE c_custkey % 5 < 2 AND c_custkey < 300"
+COSTS = "SELECT 'c' || CAST(o_custkey AS STRING) || '.py' AS file_path, CAST(o_orderkey AS INT) AS line, CASE o_orderkey % 4 WHEN 0 THEN 'sort' WHEN 1 THEN 'nested_loop' WHEN 2 THEN 'filesystem_read' ELSE 'collection_scan' END AS subtype, o_orderpriority AS token FROM {orders}"
+DEPTHS = "SELECT 'c' || CAST(c_custkey AS STRING) || '.py' AS path, CAST(c_custkey % 3 AS INT) AS depth, CASE c_custkey % 2 WHEN 0 THEN 'Call' ELSE 'Import' END AS relation FROM {customer}"
 
 
 @add("complexity_groups", f"""WITH c AS (SELECT * FROM ({duck(COSTS)})), g AS (SELECT file_path, subtype, count(*) AS count, array_to_string((list(token ORDER BY line, token))[1:4], '|') AS tokens FROM c GROUP BY ALL)
@@ -94,7 +94,7 @@ def _(s, d):
     return az.complexity_groups(frame(s, d, COSTS), frame(s, d, DEPTHS))
 
 
-BODIES = "SELECT 'b' || CAST(o_orderkey AS STRING) AS id, 'k' || CAST(o_custkey % 700 AS STRING) AS k1, 'q' || o_orderpriority AS k2, 's' || CAST(o_orderkey % 5 AS STRING) AS s1, 's' || CAST(o_custkey % 4 AS STRING) AS s2 FROM {orders} WHERE o_orderkey % 3 = 0"
+BODIES = "SELECT 'b' || CAST(o_orderkey AS STRING) AS id, 'k' || CAST(o_custkey AS STRING) AS k1, 'q' || o_orderpriority AS k2, 's' || CAST(o_orderkey % 5 AS STRING) AS s1, 's' || CAST(o_custkey % 4 AS STRING) AS s2 FROM {orders}"
 
 
 @add("behavior_pairs", f"""WITH x AS (SELECT id, k1, k2, list_sort(list_distinct([s1, s2])) AS sel FROM ({duck(BODIES)})), k AS (SELECT id, sel, unnest([k1, k2]) AS key FROM x), g AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 64), p AS (SELECT DISTINCT a.id AS a, z.id AS b, a.sel AS sa, z.sel AS sb FROM k a JOIN k z ON a.key = z.key AND a.id < z.id WHERE a.key IN (FROM g)),
@@ -139,11 +139,11 @@ def _(s, d):
     return rv.convergence(frame(s, d, b.BEFORE), frame(s, d, b.NOW))
 
 
-@add("verify_change", f"WITH {DELTA} SELECT fingerprint, status, CASE WHEN status IN ('New','Worsened') THEN 'regression' ELSE 'fix' END AS kind FROM dl WHERE path IN ('c1/f.py','c7/f.py') AND status <> 'Unchanged'")
+@add("verify_change", f"WITH {DELTA} SELECT fingerprint, status, CASE WHEN status IN ('New','Worsened') THEN 'regression' ELSE 'fix' END AS kind FROM dl WHERE path IN ('c1/f.py','c7/f.py','c8/f.py','c10/f.py','c11/f.py') AND status <> 'Unchanged'")
 def _(s, d):
     from codeloom.plans.api import verify_change
 
-    return verify_change(rv.convergence(frame(s, d, b.BEFORE), frame(s, d, b.NOW)), ["c1/f.py", "c7/f.py"]).select("fingerprint", "status", "kind")
+    return verify_change(rv.convergence(frame(s, d, b.BEFORE), frame(s, d, b.NOW)), ["c1/f.py", "c7/f.py", "c8/f.py", "c10/f.py", "c11/f.py"]).select("fingerprint", "status", "kind")
 
 
 @add("attention_items", f"WITH {DELTA} SELECT fingerprint, now_severity FROM dl WHERE status IN ('New','Worsened') AND now_severity >= 300 ORDER BY now_severity DESC, fingerprint LIMIT 20")

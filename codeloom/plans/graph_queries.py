@@ -140,12 +140,16 @@ def _(s, d):
     return gr.hub_smells(gr.coupling(*gr.file_graph(cycles(s, d))))
 
 
-ASYM = "(source_file_path < target_file_path OR target_file_path LIKE 'm0/%')"
+#: Links between modules whose numbers make 20 the other way round: the steadiest then rely on the least steady.
+TURNED = "CAST(substr(split_part(source_file_path, '/', 1), 2) AS INT) + CAST(substr(split_part(target_file_path, '/', 1), 2) AS INT) = 20"
+TURNED_ = f"(SELECT * REPLACE (CASE WHEN {TURNED} THEN target_file_path ELSE source_file_path END AS source_file_path, CASE WHEN {TURNED} THEN source_file_path ELSE target_file_path END AS target_file_path) FROM {C_})"
 
 
-@add("unstable_dependencies", f"WITH {CO.replace('<> target_file_path)', '<> target_file_path AND ' + ASYM + ')', 1)} SELECT 'UnstableDependency' AS kind, a AS subject, z AS related, y.ins - x.ins AS severity_millis, a || ' -> ' || z || ' (' || n || ' cross-module links)' AS preview FROM mc JOIN co x ON x.m = a JOIN co y ON y.m = z WHERE x.aff >= 2 AND y.ins >= x.ins + 250")
+@add("unstable_dependencies", f"WITH {CO.replace(C_, TURNED_)} SELECT 'UnstableDependency' AS kind, a AS subject, z AS related, y.ins - x.ins AS severity_millis, a || ' -> ' || z || ' (' || n || ' cross-module links)' AS preview FROM mc JOIN co x ON x.m = a JOIN co y ON y.m = z WHERE x.aff >= 2 AND y.ins >= x.ins + 250")
 def _(s, d):
-    nodes, links = gr.file_graph(cycles(s, d).filter(ASYM))
+    e = cycles(s, d).withColumn("turned", F.expr(TURNED))
+    e = e.withColumn("x", F.col("source_file_path")).withColumn("source_file_path", F.when(F.col("turned"), F.col("target_file_path")).otherwise(F.col("x"))).withColumn("target_file_path", F.when(F.col("turned"), F.col("x")).otherwise(F.col("target_file_path")))
+    nodes, links = gr.file_graph(e)
     return gr.unstable_smells(gr.coupling(nodes, links), gr.module_counts(links))
 
 
@@ -214,12 +218,39 @@ def _(s, d):
 USE = f"u AS (SELECT source_file_path AS src, target_file_path AS dst, min(((CASE relation_kind WHEN 'Call' THEN -5 ELSE -1 END) * 1000000 + line) * 10 + CASE relation_kind WHEN 'Call' THEN 0 ELSE 1 END) AS e FROM {C_} WHERE relation_kind IN ('Import','Call') AND strength <> 'Inferred' AND source_file_path <> target_file_path GROUP BY ALL), roots AS (SELECT DISTINCT src AS p FROM u WHERE src LIKE 'm1/%' OR src LIKE 'm2/%')"
 
 
-@add("entry_reachability", f"WITH RECURSIVE {USE}, r(p, k) AS (SELECT p, 0 FROM roots UNION SELECT u.dst, k + 1 FROM r JOIN u ON u.src = r.p WHERE k < 8) SELECT p AS path, min(k)::INT AS depth FROM r GROUP BY p")
+RANKED = "CASE relation_kind WHEN 'Call' THEN 5 WHEN 'Dispatch' THEN 4 WHEN 'ContainerResolution' THEN 3 WHEN 'EventPublish' THEN 2 WHEN 'Import' THEN 1 ELSE 0 END"
+STEPS = f"st AS (SELECT source_file_path AS src, target_file_path AS dst, -{RANKED} AS r, line, relation_kind AS rel FROM {C_} WHERE relation_kind IN ('Import','Call') AND strength <> 'Inferred' AND source_file_path <> target_file_path QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY r, line, rel) = 1)"
+
+
+def entry_levels(most):
+    """One CTE for each level: who is reached first, and by what."""
+    out = [STEPS, "l0 AS (SELECT DISTINCT src AS path, 0 AS depth, src AS root, NULL::VARCHAR AS relation, NULL::VARCHAR AS via FROM st WHERE src LIKE 'm1/%' OR src LIKE 'm2/%'), s0 AS (FROM l0)"]
+    for k in range(1, most + 1):
+        out.append(f"l{k} AS (SELECT dst AS path, {k} AS depth, root, rel AS relation, st.src AS via FROM l{k - 1} JOIN st ON st.src = path WHERE dst NOT IN (SELECT path FROM s{k - 1}) QUALIFY row_number() OVER (PARTITION BY dst ORDER BY root, r, line, rel, st.src) = 1), s{k} AS (FROM s{k - 1} UNION ALL FROM l{k})")
+    return ", ".join(out)
+
+
+@add("entry_reachability", f"WITH {entry_levels(8)} SELECT path, depth, root, relation, via FROM s8")
 def _(s, d):
     e = cycles(s, d)
     use = e.filter("relation_kind IN ('Import','Call') AND strength != 'Inferred' AND source_file_path != target_file_path")
     roots = use.select(F.col("source_file_path").alias("path")).filter("path LIKE 'm1/%' OR path LIKE 'm2/%'")
-    return gr.entry_reachability(e, roots, 8).select("path", "depth")
+    return gr.entry_reachability(e, roots, 8)
+
+
+TRACED = f"""sq AS (SELECT source_file_path AS src, target_file_path AS dst, relation_kind AS rel, (-{RANKED}) * 1000000 - confidence_millis * 100 + CASE layer WHEN 'Structural' THEN 0 ELSE 1 END AS e FROM {C_} WHERE source_file_path <> target_file_path QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY e, rel) = 1),
+sp AS (SELECT * FROM sq QUALIFY row_number() OVER (PARTITION BY src ORDER BY e, rel, dst) <= 12),
+t AS (SELECT min(src) AS a FROM sp), w(path, rels, hops) AS (SELECT [a], []::VARCHAR[], 0 FROM t UNION ALL SELECT list_append(path, dst), list_append(rels, rel), hops + 1 FROM w JOIN sp ON sp.src = path[-1] WHERE hops < 4 AND NOT list_contains(path, dst)),
+g AS (SELECT max(path[-1]) AS z FROM w WHERE hops = 3)"""
+
+
+@add("graph_traces", f"WITH RECURSIVE {TRACED} SELECT array_to_string(path, ' > ') AS path, array_to_string(rels, ',') AS relations, hops FROM w, g WHERE path[-1] = z AND NOT list_contains(path[1:len(path)-1], z) ORDER BY hops, path LIMIT 5")
+def _(s, d):
+    e = cycles(s, d)
+    source = e.filter("source_file_path != target_file_path").agg(F.min("source_file_path")).first()[0] or ""
+    far = gr.traces(e, source, "", 3, ways=True).agg(F.max(F.element_at("path", -1))).first()[0] or ""
+    found = gr.traces(e, source, far, 4, k=5)
+    return found.select(F.array_join("path", " > ").alias("path"), F.array_join("relations", ",").alias("relations"), "hops")
 
 
 @add("shortest_trace", f"WITH RECURSIVE {FG}, t AS (SELECT (SELECT min(src) FROM l) AS a), r(p, k) AS (SELECT a, 0 FROM t UNION SELECT l.dst, k + 1 FROM r JOIN l ON l.src = r.p WHERE k < 8) SELECT p AS path, min(k)::INT AS depth FROM r GROUP BY p")

@@ -141,13 +141,14 @@ def _(s, d):
     return tx.boundary_inputs(code(s, d))
 
 
-@add("security_severity", f"""WITH {DANGER}, r AS (SELECT DISTINCT file_path FROM c WHERE file_path LIKE 'app/e1%')
+@add("security_severity", f"""WITH {DANGER}, r AS (SELECT DISTINCT file_path FROM c WHERE file_path LIKE 'app/e1%'), four AS (SELECT * FROM (SELECT DISTINCT file_path, line, kind, evidence FROM inp WHERE kind IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY line, kind, evidence) <= 4)
 SELECT file_path, line, category, CASE WHEN category = 'UnsafeHtmlOutput' THEN 'Low' WHEN EXISTS (SELECT 1 FROM inp WHERE kind IS NOT NULL AND inp.file_path = dg.file_path AND inp.line <= dg.line) OR file_path IN (FROM r) THEN 'High' ELSE 'Medium' END AS severity,
- (SELECT count(*) FROM (SELECT DISTINCT line, kind, evidence FROM inp WHERE kind IS NOT NULL AND inp.file_path = dg.file_path ORDER BY line LIMIT 4) q WHERE q.line <= dg.line)::INT AS n_inputs FROM dg WHERE category IS NOT NULL""")
+ CASE WHEN file_path IN (FROM r) THEN 'ExternallyReachable' ELSE '' END AS contexts,
+ coalesce((SELECT string_agg(q.line || ':' || q.kind, ',' ORDER BY q.line, q.kind) FROM four q WHERE q.file_path = dg.file_path AND q.line <= dg.line), '') AS inputs FROM dg WHERE category IS NOT NULL""")
 def _(s, d):
     c = code(s, d)
     out = tx.severities(tx.dangerous_calls(c), c.filter("file_path like 'app/e1%'").select(F.col("file_path").alias("path")), tx.boundary_inputs(c))
-    return out.select("file_path", "line", "category", "severity", F.size("inputs").alias("n_inputs"))
+    return out.select("file_path", "line", "category", "severity", F.array_join("contexts", ",").alias("contexts"), F.array_join("inputs", ",").alias("inputs"))
 
 
 def code_files(s, d):
@@ -169,11 +170,11 @@ def _(s, d):
     return tx.contract_summary(tx.contract_hits(code_files(s, d)).filter("category = 'env_keys'"))
 
 
-@add("contract_delta", f"WITH {ENVS}, a AS (SELECT DISTINCT value FROM h WHERE line % 900 < 5), z AS (SELECT DISTINCT value FROM h WHERE line % 900 >= 895) SELECT 'env_keys' AS category, value, 'removed' AS change FROM a WHERE value NOT IN (FROM z) UNION ALL SELECT 'env_keys', value, 'added' FROM z WHERE value NOT IN (FROM a)")
+@add("contract_delta", f"WITH {ENVS}, z AS (SELECT DISTINCT regexp_replace(value, '^KEY_1', 'KEY_N') AS value FROM h), a AS (SELECT DISTINCT value FROM h) SELECT 'env_keys' AS category, value, 'removed' AS change FROM a WHERE value NOT IN (FROM z) UNION ALL SELECT 'env_keys', value, 'added' FROM z WHERE value NOT IN (FROM a)")
 def _(s, d):
     lines = code(s, d).select("file_path", "line", F.col("content").alias("text"))
     hits = lambda x: tx.contract_hits(x).filter("category = 'env_keys'")
-    return tx.contract_delta(hits(lines.filter("line % 900 < 5")), hits(lines.filter("line % 900 >= 895")))
+    return tx.contract_delta(hits(lines), hits(lines.withColumn("text", F.regexp_replace("text", '"KEY_1', '"KEY_N'))))
 
 
 LOOPS = "SELECT 'src/l' || CAST(o_orderkey AS STRING) || '.py' AS file_path, 'for a in b:' || chr(10) || CASE o_orderkey % 3 WHEN 0 THEN '    sorted(a)' WHEN 1 THEN '    for c in a:' || chr(10) || '        json.loads(c)' ELSE 'sorted(a)' END AS text FROM {orders}"
@@ -185,20 +186,29 @@ def _(s, d):
     return tx.loop_costs(frame(s, d, LOOPS)).select("file_path", "line", "subtype")
 
 
-@add("unused_symbols", f"SELECT 'UnusedPrivateFunction' AS category, file_path, start_line, name, id, CASE visibility WHEN 'Private' THEN 'Certain' ELSE 'Strong' END AS tier FROM {S_} s WHERE kind IN ('Function','Method') AND visibility IN ('Private','Protected') AND file_path NOT LIKE 'tests/%' AND NOT EXISTS (SELECT 1 FROM {E_} e WHERE e.kind IN ('Call','Overrides') AND e.target_symbol_id = s.id AND e.edge_index % 5 = 0)")
+ID_ = f"({duck(b.IDLE)})"
+COLUMNS = "symbol_index, id, file_path, kind, name, visibility, start_line"
+
+
+@add("unused_symbols", f"SELECT 'UnusedPrivateFunction' AS category, file_path, start_line, name, id, CASE visibility WHEN 'Private' THEN 'Certain' ELSE 'Strong' END AS tier FROM (SELECT {COLUMNS} FROM {S_} UNION ALL FROM {ID_}) s WHERE kind IN ('Function','Method') AND visibility IN ('Private','Protected') AND file_path NOT LIKE 'tests/%' AND NOT EXISTS (SELECT 1 FROM {E_} e WHERE e.kind IN ('Call','Overrides') AND e.target_symbol_id = s.id)")
 def _(s, d):
-    return dc.unused_symbols(frame(s, d, b.SYMBOLS), frame(s, d, b.EDGES).filter("edge_index % 5 = 0"))
+    symbols = frame(s, d, b.SYMBOLS).select(*COLUMNS.split(", ")).unionByName(frame(s, d, b.IDLE))
+    return dc.unused_symbols(symbols, frame(s, d, b.EDGES))
+
+
+BOUND = "CASE WHEN ref_index % 7 = 0 THEN 'x ' || binding_name ELSE binding_name END"
 
 
-@add("unused_imports", f"WITH r AS (SELECT * FROM {R_}), e AS (SELECT * FROM {E_} WHERE edge_index % 50 = 0) SELECT 'UnusedImport' AS category, file_path, line, binding_name, ref_index FROM r WHERE kind = 'Import' AND binding_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r q WHERE q.kind <> 'Import' AND q.file_path = r.file_path AND q.target_name = r.binding_name) AND NOT EXISTS (SELECT 1 FROM e WHERE e.kind NOT IN ('Import','TypeImport') AND e.source_file_path = r.file_path AND e.reference_target_name = r.binding_name)")
+@add("unused_imports", f"WITH r AS (SELECT * REPLACE ({BOUND} AS binding_name) FROM {R_}), e AS (SELECT * FROM {E_}) SELECT 'UnusedImport' AS category, file_path, line, binding_name, ref_index FROM r WHERE kind = 'Import' AND binding_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r q WHERE q.kind <> 'Import' AND q.file_path = r.file_path AND q.target_name = r.binding_name) AND NOT EXISTS (SELECT 1 FROM e WHERE e.kind NOT IN ('Import','TypeImport') AND e.source_file_path = r.file_path AND e.reference_target_name = r.binding_name)")
 def _(s, d):
-    return dc.unused_imports(refs(s, d), frame(s, d, b.EDGES).filter("edge_index % 50 = 0"))
+    return dc.unused_imports(refs(s, d).withColumn("binding_name", F.expr(BOUND)), frame(s, d, b.EDGES))
 
 
-@add("orphan_modules", f"SELECT 'OrphanModule' AS category, path FROM {FI_} f WHERE path NOT LIKE 'tests/%' AND NOT EXISTS (SELECT 1 FROM {E_} e WHERE e.target_file_path = f.path AND e.source_file_path <> f.path AND e.edge_index % 40 = 0) AND regexp_extract(path, '([^/]*)\\.py$', 1) NOT IN (SELECT 's' || o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
+@add("orphan_modules", f"SELECT 'OrphanModule' AS category, path FROM (SELECT path FROM {FI_} UNION SELECT file_path FROM {ID_}) f WHERE path NOT LIKE 'tests/%' AND NOT EXISTS (SELECT 1 FROM {E_} e WHERE e.target_file_path = f.path AND e.source_file_path <> f.path) AND regexp_extract(path, '([^/]*)\\.py$', 1) NOT IN (SELECT 'c' || o_custkey FROM orders)")
 def _(s, d):
-    literals = frame(s, d, "SELECT 'pages/s' || CAST(o_custkey AS STRING) || '.html' AS value FROM {orders} WHERE o_orderkey % 9 = 0")
-    return dc.orphan_modules(frame(s, d, b.FILES), frame(s, d, b.EDGES).filter("edge_index % 40 = 0"), literals)
+    literals = frame(s, d, "SELECT 'pages/c' || CAST(o_custkey AS STRING) || '.html' AS value FROM {orders}")
+    files = frame(s, d, b.FILES).unionByName(frame(s, d, b.IDLE).select(F.col("file_path").alias("path"), F.lit("Python").alias("language")).distinct())
+    return dc.orphan_modules(files, frame(s, d, b.EDGES), literals)
 
 
 @add("identifier_mentions", f"SELECT DISTINCT file_path, unnest(regexp_extract_all(content, '([A-Za-z_][A-Za-z0-9_]*)', 1)) AS name FROM {CODE_}")
