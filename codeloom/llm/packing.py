@@ -32,6 +32,8 @@ from codeloom.llm.common import cut, slices
 
 #: Fixed value: the published split of lower-case word vocabularies; letters, digits and runs of marks stand apart.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters of Latin script that NFC leaves and whose lower case is one letter: of U+0000 to U+017F all but the dotted capital I.
+KEPT = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 #: Parts that each length is ranked in.
 SALTS = 256
 #: Text that is encoded at a time.
@@ -76,8 +78,8 @@ class ChunkEncoder:
         texts = pc.fill_null(texts, "")
         if self.marks_apart and not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token, whose case would matter
             # The vocabulary has lower case only, and a mark between a letter and white space is a pre-token of its own: fewer distinct chunks.
-            # Only after ASCII letters: composing and lower-casing leave these letters, others may become something else.
-            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])(\s)", r"\1 \2\3")
+            # Only after letters that composing and lower-casing leave one letter; others may become something else.
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), rf"([{KEPT}])([.,])(\s)", r"\1 \2\3")
         chunks = pc.ascii_split_whitespace(texts)
         coded = chunks.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()

@@ -51,6 +51,17 @@ def test_ids_of_letters_that_change_under_the_normaliser(spark):
     check(spark, rows, 64)
 
 
+def test_every_letter_that_marks_are_cut_from():
+    import pyarrow as pa
+
+    t, encoder = Tokenizer.from_file(PATH), packing.ChunkEncoder(PATH)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    texts = [f"x{c}{m} a {c}{m}\n{c}" for c in letters for m in ".,"]
+    ids, sizes = encoder.encode(pa.array(texts))
+    assert ids.tolist() == [i for x in texts for i in t.encode(x, add_special_tokens=False).ids]
+    assert sizes.tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_marks_are_left_alone_in_other_vocabularies():
     assert packing._marks_apart(PATH) and not packing._marks_apart(public_tokenizers.path("byte_bpe_50k.json"))
 
