@@ -9,8 +9,6 @@ A known word scores by its log frequency per language. An unseen one falls back
 length of which any is known (mean log frequency). A text's language has the greatest sum of its words' scores and the
 log share of documents; the score is the posterior probability. Ties go to the first language by name.
 
-Texts are cut at white space first, which no word crosses; each distinct chunk is cut into words and scored once.
-
 Defined results: `und` and score 0 for a null text, one without letters, or where nothing could be learned; a text of
 letters of which none is known gets the most frequent language; repeated rows each give a row and count each in
 learning; a null key is not held out; labels null or empty don't count; other columns are ignored.
@@ -28,10 +26,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import chunks, cut, held_out, slices
+from codeloom.llm.common import cut, held_out, slices
 
 WORD_SHARE, GRAM_SHARE, GRAM_MAX = 1e-5, 5e-5, 5
-#: Counts gathered in a task before they are handed on; chunks kept with their scores; scores summed at a time.
+#: Counts gathered in a task before they are handed on; words kept with their scores; scores summed at a time.
 FLUSH_ENTRIES, CACHE_ENTRIES, SUM_ENTRIES = 400_000, 300_000, 2_000_000
 #: Added to every count, so that what a language lacks is improbable, not impossible.
 SMOOTH = 0.05
@@ -59,16 +57,8 @@ def _count(docs: DataFrame, text: str, lang: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keys) if keys else ((), (), ()), (pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
         for b in slices(batches, text):
-            names, index, begin = chunks(b.column(text))
-            coded = b.column(lang).dictionary_encode()
-            pairs = np.repeat(coded.indices.to_numpy().astype(np.int64), np.diff(begin)) * len(names) + index
-            langs, cut_ = coded.dictionary.to_pylist(), [words(x) for x in names]
-            for pair, n in zip(*(x.tolist() for x in np.unique(pairs, return_counts=True))):
-                x, chunk = divmod(pair, len(names))
-                if found := cut_[chunk]:
-                    own = of.setdefault(langs[x], Counter())
-                    for w in found:
-                        own[w] += n
+            for x, t in zip(b.column(lang).to_pylist(), b.column(text).to_pylist()):
+                of.setdefault(x, Counter()).update(words(t))
             if sum(map(len, of.values())) > FLUSH_ENTRIES:
                 yield rows()
         yield rows()
@@ -137,12 +127,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self._clear()
-
-    def _clear(self) -> None:
-        #: Slot of each known chunk; slot 0 is a chunk without letters.
-        self.slot: dict[str, int] = {}
-        self.rows = np.zeros((1, len(self.model.langs)))
+        #: Rows of the words met so far.
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(model.langs)), np.float32)
 
     def _vector(self, word: str) -> np.ndarray:
         tables, rows = self.model.tables, self.model.rows
@@ -150,45 +137,36 @@ class Scorer:
         if found is not None:
             return rows[found]
         for n in range(GRAM_MAX, 0, -1):
-            hits = [tables[n][g] for g in grams(word, n) if g in tables[n]]
+            table = tables[n]
+            hits = [table[g] for g in grams(word, n) if g in table]
             if hits:
-                return rows[hits].mean(axis=0)
-        return np.zeros(len(self.model.langs))
-
-    def _slots(self, names: list[str]) -> np.ndarray:
-        if len(self.slot) > CACHE_ENTRIES:
-            self._clear()
-        slot, more = self.slot, []
-        for x in names:
-            if x not in slot:
-                found = words(x)
-                slot[x] = len(self.rows) + len(more) if found else 0
-                if found:
-                    more.append(sum(self._vector(w).astype(np.float64) for w in found))
-        if more:
-            self.rows = np.concatenate([self.rows, more])
-        return np.fromiter(map(slot.__getitem__, names), np.int64, len(names))
-
-    def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+                return rows[hits].sum(0) / len(hits)
+        return np.zeros(len(self.model.langs), np.float32)
+
+    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """→ language and its posterior probability, of each text."""
-        langs, count = self.model.langs, len(texts)
-        if not langs:
-            return ["und"] * count, np.zeros(count)
-        names, index, begin = chunks(texts)
-        slots = self._slots(names)[index] if len(names) else index
-        of = np.repeat(np.arange(count), np.diff(begin))
-        of, slots = of[slots > 0], slots[slots > 0]
-        total = np.zeros((count, len(langs)))
-        step = max(1, SUM_ENTRIES // len(langs))
-        for k in range(0, len(of), step):
-            mine = of[k : k + step]
-            first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-            total[mine[first]] += np.add.reduceat(self.rows[slots[k : k + step]], first, axis=0)
-        total += self.model.prior
-        best = total.argmax(1)
-        score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        some = np.bincount(of, minlength=count) > 0
-        return [langs[i] if has else "und" for i, has in zip(best.tolist(), some.tolist())], np.where(some, score, 0.0)
+        model, at = self.model, self.at
+        if len(at) > CACHE_ENTRIES:
+            at.clear()
+        lists = [words(t) for t in texts]
+        new = {w for x in lists for w in x}.difference(at)
+        while len(at) + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for w in new:
+            self.rows[len(at)] = self._vector(w)
+            at[w] = len(at)
+        out, step = [], max(1, SUM_ENTRIES // max(1, len(model.langs)))
+        for x in lists:
+            if not x or not model.langs:
+                out.append(("und", 0.0))
+                continue
+            total = model.prior.copy()
+            slots = list(map(at.__getitem__, x))
+            for k in range(0, len(slots), step):  # a bounded number of a text's rows at a time
+                total += self.rows[slots[k : k + step]].sum(axis=0, dtype=np.float64)
+            best = int(total.argmax())
+            out.append((model.langs[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -198,8 +176,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in slices(batches, "__text"):
-            langs, scores = scorer.score(b.column("__text"))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            found = scorer.score(b.column("__text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], [*keep, "lang_pred", "score"])
 
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{types}, lang_pred string, score double")
