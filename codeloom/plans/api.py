@@ -76,3 +76,28 @@ def hotspots(findings: DataFrame, centrality: DataFrame, counts: DataFrame, top:
     n = findings.groupBy("path").agg(F.count(F.lit(1)).alias("finding_count"))
     out = n.join(centrality, "path", "left").join(counts, "path", "left").na.fill(0)
     return out.withColumn("edges", F.col("out_edges") + F.col("in_edges")).orderBy(F.desc("finding_count"), F.desc("centrality_millis"), F.desc("edges"), "path").limit(top)
+
+
+def explain_finding(reviewed: DataFrame, fingerprint: str) -> DataFrame:
+    """A finding with its review status, how many others stand in its file, and how many of its family are worse."""
+    one = reviewed.filter(F.col("fingerprint") == fingerprint)
+    others = one.select(F.col("path").alias("p"), F.col("family").alias("f"), F.col("severity_millis").alias("s")).limit(1)
+    met = reviewed.join(F.broadcast(others), (F.col("path") == F.col("p")) | (F.col("family") == F.col("f")))
+    counts = met.agg(F.count_if((F.col("path") == F.col("p")) & (F.col("fingerprint") != fingerprint)).alias("beside"), F.count_if((F.col("family") == F.col("f")) & (F.col("severity_millis") > F.col("s"))).alias("worse"))
+    return one.join(F.broadcast(counts)).select("fingerprint", "path", "family", "severity_millis", "status", "rule_id", "beside", "worse")
+
+
+def repository_topology(edges: DataFrame) -> DataFrame:
+    """Zones with their files and the relations within them, out of them and into them."""
+    a, z = E.zone("source_file_path"), E.zone("target_file_path")
+    ends = edges.select(F.explode(F.array(F.struct(a.alias("zone"), F.col("source_file_path").alias("path"), (a == z).alias("inner"), F.lit(True).alias("out")), F.struct(z.alias("zone"), F.col("target_file_path").alias("path"), (a == z).alias("inner"), F.lit(False).alias("out")))).alias("x"))
+    # Counts of each file first, so that a zone's files are counted from few rows.
+    per = ends.groupBy("x.zone", "x.path").agg(F.count_if(F.col("x.inner") & F.col("x.out")).alias("i"), F.count_if(~F.col("x.inner") & F.col("x.out")).alias("o"), F.count_if(~F.col("x.inner") & ~F.col("x.out")).alias("n"))
+    return per.groupBy("zone").agg(F.count(F.lit(1)).alias("files"), F.sum("i").alias("inner_relations"), F.sum("o").alias("outgoing"), F.sum("n").alias("incoming"))
+
+
+def quality_evaluation(reviewed: DataFrame) -> DataFrame:
+    """Per family: all findings, the visible ones, their worst and their files, and the share that rules and policies hide."""
+    seen = F.col("status") == "Visible"
+    out = reviewed.groupBy("family").agg(F.count(F.lit(1)).alias("total"), F.count_if(seen).alias("visible"), F.coalesce(F.max(F.when(seen, F.col("severity_millis"))), F.lit(0)).cast("int").alias("worst"), F.count_distinct(F.when(seen, F.col("path"))).alias("files"))
+    return out.withColumn("suppressed_millis", E.millis((F.col("total") - F.col("visible")) / F.col("total")).cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import assess as az
 from codeloom.operators import plugins as pl
 from codeloom.operators import review as rv
+from codeloom.operators import scanners as sn
 from codeloom.operators import surface as sf
 from codeloom.plans import bindings as b
 from codeloom.plans.bindings import duck, frame
@@ -246,3 +247,87 @@ def _(s, d):
 def _(s, d):
     none = s.createDataFrame([], "symbol_id string")
     return sf.wiring(frame(s, d, b.SYMBOLS), frame(s, d, b.EDGES), none).select("id", "implementers", "calls")
+
+
+PLACES = "SELECT 'n' || CAST(s_nationkey AS STRING) || '/s' || CAST(l_suppkey AS STRING) || '.py' AS file_path, CAST(l_linenumber AS INT) AS line, CASE WHEN l_returnflag = 'R' THEN NULL ELSE p_name END AS target_name FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {part} ON l_partkey = p_partkey WHERE l_quantity > 45"
+
+
+@add("edges_at_places", f"WITH p AS (SELECT DISTINCT * FROM ({duck(PLACES)})) SELECT edge_index, kind, line FROM {E_} e WHERE EXISTS (SELECT 1 FROM p WHERE p.file_path = e.source_file_path AND p.line = e.line AND (p.target_name IS NULL OR p.target_name = e.reference_target_name))")
+def _(s, d):
+    return sn.edges_at(frame(s, d, b.EDGES), frame(s, d, PLACES)).select("edge_index", "kind", "line")
+
+
+NATIVE = "SELECT 'e' || CAST(event_id AS STRING) AS fingerprint, 'app/e' || CAST(user_id AS STRING) || '.py' AS file_path, CAST(event_id AS INT) AS line, event_type AS category, CASE WHEN user_id % 2 = 0 THEN 'native' ELSE 'taint' END AS scanner FROM {events} WHERE event_type IN ('click', 'view', 'error')"
+STRUCTURAL = "SELECT 'e' || CAST(event_id AS STRING) AS fingerprint, 'app/e' || CAST(user_id AS STRING) || '.py' AS file_path, CAST(event_id AS INT) AS line, 'match' AS category, 'structural' AS scanner FROM {events} WHERE event_type NOT IN ('click')"
+
+
+@add("scanner_merge", f"WITH x AS (SELECT *, 0 AS o FROM ({duck(NATIVE)}) UNION ALL SELECT *, 1 FROM ({duck(STRUCTURAL)})) SELECT fingerprint, arg_min(file_path, o) AS file_path, arg_min(line, o) AS line, arg_min(category, o) AS category, string_agg(scanner, ',' ORDER BY o, scanner) AS scanners FROM x GROUP BY fingerprint")
+def _(s, d):
+    return sn.merged(frame(s, d, NATIVE), frame(s, d, STRUCTURAL)).withColumn("scanners", F.array_join("scanners", ","))
+
+
+MATCHES = "SELECT 'm' || CAST(o_custkey AS STRING) || '.py' AS file_path, CAST(o_orderkey AS INT) AS line, CASE o_orderstatus WHEN 'F' THEN 'complexity/' WHEN 'O' THEN 'security/' ELSE 'framework_misuse/' END || 'python/' || o_orderpriority AS rule, o_orderstatus AS token, o_orderpriority AS message, CASE o_orderpriority WHEN '1-URGENT' THEN 'High' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium' ELSE 'Low' END AS severity FROM {orders}"
+MA_ = f"({duck(MATCHES)})"
+
+
+@add("scanner_family_counts", f"SELECT count(*) FILTER (rule LIKE 'complexity/%') AS complexity_matches, count(*) FILTER (rule LIKE 'security/%') AS security_matches, count(*) FILTER (rule LIKE 'framework_misuse/%') AS misuse_matches FROM {MA_}")
+def _(s, d):
+    return sn.family_counts(frame(s, d, MATCHES))
+
+
+for name, order, keys in (
+    ("security_order_top100", "CASE severity WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, file_path, line, message", sn.security_order),
+    ("literal_order_top100", "file_path, line, rule", lambda: sn.literal_order("rule")),
+    ("match_order_top100", "file_path, line, rule, token", sn.match_order),
+):
+
+    @add(name, f"SELECT file_path, line, rule, row_number() OVER (ORDER BY {order})::INT AS rank FROM {MA_} QUALIFY rank <= 100")
+    def _(s, d, keys=keys):
+        return sn.told(frame(s, d, MATCHES), keys(), 100).select("file_path", "line", "rule", "rank")
+
+
+def reach_levels(most):
+    """One CTE for each level of the frontier: the best-scored way to each file."""
+    out = [f"st AS (SELECT source_file_path AS src, target_file_path AS dst, max(CASE relation_kind WHEN 'Call' THEN 5 ELSE 1 END) AS r FROM {C_} WHERE relation_kind IN ('Import','Call') AND source_file_path <> target_file_path GROUP BY ALL)", "rt AS (SELECT DISTINCT src AS path FROM st WHERE src LIKE 'm4/%')", "l0 AS (SELECT path, 0 AS score, [path] AS way FROM rt)"]
+    for k in range(1, most + 1):
+        out.append(f"l{k} AS (SELECT dst AS path, score + r - 1 AS score, list_append(way, dst) AS way FROM l{k - 1} JOIN st ON src = path WHERE NOT list_contains(way, dst) QUALIFY row_number() OVER (PARTITION BY dst ORDER BY score + r - 1 DESC, list_append(way, dst)) = 1)")
+    out.append("al AS (" + " UNION ALL ".join(f"SELECT *, {k} AS depth FROM l{k}" for k in range(1, most + 1)) + ")")
+    return ", ".join(out)
+
+
+@add("security_reachability", f"WITH {reach_levels(8)} SELECT path, min(depth) OVER (PARTITION BY path)::INT AS depth, score::INT AS score, array_to_string(way, ' > ') AS way FROM al WHERE path NOT IN (FROM rt) QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, al.depth, way) = 1")
+def _(s, d):
+    e = frame(s, d, b.CYCLES)
+    use = e.filter("relation_kind IN ('Import','Call') AND source_file_path != target_file_path")
+    roots = use.select(F.col("source_file_path").alias("path")).filter("path LIKE 'm4/%'")
+    return sn.security_reach(e, roots, 8).withColumn("way", F.array_join("way", " > "))
+
+
+@add("assessment_counts", f"SELECT family AS kind, count(*) AS n FROM {FD_} GROUP BY 1")
+def _(s, d):
+    f = frame(s, d, b.FINDINGS)
+    return f.groupBy(F.col("family").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("explain_finding", f"WITH {REVIEWED}, t AS (SELECT min(fingerprint) AS f FROM w), x AS (SELECT w.* FROM w, t WHERE fingerprint = f) SELECT fingerprint, path, family, severity_millis, status, rule_id, (SELECT count(*) FROM w q WHERE q.path = x.path AND q.fingerprint <> x.fingerprint) AS beside, (SELECT count(*) FROM w q WHERE q.family = x.family AND q.severity_millis > x.severity_millis) AS worse FROM x")
+def _(s, d):
+    from codeloom.plans.api import explain_finding
+
+    w = rv.suppressed(frame(s, d, b.FINDINGS), rules(s))
+    return explain_finding(w, w.agg(F.min("fingerprint")).first()[0] or "")
+
+
+@add("repository_topology", f"""WITH l AS (SELECT split_part(source_file_path, '/', 1) AS a, split_part(target_file_path, '/', 1) AS z, count(*) AS n FROM {C_} GROUP BY ALL),
+f AS (SELECT split_part(path, '/', 1) AS zone, count(DISTINCT path) AS files FROM (SELECT source_file_path AS path FROM {C_} UNION ALL SELECT target_file_path FROM {C_}) GROUP BY 1)
+SELECT zone, files, coalesce((SELECT sum(n) FROM l WHERE a = zone AND z = zone), 0)::BIGINT AS inner_relations, coalesce((SELECT sum(n) FROM l WHERE a = zone AND z <> zone), 0)::BIGINT AS outgoing, coalesce((SELECT sum(n) FROM l WHERE z = zone AND a <> zone), 0)::BIGINT AS incoming FROM f""")
+def _(s, d):
+    from codeloom.plans.api import repository_topology
+
+    return repository_topology(frame(s, d, b.CYCLES))
+
+
+@add("quality_evaluation", f"WITH {REVIEWED} SELECT family, count(*) AS total, count(*) FILTER (status = 'Visible') AS visible, coalesce(max(severity_millis) FILTER (status = 'Visible'), 0)::INT AS worst, count(DISTINCT path) FILTER (status = 'Visible') AS files, round(1000.0 * count(*) FILTER (status <> 'Visible') / count(*))::INT AS suppressed_millis FROM w GROUP BY family")
+def _(s, d):
+    from codeloom.plans.api import quality_evaluation
+
+    return quality_evaluation(rv.suppressed(frame(s, d, b.FINDINGS), rules(s)))
