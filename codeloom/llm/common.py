@@ -19,10 +19,12 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """See to it that checkpoint() works: the cluster's spark.checkpoint.dir, or a folder of this machine where none is set (tests)."""
+    """See to it that checkpoint() works: the cluster's spark.checkpoint.dir; where none is set, a folder of this machine in local mode (tests) and an error on a cluster."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 

@@ -76,3 +76,26 @@ def test_pipeline_end_to_end(spark, tmp_path):
     for r in out:
         load[r.sequence_id] = load.get(r.sequence_id, 0) + r.length
     assert max(load.values()) <= 2048 and len(load) <= sum(load.values()) / 2048 + 2
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No rows at all; nulls, empty texts, repeated rows, missing ids, and extra columns named like what the stages use themselves."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, score int, found string, n int, rep string, same string, fp string, key int"
+    more = (7, "x", 8, "y", "z", "w", 9)
+    rows = [(1, None, None, None, None, *more), (2, "", "en", "s", 0, *more), (3, "one clean text", "en", "s", 14, *more), (3, "one clean text", "en", "s", 14, *more), (None, "no id", "en", None, 5, *more), (None, None, None, None, None, *[None] * 7)]
+    for name, docs in (("none", []), ("odd", rows)):
+        folder = tmp_path / name
+        frame = spark.createDataFrame(docs, kinds)
+        frame.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            now = stage(spark, now, str(folder))
+            assert now.columns == frame.columns
+            now.write.parquet(f"{folder}/{k}")
+            now = spark.read.parquet(f"{folder}/{k}")
+        assert all(tuple(r)[5:] in (more, (None,) * 7) for r in now.collect())
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.length) for r in corpus_pipeline.run(spark, str(folder)).collect())
+        assert [x[:2] for x in got] == ([] if not docs else [(False, 1), (False, 3), (True, 0), (True, 0)])
+        assert all(n == 1 for _, d, n in got if d == 1)
