@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import expr as E
@@ -34,11 +34,17 @@ def pruned(files: DataFrame, ignored: list[str] = IGNORED, hidden: bool = False)
     return files.filter(~drop)
 
 
+def prefixes_of(path: str) -> Column:
+    """A path and all folders above it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
 def included(files: DataFrame, prefixes: list[str]) -> DataFrame:
     """Paths that are, or lie under, one of the prefixes; all if there is none."""
     if not prefixes:
         return files
-    return files.filter(E.any_of(*[(F.col("relative_path") == p) | F.col("relative_path").startswith(p + "/") for p in prefixes]))
+    return files.filter(F.arrays_overlap(prefixes_of("relative_path"), F.array(*[F.lit(p.rstrip("/")) for p in prefixes])))
 
 
 def scan_config(text: str | None, defaults: dict | None = None) -> dict:
