@@ -76,7 +76,9 @@ def _(s, d):
     return az.split_identity(frame(s, d, NAMES))
 
 
-FORWARDS = "SELECT 'k' || CAST(p_partkey % 400 AS STRING) AS source, 'k' || CAST(p_partkey % 400 + 10 AS STRING) AS target FROM {part} WHERE p_partkey % 400 % 40 < 30"
+#: Every part forwards to the next one; chains end after some keys of each forty, and one key has two targets.
+FORWARDS = """SELECT 'k' || CAST(p_partkey AS STRING) AS source, CASE WHEN p_partkey % 40 IN (2, 9, 10, 19, 39) THEN 'end' ELSE 'k' END || CAST(p_partkey + 1 AS STRING) AS target FROM {part}
+ UNION ALL SELECT 'k' || CAST(p_partkey AS STRING) AS source, 'other' || CAST(p_partkey AS STRING) AS target FROM {part} WHERE p_partkey % 40 = 34"""
 
 
 @add("forwarder_chains", f"""WITH RECURSIVE f AS (SELECT source, min(target) AS target FROM ({duck(FORWARDS)}) GROUP BY source HAVING count(DISTINCT target) = 1), w(s, t, c, n) AS (SELECT source, target, source || ' -> ' || target, 2 FROM f WHERE source NOT IN (SELECT target FROM f) UNION ALL SELECT s, f.target, c || ' -> ' || f.target, n + 1 FROM w JOIN f ON f.source = w.t WHERE n < 9)
@@ -163,7 +165,8 @@ def _(s, d):
     return frame(s, d, b.FINDINGS).groupBy("path", "family").agg(F.count(F.lit(1)).alias("n"))
 
 
-REG = "SELECT 'a' || CAST(user_id AS STRING) || '.py' AS file_path, CAST(event_id % 100 AS INT) AS line, event_type || CAST(user_id % 9 AS STRING) AS identity, 'h' || CAST(user_id AS STRING) AS handler, CASE WHEN event_id % 3 = 0 THEN 'publish' ELSE 'subscribe' END AS side FROM {events} WHERE event_id % 20 < 3"
+#: Nine users share an identity, so that identities grow with the table.
+REG = "SELECT 'a' || CAST(user_id AS STRING) || '.py' AS file_path, CAST(event_id % 100 AS INT) AS line, event_type || CAST(CAST(floor(user_id / 9) AS BIGINT) AS STRING) AS identity, 'h' || CAST(user_id AS STRING) AS handler, CASE WHEN event_id % 3 = 0 THEN 'publish' ELSE 'subscribe' END AS side FROM {events}"
 
 
 @add("pubsub_edges", f"WITH r AS (SELECT * FROM ({duck(REG)})) SELECT DISTINCT p.file_path AS source_file_path, q.file_path AS target_file_path, q.handler AS target_symbol_id, p.identity, 'EventPublish' AS relation_kind, 650 AS confidence_millis FROM r p JOIN r q ON p.identity = q.identity WHERE p.side = 'publish' AND q.side = 'subscribe'")
