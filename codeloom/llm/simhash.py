@@ -155,6 +155,12 @@ def shingle_sets(docs: DataFrame, shingle: int, text: str = "text", key: str = "
     return docs.select(key, text).mapInArrow(run, f"{key} long, shingles binary")
 
 
+def sets_of(docs: DataFrame, keys: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
+    """docs of these keys → key, shingles, one row a key (of the least text). The texts are folded where the join has put them, so the sets themselves aren't shuffled."""
+    one = docs.join(keys, key, "left_semi").groupBy(key).agg(F.min(text).alias(text))
+    return cut(shingle_sets(one, shingle, text, key))
+
+
 def banded(sets: list[np.ndarray], bands: int, seed: int = 7) -> list[list[int]]:
     """One signed 64-bit key for each band and set: hashes of BAND minima each, under random permutations. None for an empty set."""
     out = np.zeros((len(sets), bands), np.uint64)
@@ -192,7 +198,7 @@ def described(docs: DataFrame, shingle: int, bands: int = 0, text: str = "text",
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
     """Those of the pairs (a, b) of keys whose texts have that Jaccard similarity of word shingles or more."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-    sets = cut(shingle_sets(docs.join(ends, key, "left_semi"), shingle, text, key).groupBy(key).agg(F.min("shingles").alias("shingles")))
+    sets = sets_of(docs, ends, shingle, text, key)
     both = pairs.join(sets.select(F.col(key).alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col(key).alias("b"), F.col("shingles").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +253,7 @@ def across(docs: DataFrame, members: DataFrame, similarity: float, shingle: int,
     itself. At a shingle, those of its largest component, which may be thousands of copies, are paired with the others only.
     """
     spark = docs.sparkSession
-    sets = shingle_sets(docs.join(members.select(F.col("rep").alias(key)), key, "left_semi"), shingle, text, key)
-    sets = cut(sets.withColumnRenamed(key, "rep").groupBy("rep").agg(F.min("shingles").alias("shingles")))
+    sets = sets_of(docs, members.select(F.col("rep").alias(key)), shingle, text, key).withColumnRenamed(key, "rep")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "shingles"):
