@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def rows_a_batch(spark: SparkSession, most: int) -> Iterator[None]:
+    """Plans that run inside pass at most so many rows at a time to Python; for wide rows, of which the default number takes much memory outside the JVM's heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most if int(before) <= 0 else min(most, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

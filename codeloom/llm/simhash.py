@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, slices
+from codeloom.llm.common import cut, rows_a_batch, slices
 from codeloom.llm.components import components
 
 BITS = 64
@@ -40,6 +40,8 @@ HOT = 100_000
 #: Text that is described at a time.
 DESCRIBED_BYTES = 2 << 20
 BUCKET_PAIRS = 64
+#: Pairs that go to a Python worker at a time, each with two whole shingle sets.
+PAIRS_A_BATCH = 500
 #: Least hashes of a shingle set in each band: a pair of Jaccard similarity j shares one of b bands with probability 1 - (1 - j^BAND)^b.
 BAND = 5
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -210,7 +212,8 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int,
                 near.append(common >= similarity * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    with rows_a_batch(docs.sparkSession, PAIRS_A_BATCH):
+        return cut(both.mapInArrow(run, "a long, b long"))
 
 
 def met(nodes: DataFrame, radius: int) -> DataFrame:
@@ -234,14 +237,14 @@ def alike_pairs(docs: DataFrame, nodes: DataFrame, radius: int, similarity: floa
     near = (F.col("t") < 0) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)
     pairs = x.join(y, ["t", "v"]).filter((F.col("rep") < F.col("b")) & near & lengths).select(F.col("rep").alias("a"), "b")
     star = found.filter((F.col("size") > BUCKET_PAIRS) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    first = cut(verified(cut(pairs.unionByName(star).distinct()), docs, similarity, shingle, text, key))
+    first = verified(cut(pairs.unionByName(star).distinct()), docs, similarity, shingle, text, key)
     named = nodes.select("rep").distinct().join(components(first), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
     crowd = found.filter(F.col("size") > BUCKET_PAIRS).select("t", "v", "rep", "n").join(named, "rep")
     split = crowd.groupBy("t", "v").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("shortest")).filter("x < y").select("t", "v", "shortest")
     left = cut(crowd.join(split, ["t", "v"]).groupBy("rep", "component").agg(F.min("shortest").alias("shortest")))
     if left.isEmpty():
         return first
-    return first.unionByName(cut(verified(across(docs, left, similarity, shingle, text, key), docs, similarity, shingle, text, key)))
+    return first.unionByName(verified(across(docs, left, similarity, shingle, text, key), docs, similarity, shingle, text, key))
 
 
 def across(docs: DataFrame, members: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
