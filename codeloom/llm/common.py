@@ -72,6 +72,26 @@ def py_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+#: A key that so large a share of all rows has is hot; there are no more than 1 / HOT_KEYS such keys.
+HOT_KEYS = 1e-4
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], often: str, spread: list[str]) -> DataFrame:
+    """rows, left-joined to found by its keys (unique, none null). `often` of found says how many rows have a key.
+
+    Keys of HOT_KEYS of all rows or more are broadcast, of which the bound is in their number. Rows that have met one of them take no
+    part in the second join's keys but are spread by the hash of other columns, so that no task gets a hot key's rows.
+    """
+    found = cut(found)
+    least = max(1.0, (found.agg(F.sum(often)).first()[0] or 0) * HOT_KEYS)
+    values = [c for c in found.columns if c not in (*keys, often)]
+    hot = found.filter(F.col(often) >= least).select(*keys, F.lit(1).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in values])
+    cold = found.filter(F.col(often) < least).select(*keys, F.lit(0).alias("__salt"), *[F.col(c).alias(f"__cold_{c}") for c in values])
+    met = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 30))).cast("int"))
+    met = met.join(cold, [*keys, "__salt"], "left")
+    return met.select(*rows.columns, *[F.when(F.col("__hot").isNull(), F.col(f"__cold_{c}")).otherwise(F.col(f"__hot_{c}")).alias(c) for c in values])
+
+
 def sampled(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     """About `most` rows (all, if there are no more), those of small hashes of their keys, each key once: bounded however many rows there are or share a key, and the same on every run."""
     n = rows.count()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import ann, secrets, substrings
+from codeloom.llm import ann, importance, secrets, substrings, vector_codes, vector_dedup
 from codeloom.llm.ann import nearest
 from codeloom.llm.common import table
 from codeloom.llm.decontamination import contaminated
@@ -66,6 +66,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, least=20, percent=10, seed=2024)
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), similarity=0.98)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), scale=4096, parts=8, entries=16, rounds=6).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_language": op2_language,
@@ -77,5 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_resampling": op11_resampling,
+    "op12_near_vectors": op12_near_vectors,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLES: dict[str, str] = {"op1_secrets": secrets.oracle(), "op6_substrings": substrings.oracle(), "op7_nearest": ann.oracle()}
+ORACLES: dict[str, str] = {"op1_secrets": secrets.oracle(), "op6_substrings": substrings.oracle(), "op7_nearest": ann.oracle(), "op11_resampling": importance.oracle(), "op12_near_vectors": vector_dedup.oracle(), "op13_vector_codes": vector_codes.oracle()}
