@@ -171,22 +171,25 @@ def _brace_loop(t: Tokens, i: int) -> int | None:
     return t.pair.get(t.pair[j] + 1) if fit else None
 
 
+def indented(t: Tokens, words: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Python's blocks that begin with one of the words (also after `async`): the first token, and where the last one ends."""
+    out, stack, depth, n = [], [], 0, len(t.token)
+    for i in range(n):
+        if not depth and (not i or t.line[i] > t.line[i - 1] and t.at(i - 1) != "\\"):
+            column = t.start[i] - t.text.rfind("\n", 0, t.start[i]) - 1
+            while stack and column <= stack[-1][1]:
+                out.append((stack.pop()[0], t.end[i - 1]))
+            if t.at(i) in words or t.at(i) == "async" and t.at(i + 1) in words:
+                stack.append((i, column))
+        depth = max(0, depth + (t.at(i) in ("(", "[", "{")) - (t.at(i) in _PAIRS))
+    return out + [(i, t.end[n - 1]) for i, _ in stack]
+
+
 def loops(t: Tokens) -> list[tuple[int, int, int]]:
     """(start, end, line) of the loops of a source."""
     out, n = [], len(t.token)
     if t.language == "Python":
-        column = lambda i: t.start[i] - t.text.rfind("\n", 0, t.start[i]) - 1
-        stack, depth = [], 0
-        for i in range(n):
-            first = not depth and (not i or t.line[i] > t.line[i - 1] and t.at(i - 1) != "\\")
-            if first:
-                while stack and column(i) <= stack[-1][1]:
-                    j, _ = stack.pop()
-                    out.append((t.start[j], t.end[i - 1], t.line[j]))
-                if t.at(i) in ("for", "while") or t.at(i) == "async" and t.at(i + 1) == "for":
-                    stack.append((i, column(i)))
-            depth = max(0, depth + (t.at(i) in ("(", "[", "{")) - (t.at(i) in _PAIRS))
-        return out + [(t.start[j], t.end[n - 1], t.line[j]) for j, _ in stack]
+        return [(t.start[i], end, t.line[i]) for i, end in indented(t, ("for", "while"))]
     if t.language == "Ruby":
         stack = []
         for i in range(n):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,11 +124,11 @@ def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     return hit.groupBy("file_path", "target").agg(F.min_by("candidate", "place").alias("imported_path"))
 
 
-def ancestors(heritage: DataFrame, most: int = 16) -> DataFrame:
-    """heritage (child, parent, place) → (child, ancestor, depth, place): breadth first, each once at its nearest."""
+def ancestors(heritage: DataFrame) -> DataFrame:
+    """heritage (child, parent, place) → (child, ancestor, depth, place): breadth first, each once at its nearest, as far up as there is anything new."""
     h = heritage.groupBy("child", "parent").agg(F.min("place").alias("place"))
     seen = front = cut(h.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"), F.array("place").alias("place")))
-    for depth in range(2, most + 1):
+    for depth in itertools.count(2):
         up = h.select(F.col("child").alias("ancestor"), "parent", F.col("place").alias("p2"))
         got = front.join(up, "ancestor").filter("child != parent").groupBy("child", F.col("parent").alias("ancestor")).agg(F.min(F.concat("place", F.array("p2"))).alias("place"))
         front = cut(got.join(seen, ["child", "ancestor"], "left_anti").select("child", "ancestor", F.lit(depth).alias("depth"), "place"))
@@ -193,11 +195,3 @@ def override_edges(symbols: DataFrame, lineage: DataFrame, existing: DataFrame |
         out = out.join(existing.filter("kind = 'Overrides'").select("source_symbol_id", "target_symbol_id"), ["source_symbol_id", "target_symbol_id"], "left_anti")
     return out
 
-
-def receiver_types(refs: DataFrame, symbols: DataFrame, rounds: int = 3) -> DataFrame:
-    """(ref_index, type_name): types of receivers: given, or the return type of the method a receiver `A::m` names, followed a few rounds."""
-    known = refs.filter("receiver_type_name is not null").select("ref_index", F.col("receiver_type_name").alias("type_name"))
-    method = symbols.filter("return_type_name is not null and owner_type_name is not null").select(F.concat_ws("::", "owner_type_name", "name").alias("type_name"), F.col("return_type_name").alias("next")).distinct()
-    for _ in range(rounds):
-        known = known.join(method, "type_name", "left").select("ref_index", F.coalesce("next", "type_name").alias("type_name"))
-    return known.distinct()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.operators import rules
+from pyspark.sql import functions as F
+
+from codeloom.operators import receivers, rules
 from codeloom.plans.bindings import duck, frame
 
 Q, O = {}, {}
@@ -51,3 +53,14 @@ def _(s, d):
 @add("structural_families", f"WITH f AS ({duck(FOUND)}) SELECT CASE split_part(rule_id, '/', 1) WHEN 'complexity' THEN 'algorithmic_complexity' WHEN 'security' THEN 'security_dangerous_api' ELSE 'framework_misuse' END AS family, count(*) AS findings, count(DISTINCT file_path) AS files FROM f GROUP BY 1")
 def _(s, d):
     return rules.findings_by_family(rules.structural_findings(frame(s, d, SOURCES)))
+
+
+#: For each customer a class whose method leads to the next one's, in a file of its own, and a caller that goes on from class to class over variables and chains.
+CHAIN = """SELECT 'm/c' || CAST(c_custkey AS STRING) || '.ts' AS file_path, 'import « C' || CAST(c_custkey + 1 AS STRING) || ' » from "./c' || CAST(c_custkey + 1 AS STRING) || '";¦export class C' || CAST(c_custkey AS STRING) || ' «¦  next(): Promise<C' || CAST(c_custkey + 1 AS STRING) || '> « return x; »¦  save() «»¦»' AS text FROM {customer}
+ UNION ALL SELECT 's/c' || CAST(c_custkey AS STRING) || '.ts', 'import « C' || CAST(c_custkey AS STRING) || ' as K » from "../m/c' || CAST(c_custkey AS STRING) || '";¦async function run() «¦  const a = new K();¦  const b = (await a.next()).next();¦  const d = b;¦  const e = d;¦  const f = e;¦  f.next()¦    .next().save();¦  other.save();¦»' FROM {customer}"""
+
+
+@add("receiver_calls", "SELECT 's/c' || c.c_custkey || '.ts' AS file_path, line, member, 'm/c' || t.c_custkey || '.ts' AS target_file_path, 'C' || t.c_custkey AS target_owner FROM customer c, (VALUES (4, 'next', 0), (4, 'next', 1), (8, 'next', 2), (9, 'next', 3), (9, 'save', 4)) v(line, member, k) JOIN customer t ON t.c_custkey = c.c_custkey + k")
+def _(s, d):
+    x = frame(s, d, CHAIN).withColumn("text", F.translate("text", "¦«»", "\n{}"))
+    return receivers.member_calls(x, x.select(F.col("file_path").alias("path"))).select("file_path", "line", "member", "target_file_path", "target_owner")
