@@ -42,6 +42,8 @@ DESCRIBED_BYTES = 2 << 20
 BUCKET_PAIRS = 64
 #: Pairs that go to a Python worker at a time, each with two whole shingle sets.
 PAIRS_A_BATCH = 500
+#: Bits of the filter that leaves texts out where they are read.
+MARKS = 1 << 24
 #: Least hashes of a shingle set in each band: a pair of Jaccard similarity j shares one of b bands with probability 1 - (1 - j^BAND)^b.
 BAND = 5
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -146,21 +148,31 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingles(text, shingle))
 
 
-def shingle_sets(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs → key, shingles: sorted distinct hashes, as bytes."""
+def marks(keys: DataFrame, key: str) -> np.ndarray:
+    """A bit for each of MARKS remainders of the keys' hashes that occur; as many words at most come to the driver as that takes, however many keys there are."""
+    place = F.pmod(F.xxhash64(key), F.lit(MARKS))
+    words = keys.select((place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, CAST(pmod(pmod(xxhash64({key}), {MARKS}), 64) AS INT))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(MARKS // 64, np.int64)
+    for r in words.collect():
+        out[r.w] = r.bits
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
-            sets = [shingle_hashes(t, shingle).tobytes() for t in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(sets, pa.binary())], [key, "shingles"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} long, shingles binary")
+def sets_of(docs: DataFrame, keys: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
+    """docs of these keys → key, shingles, one row a key. Other texts are left out where they are read, but for those whose hash shares a key's mark; what moves are the sets."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks(keys, key))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            at = whole.column("__place").to_numpy()
+            whole = whole.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1))
+            for b in slices([whole], text):
+                found = [shingle_hashes(t, shingle).tobytes() for t in b.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in found], pa.int64()), pa.array(found, pa.binary())], [key, "order", "shingles"])
 
-def sets_of(docs: DataFrame, keys: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
-    """docs of these keys → key, shingles, one row a key (of the least text). The texts are folded where the join has put them, so the sets themselves aren't shuffled."""
-    one = docs.join(keys, key, "left_semi").groupBy(key).agg(F.min(text).alias(text))
-    return cut(shingle_sets(one, shingle, text, key))
+    placed = docs.filter(F.col(key).isNotNull()).select(key, text, F.pmod(F.xxhash64(key), F.lit(MARKS)).alias("__place"))
+    made = placed.mapInArrow(run, f"{key} long, order long, shingles binary").join(keys.select(key).distinct(), key, "left_semi")
+    return cut(made.groupBy(key).agg(F.min_by("shingles", F.struct("order", "shingles")).alias("shingles")))
 
 
 def banded(sets: list[np.ndarray], bands: int, seed: int = 7) -> list[list[int]]:
@@ -320,10 +332,13 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity:
     nodes = own.groupBy("same").agg(F.min(key).alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     found = components(alike_pairs(docs, nodes, radius, similarity, shingle, text, key))
     named = nodes.join(found, nodes.rep == found.node, "left").select("same", F.coalesce("component", "rep").alias("kept"))
-    gone = own.join(named, "same").filter(F.col(key) != F.col("kept")).select(key).distinct()
-    rest = docs.join(gone, key, "left_anti")
-    again = own.groupBy(key).count().filter("count > 1").select(key)
+    # One row for each key of which something is to be decided; whole documents move for this join alone.
+    decided = own.join(named, "same").groupBy(key).agg(F.max(F.col(key) != F.col("kept")).alias("__gone"), (F.count(F.lit(1)) > 1).alias("__again")).filter("__gone or __again")
+    decided = cut(decided)
+    rest = docs.join(decided.filter("__gone").select(key), key, "left_anti")
+    again = decided.filter("__again and not __gone").select(key)
+    if again.isEmpty():
+        return rest.select(*docs.columns)
     order = Window.partitionBy(key).orderBy(*[F.xxhash64(c) for c in (text,)], F.xxhash64(*docs.columns))
-    single = rest.join(again, key, "left_anti")
-    repeated = rest.join(again, key, "left_semi").withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
-    return single.unionByName(repeated).select(*docs.columns)
+    repeated = docs.join(again, key, "left_semi").withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    return rest.join(again, key, "left_anti").unionByName(repeated).select(*docs.columns)
