@@ -38,6 +38,8 @@ SAMPLE = 2500
 FEATURES = 1 << 18
 ROUNDS, RATE, DAMP, SPARSE = 60, 0.1, 1e-2, 2e-4
 CACHE_ENTRIES = 300_000
+#: Letters of a word that are looked at together, and those that two pieces of a longer one share.
+PIECE, OVERLAP = 40, 8
 _ends = re.compile(r"[.!?\n]+")
 _letters = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -47,8 +49,23 @@ def sentences(text: str | None) -> list[list[str]]:
     return [w for s in _ends.split(text.lower()) if (w := _letters.findall(s))] if text else []
 
 
+def pieces(word: str) -> list[str]:
+    """A word with marks at its ends; one of over PIECE letters as pieces that overlap, so every run of letters that is a feature lies in some piece."""
+    padded = f"<{word}>"
+    return [padded] if len(word) <= PIECE else [padded[i : i + PIECE + 2] for i in range(0, len(padded) - OVERLAP, PIECE + 2 - OVERLAP)]
+
+
 def features(word: str) -> list[int]:
-    padded = f"<{word[:40]}>"
+    found = [_features(p) for p in pieces(word)]
+    return found[0] if len(found) == 1 else sorted({x for f in found for x in f})
+
+
+def weight_of(word: str, theta: np.ndarray) -> float:
+    """A word's weight: of one in several pieces the largest of theirs, so that length alone doesn't add up."""
+    return max(float(theta[_features(p)].sum()) for p in pieces(word))
+
+
+def _features(padded: str) -> list[int]:
     names = {padded, *(padded[:n] for n in range(4, min(8, len(padded)))), *(padded[i : i + n] for n in (4, 5) for i in range(1, len(padded) - n))}
     return [zlib.crc32(x.encode()) % FEATURES for x in names]
 
@@ -173,7 +190,7 @@ class Scorer:
             known.clear()
         docs = [sentences(t) for t in texts]
         for w in {w for d in docs for s in d for w in s}.difference(known):
-            known[w] = float(theta[features(w)].sum())
+            known[w] = weight_of(w, theta)
         of = known.__getitem__
         z = np.array([sum(map(of, set(s))) for d in docs for s in d], np.float64) + base
         more = np.maximum(0, _softplus(z) - self.leak)
@@ -189,7 +206,7 @@ class Scorer:
             end = m.start() if m else len(text or "")
             found = _letters.findall((text or "")[at:end].lower())
             if found:
-                p = float(_sigmoid(self.model.base + sum(self.known[w] if w in self.known else float(self.model.weights[features(w)].sum()) for w in set(found))))
+                p = float(_sigmoid(self.model.base + sum(self.known[w] if w in self.known else weight_of(w, self.model.weights) for w in set(found))))
                 if p >= least:
                     out.append((at, end, p))
             at = m.end() if m else end

@@ -70,3 +70,20 @@ def test_nothing_to_learn_from(spark):
     got = toxicity.toxicity(*frames(spark, [(1, "grumbish"), (2, None)], [(1, 0)])).collect()
     assert [(g.score, g.predicted) for g in got] == [(0.0, 0)] * 2
     assert toxicity.toxicity(*frames(spark, [], [])).count() == 0
+
+
+def test_no_part_of_a_long_word_is_left_out():
+    import numpy as np
+
+    from codeloom.llm import toxicity
+
+    for n in (1, 7, 39, 40, 41, 48, 500):
+        word = "".join(chr(97 + (i * i + n) % 26) for i in range(n))
+        padded = f"<{word}>"
+        grams = {padded[i : i + k] for k in (4, 5) for i in range(1, len(padded) - k)}
+        assert all(any(g in p for p in toxicity.pieces(word)) for g in grams)
+    theta = np.zeros(toxicity.FEATURES)
+    theta[toxicity.features("grumbish")] = 1
+    plain, bad = (toxicity.weight_of("harmless" * 5 + w, theta) for w in ("daisy", "grumbish"))
+    assert bad > plain + 5
+    assert toxicity.weight_of("harmless" * 10_000, theta) <= plain + 1
