@@ -394,3 +394,55 @@ def bridges(edges: DataFrame, source_zone: str, target_zone: str) -> DataFrame:
     """Links by which one zone leads to another, strongest first."""
     at = edges.filter((E.zone("source_file_path") == source_zone) & (E.zone("target_file_path") == target_zone))
     return at.groupBy("source_file_path", "target_file_path").agg(F.count(F.lit(1)).alias("relations"), F.max("confidence_millis").alias("confidence_millis"), F.array_sort(F.collect_set(snake(F.col("relation_kind")))).alias("kinds")).orderBy(F.desc("relations"), F.desc("confidence_millis"), "source_file_path", "target_file_path")
+
+
+def best_steps(edges: DataFrame, branches: int = 12) -> DataFrame:
+    """(src, dst, relation_kind, confidence_millis): the best edge between two files by relation, confidence and layer, and of each file's the `branches` best."""
+    rank = F.coalesce(F.create_map(*[v for r, n in RELATION_RANK.items() for v in (F.lit(r), F.lit(n))])[F.col("relation_kind")], F.lit(0))
+    step = edges.filter("source_file_path != target_file_path").groupBy(F.col("source_file_path").alias("src"), F.col("target_file_path").alias("dst")).agg(F.min(F.struct((-rank).alias("r"), (-F.col("confidence_millis")).alias("c"), M.rank("layer", M.LAYERS).alias("l"), "relation_kind")).alias("e"))
+    best = step.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("e", "dst"))).filter(F.col("n") <= branches)
+    return best.select("src", "dst", F.col("e.relation_kind").alias("relation_kind"), (-F.col("e.c")).cast("int").alias("confidence_millis"))
+
+
+def support_paths(edges: DataFrame, pairs: DataFrame, hops: int = 4, most: int = 2, branches: int = 12) -> DataFrame:
+    """pairs (pair, source, target: files) → (pair, rank, path, relations, confidence_millis): up to `most` ways without a file twice, all pairs searched at once.
+
+    The ways of a pair that come to the same file in the same number of steps are as many as `most`, those of the highest least
+    confidence, so a round holds no more than pairs × files × most rows, and a common file isn't paired out. A pair that has its ways goes on no further.
+    """
+    step = cut(best_steps(edges, branches))
+    front = pairs.filter("source != target").select("pair", "target", F.col("source").alias("at"), F.array("source").alias("path"), F.array().cast("array<string>").alias("relations"), F.lit(1000).alias("confidence_millis"))
+    found, done = [], None
+    w = Window.partitionBy("pair", "at").orderBy(F.desc("confidence_millis"), "path")
+    for _ in range(hops):
+        s = step.select(F.col("src").alias("at"), "dst", "relation_kind", F.col("confidence_millis").alias("c"))
+        got = front.join(s, "at").filter(~F.array_contains("path", F.col("dst")))
+        got = got.select("pair", "target", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.concat("relations", F.array("relation_kind")).alias("relations"), F.least("confidence_millis", "c").alias("confidence_millis"))
+        got = cut(got.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).drop("n"))
+        found.append(got.filter("at = target"))
+        done = found[-1] if done is None else done.unionByName(found[-1])
+        full = done.groupBy("pair").count().filter(F.col("count") >= most).select("pair")
+        front = got.filter("at != target").join(full, "pair", "left_anti")
+        if front.isEmpty():
+            break
+    rank = F.row_number().over(Window.partitionBy("pair").orderBy(F.size("relations"), F.desc("confidence_millis"), "path"))
+    return done.withColumn("rank", rank).filter(F.col("rank") <= most).select("pair", "rank", "path", "relations", "confidence_millis")
+
+
+def zone_files(edges: DataFrame) -> DataFrame:
+    """(zone, path): the file of most edges in each zone."""
+    ends = edges.filter("source_file_path != target_file_path").select(F.explode(F.array("source_file_path", "target_file_path")).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return ends.groupBy(E.zone("path").alias("zone")).agg(F.min(F.struct((-F.col("n")).alias("n"), "path")).alias("b")).select("zone", F.col("b.path").alias("path"))
+
+
+def zone_support_paths(edges: DataFrame, top: int = 40, hops: int = 4, most: int = 2) -> DataFrame:
+    """For each of the `top` zone links, ways between the zones' main files: from the source zone to the target zone, or back where there is none.
+    → source_zone, target_zone, reversed, rank, path, relations, confidence_millis."""
+    files = cut(zone_files(edges))
+    linked = zone_links(edges, top).join(files.select(F.col("zone").alias("source_zone"), F.col("path").alias("a")), "source_zone").join(files.select(F.col("zone").alias("target_zone"), F.col("path").alias("b")), "target_zone")
+    both = linked.select("source_zone", "target_zone", F.explode(F.array(F.struct(F.lit(False).alias("reversed"), F.col("a").alias("source"), F.col("b").alias("target")), F.struct(F.lit(True).alias("reversed"), F.col("b").alias("source"), F.col("a").alias("target")))).alias("w"))
+    pairs = cut(both.select(F.struct("source_zone", "target_zone", "w.reversed").alias("pair"), "w.source", "w.target"))
+    found = cut(support_paths(edges, pairs, hops, most))
+    forth = found.filter("not pair.reversed").select("pair.source_zone", "pair.target_zone").distinct()
+    flat = found.select("pair.*", "rank", "path", "relations", "confidence_millis")
+    return flat.filter("not reversed").unionByName(flat.filter("reversed").join(forth, ["source_zone", "target_zone"], "left_anti").select(*flat.columns))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import expr as E
 from codeloom.functions import masks
-from codeloom.operators import assess, deadcode, edges, graph, resolution, review, text
+from codeloom.operators import assess, deadcode, edges, graph, receivers, resolution, review, text
+from codeloom.operators import rules as structural
 from codeloom.sources import parsers, scan
 
 
@@ -37,6 +38,12 @@ def analyze(sources: DataFrame, before: DataFrame | None = None, rules: DataFram
     none = symbols.select("file_path", F.col("name").alias("binding"), F.col("id").alias("qualified")).limit(0)
     calls = refs.filter("kind not in ('Import', 'TypeImport')").withColumn("target_name", E.leaf_name("target_name"))
     resolved = resolution.resolve(calls, symbols, none, imported)
+    # What the type of its receiver proves goes before what a name alone suggests.
+    proven = receivers.member_calls(sources, files).select("file_path", "line", F.col("member").alias("target_name"), F.col("target_file_path").alias("tf"), F.col("target_line").alias("tl"))
+    named = symbols.select(F.col("file_path").alias("tf"), F.col("start_line").alias("tl"), F.col("name").alias("target_name"), F.col("id").alias("target_symbol_id"))
+    typed = calls.filter("call_form in ('Member', 'Associated')").join(proven, ["file_path", "line", "target_name"]).join(named, ["tf", "tl", "target_name"]).groupBy("ref_index").agg(F.min("target_symbol_id").alias("target_symbol_id"))
+    typed = graph.cut(typed).select("ref_index", "target_symbol_id", F.lit("ImportScoped").alias("resolution_tier"), F.lit(900).alias("confidence_millis"))
+    resolved = resolved.join(typed.select("ref_index"), "ref_index", "left_anti").select(*typed.columns).unionByName(typed)
     s = symbols.select(F.col("id").alias("target_symbol_id"), F.col("file_path").alias("target_file_path"))
     made = calls.join(resolved, "ref_index").join(s, "target_symbol_id")
     found = made.select(
@@ -78,7 +85,7 @@ def analyze(sources: DataFrame, before: DataFrame | None = None, rules: DataFram
             "files": files, "symbols": symbols, "refs": refs, "outcomes": outcomes, "edges": e, "nodes": nodes, "links": pairs, "components": components,
             "coupling": graph.coupling(nodes, pairs), "bottlenecks": graph.bottlenecks(graph.betweenness(nodes, pairs)), "zero_inbound": graph.zero_inbound(nodes, pairs),
             "contracts": text.contract_inventory(text.contract_hits(sources)), "complexity": assess.complexity_groups(text.loop_costs(sources)), "security": security,
-            "findings": findings, "reviewed": reviewed, "review_summary": review.review_summary(reviewed), "delta": delta, "verdict": review.guard(counters), "coverage": coverage,
+            "structural": structural.structural_findings(sources), "findings": findings, "reviewed": reviewed, "review_summary": review.review_summary(reviewed), "delta": delta, "verdict": review.guard(counters), "coverage": coverage,
         }
     )
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from codeloom.operators import receivers, rules
+from codeloom.operators import graph, incremental, receivers, rules
+from codeloom.plans import bindings as b
+from codeloom.plans import text_queries as tq
 from codeloom.plans.bindings import duck, frame
 
 Q, O = {}, {}
@@ -64,3 +68,39 @@ CHAIN = """SELECT 'm/c' || CAST(c_custkey AS STRING) || '.ts' AS file_path, 'imp
 def _(s, d):
     x = frame(s, d, CHAIN).withColumn("text", F.translate("text", "¦«»", "\n{}"))
     return receivers.member_calls(x, x.select(F.col("file_path").alias("path"))).select("file_path", "line", "member", "target_file_path", "target_owner")
+
+
+@add("incremental_resolution", f"WITH q AS ({tq.O['tiered_resolution']}) SELECT DISTINCT ref_index, target_symbol_id, resolution_tier, CAST(regexp_extract(file_path, 's([0-9]+)[.]py$', 1) AS INT) % 7 <> 0 AS reused FROM q JOIN ({duck(b.REFS)}) USING (ref_index)")
+def _(s, d):
+    """Two snapshots: in the second the references of every seventh file have other targets."""
+    from codeloom.operators.edges import admitted_refs
+
+    now = admitted_refs(frame(s, d, b.REFS))
+    changed = F.regexp_extract("file_path", r"s([0-9]+)\.py$", 1).cast("int") % 7 == 0
+    before = now.withColumn("target_name", F.when(changed, F.concat("target_name", F.lit("_old"))).otherwise(F.col("target_name")))
+    others = frame(s, d, b.TARGETS), frame(s, d, tq.IMPORTS), frame(s, d, tq.IMPORTED)
+    graph.cut(s.range(1))  # sees to the shared folder
+    root = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/resolution-{uuid.uuid4().hex}"
+    incremental.resolve_incrementally(before, *others, root)
+    return incremental.resolve_incrementally(now, *others, root)[0].select("ref_index", "target_symbol_id", "resolution_tier", "reused")
+
+
+_RANK = "CASE relation_kind WHEN 'Call' THEN 5 WHEN 'Dispatch' THEN 4 WHEN 'ContainerResolution' THEN 3 WHEN 'EventPublish' THEN 2 WHEN 'Import' THEN 1 ELSE 0 END"
+_STEPS = f"""c AS MATERIALIZED (FROM ({duck(b.CYCLES)}) WHERE source_file_path <> target_file_path),
+sq AS (SELECT source_file_path AS src, target_file_path AS dst, relation_kind AS rel, confidence_millis AS c, (-{_RANK}) * 1000000 - confidence_millis * 100 + CASE layer WHEN 'Structural' THEN 0 ELSE 1 END AS e FROM c QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY e, rel) = 1),
+st AS MATERIALIZED (FROM sq QUALIFY row_number() OVER (PARTITION BY src ORDER BY e, rel, dst) <= 12),
+zl AS (SELECT split_part(source_file_path, '/', 1) AS a, split_part(target_file_path, '/', 1) AS z, count(*) AS n FROM c WHERE a <> z GROUP BY ALL ORDER BY n DESC, a, z LIMIT 40),
+zf AS (SELECT split_part(path, '/', 1) AS zone, arg_min(path, (-n, path)) AS path FROM (SELECT path, count(*) AS n FROM (SELECT source_file_path AS path FROM c UNION ALL SELECT target_file_path FROM c) GROUP BY path) GROUP BY zone),
+l0 AS (SELECT a, z, r.rev, CASE WHEN r.rev THEN y.path ELSE x.path END AS here, CASE WHEN r.rev THEN x.path ELSE y.path END AS target, [here] AS path, []::VARCHAR[] AS rels, 1000 AS conf FROM zl JOIN zf x ON x.zone = a JOIN zf y ON y.zone = z, (VALUES (false), (true)) r(rev))"""
+_LEVELS = ", ".join(
+    f"l{k} AS MATERIALIZED (SELECT a, z, rev, dst AS here, target, list_append(path, dst) AS path, list_append(rels, rel) AS rels, least(conf, c) AS conf FROM l{k - 1} l JOIN st ON src = here WHERE here <> target AND NOT list_contains(path, dst)"
+    + (f" AND NOT EXISTS (SELECT 1 FROM f{k - 1} f WHERE f.a = l.a AND f.z = l.z AND f.rev = l.rev GROUP BY f.a HAVING count(*) >= 2)" if k > 1 else "")
+    + f" QUALIFY row_number() OVER (PARTITION BY a, z, rev, dst ORDER BY least(conf, c) DESC, list_append(path, dst)) <= 2), f{k} AS MATERIALIZED (FROM l{k} WHERE here = target" + (f" UNION ALL FROM f{k - 1}" if k > 1 else "") + ")"
+    for k in range(1, 5)
+)
+
+
+@add("zone_support_paths", f"WITH {_STEPS}, {_LEVELS}, g AS (SELECT *, row_number() OVER (PARTITION BY a, z, rev ORDER BY len(rels), conf DESC, path) AS rank FROM f4) SELECT a AS source_zone, z AS target_zone, rev AS reversed, rank::INT AS rank, array_to_string(path, ' > ') AS path, array_to_string(rels, ',') AS relations, conf AS confidence_millis FROM g WHERE rank <= 2 AND (NOT rev OR NOT EXISTS (SELECT 1 FROM g h WHERE h.a = g.a AND h.z = g.z AND NOT h.rev))")
+def _(s, d):
+    found = graph.zone_support_paths(frame(s, d, b.CYCLES))
+    return found.withColumns({"path": F.array_join("path", " > "), "relations": F.array_join("relations", ",")})

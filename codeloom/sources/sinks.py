@@ -52,6 +52,12 @@ def current(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {m: spark.read.parquet(f"{root}/{name}/{m}") for m in spec["members"]}
 
 
+def identity(spark: SparkSession, root: str) -> dict:
+    """What the current generation was published under; nothing where there is none."""
+    name = get_text(spark, f"{root}/CURRENT")
+    return {} if name is None else json.loads(get_text(spark, f"{root}/{name}/MANIFEST.json"))["identity"]
+
+
 def export_graph(nodes: DataFrame, relations: DataFrame, folder: str) -> None:
     """Nodes and relations as quoted CSV for a graph database. A relation without its nodes fails the export."""
     ids = nodes.select("id")
