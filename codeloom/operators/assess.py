@@ -180,7 +180,8 @@ def complexity_groups(costs: DataFrame, reach: DataFrame | None = None) -> DataF
 def behavior_pairs(behaviors: DataFrame, most_bucket: int = 64, most_keys: int = 8, least_millis: int = 500) -> DataFrame:
     """behaviors (id, keys array, selectors array): pairs that share a key, compared by their selectors.
 
-    Keys of more than `most_bucket` bodies say nothing and are skipped, as is the reference's rule; up to `most_keys` keys count for each body.
+    Keys of more than `most_bucket` bodies say nothing and are skipped; up to `most_keys` keys count for each body. Which bodies' search
+    that cut short is told by `truncated_searches`.
     """
     x = behaviors.select("id", F.array_sort(F.array_distinct("selectors")).alias("sel"), F.explode(F.slice(F.array_sort(F.array_distinct("keys")), 1, most_keys)).alias("key"))
     n = x.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= most_bucket)).select("key")
@@ -192,6 +193,17 @@ def behavior_pairs(behaviors: DataFrame, most_bucket: int = 64, most_keys: int =
     return pair.select("a", "b", "similarity_millis", kind.alias("relation"))
 
 
+def truncated_searches(behaviors: DataFrame, most_bucket: int = 64, most_keys: int = 8) -> DataFrame:
+    """behaviors (id, keys array) → (id, keys_skipped, keys_left_out): bodies of which behavior_pairs doesn't see all candidates, by keys of too many bodies or beyond the first `most_keys`."""
+    keys = F.array_sort(F.array_distinct("keys"))
+    x = behaviors.select("id", keys.alias("keys"))
+    first = x.select("id", F.explode(F.slice("keys", 1, most_keys)).alias("key"))
+    crowded = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_bucket).select("key")
+    skipped = first.join(crowded, "key").groupBy("id").agg(F.count(F.lit(1)).alias("keys_skipped"))
+    out = x.join(skipped, "id", "left").select("id", F.coalesce("keys_skipped", F.lit(0)).cast("int").alias("keys_skipped"), F.greatest(F.size("keys") - most_keys, F.lit(0)).alias("keys_left_out"))
+    return out.filter("keys_skipped > 0 or keys_left_out > 0")
+
+
 def unwired(files: DataFrame, orphans: DataFrame, mentions: DataFrame, suffixes: list[str], inherited: DataFrame | None = None) -> DataFrame:
     """Files whose stem has a role suffix that no other file mentions (mentions: name, file_path)."""
     stem = F.regexp_replace(E.file_name("path"), r"\.[^.]+$", "")

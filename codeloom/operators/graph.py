@@ -20,8 +20,6 @@ from codeloom.functions import expr as E
 from codeloom.operators.edges import dependency_edges, snake
 
 LOCAL_EDGES = 1_000_000
-#: Sources of an estimated betweenness.
-PIVOTS = 256
 #: How much a relation says about a way through the code.
 RELATION_RANK = {"Call": 5, "Dispatch": 4, "ContainerResolution": 3, "EventPublish": 2, "Import": 1}
 ENTRY_RELATIONS = ["Import", "Call", "Dispatch", "ContainerResolution", "EventPublish"]
@@ -230,14 +228,14 @@ def cycle_witness(links: DataFrame, members: DataFrame) -> DataFrame:
     return inner.groupBy("component").applyInPandas(run, "component string, witness array<string>")
 
 
-def betweenness(nodes: DataFrame, links: DataFrame, local_edges: int = LOCAL_EDGES, pivots: int = PIVOTS) -> DataFrame:
+def betweenness(nodes: DataFrame, links: DataFrame, local_edges: int = LOCAL_EDGES, pivots: int | None = None) -> DataFrame:
     """Directed, unweighted, unnormalised betweenness in millis, ends excluded.
 
-    Exact for up to local_edges links: the sources are shared out over tasks, each of which gets all links, a counted
-    number. Beyond, level by level from `pivots` sources, those of small hashes, scaled to all; exact where there are no
-    more nodes than that, else a file's score is an estimate whose standard error falls with the root of the pivots.
+    Exact at every size unless the caller asks for `pivots`: then an estimate from so many sources, those of small hashes, scaled to all, whose standard
+    error falls with the root of the pivots (exact where there are no more nodes than that). For up to local_edges links the sources are
+    shared out over tasks, each of which gets all links, a counted number; beyond, and for estimates, level by level in joins, which gives the same.
     """
-    if links.count() > local_edges:
+    if pivots is not None or links.count() > local_edges:
         return _betweenness_rounds(nodes, links, pivots)
     parts = links.sparkSession.sparkContext.defaultParallelism
     shared = links.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
@@ -284,9 +282,10 @@ def _centrality(nodes: DataFrame, part: DataFrame) -> DataFrame:
     return nodes.join(total, "path", "left").select("path", F.round(F.coalesce("score", F.lit(0.0)) * 1000).cast("long").alias("centrality_millis"))
 
 
-def _betweenness_rounds(nodes: DataFrame, links: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """All pivots at once: (s, v, distance, ways) by levels forth, then shares back; rows grow with pivots times nodes."""
+def _betweenness_rounds(nodes: DataFrame, links: DataFrame, pivots: int | None) -> DataFrame:
+    """All sources at once: (s, v, distance, ways) by levels forth, then shares back; rows grow with sources times nodes."""
     n = nodes.count()
+    pivots = n if pivots is None else pivots
     roots = nodes.orderBy(F.xxhash64("path"), "path").limit(pivots) if n > pivots else nodes
     reached = cut(roots.select(F.col("path").alias("s"), F.col("path").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("ways")))
     front, depth = reached, 0

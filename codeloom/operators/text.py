@@ -241,15 +241,38 @@ PACKS = [
 ]
 
 
+#: What holds several values: category, languages (none: all), the whole and each value in it.
+_WORDS = r"['\"][A-Za-z0-9_.:/-]+['\"]"
+GROUPED = [
+    ("symbolic_literals", ["TypeScript", "JavaScript"], rf"\btype\s+[A-Za-z0-9_<>,\s]+\s*=\s*\|?\s*((?:{_WORDS}\s*\|\s*)+{_WORDS})", r"['\"]([A-Za-z0-9_.:/-]+)['\"]"),
+    ("symbolic_literals", ["TypeScript", "JavaScript"], rf"[(:]\s*((?:{_WORDS}\s*\|\s*)+{_WORDS})\s*[;,)]", r"['\"]([A-Za-z0-9_.:/-]+)['\"]"),
+    ("symbolic_literals", ["TypeScript", "JavaScript"], rf"\[((?:\s*{_WORDS}\s*,?)+)\]\s+as\s+const", r"['\"]([A-Za-z0-9_.:/-]+)['\"]"),
+    ("registered_keys", ["Php"], r"(?is)\bregister_[A-Za-z0-9_]+\s*\(\s*array\s*\((.{0,2000}?)\)\s*\)", r"['\"]([A-Za-z0-9_.:-]+)['\"]\s*=>"),
+    ("symbolic_literals", [], r"(?i)data-action\s*=\s*['\"]([^'\"]+)['\"]", r"(?:->)?([A-Za-z0-9_-]+)#"),
+]
+#: A controller's file, which names it.
+_CONTROLLER = re.compile(r"(?i)/controllers/(.+)_controller\.(?:js|ts|jsx|tsx|vue)$")
+
+
+def controller_of(path: str) -> str | None:
+    """The identifier that markup uses for the controller of a file."""
+    m = _CONTROLLER.search(path.replace("\\", "/"))
+    return "--".join(x.replace("_", "-") for x in m[1].split("/") if x) or None if m else None
+
+
 def contract_hits(sources: DataFrame, packs: bool = True) -> DataFrame:
     """(category, value, file_path, line, pack_id) over comment-masked texts; lines of matches over several lines need offsets, so a vectorised function finds them."""
     rules = [(c, None, re.compile(p)) for c, p in CONTRACTS] + ([(c, pack, re.compile(p)) for pack, c, p in PACKS] if packs else [])
 
+    grouped = [(c, languages, re.compile(whole), re.compile(each)) for c, languages, whole, each in GROUPED]
+
     def run(batches):
         for pdf in batches:
             rows = []
             for path, text, language in zip(pdf.file_path, pdf.text, pdf.language):
                 code = masks.mask(text, language, strings=False)
+                if named := controller_of(path or ""):
+                    rows.append(("symbolic_literals", named, path, 1, None))
                 if not code:
                     continue
                 for category, pack, pattern in rules:
@@ -259,6 +282,9 @@ def contract_hits(sources: DataFrame, packs: bool = True) -> DataFrame:
                         value = m[1].strip()
                         if value and value not in BUILD_CONSTANTS:
                             rows.append((category, value, path, code.count("\n", 0, m.start(1)) + 1, pack))
+                for category, languages, whole, each in grouped:
+                    for m in whole.finditer(code) if not languages or language in languages else ():
+                        rows += [(category, v[1], path, code.count("\n", 0, m.start(1) + v.start(1)) + 1, None) for v in each.finditer(m[1])]
             yield pd.DataFrame(rows, columns=["category", "value", "file_path", "line", "pack_id"])
 
     x = sources.select("file_path", "text", E.language("file_path").alias("language"))
@@ -311,7 +337,7 @@ def loop_costs(sources: DataFrame) -> DataFrame:
                 stack.pop()
             is_loop = bool(_LOOP.match(line))
             if is_loop and stack:
-                out.append((no, "nested_loop", line.strip()[:40]))
+                out.append((no, "nested_loop", line.strip()))
             if stack and not is_loop:
                 for name, p in costs:
                     m = p.search(line)

@@ -25,8 +25,8 @@ class Analysis:
             raise AttributeError(name) from None
 
 
-def analyze(sources: DataFrame, before: DataFrame | None = None, rules: DataFrame | None = None) -> Analysis:
-    """sources (file_path, text): symbols, references, edges, graph metrics, findings, review and verdict."""
+def analyze(sources: DataFrame, before: DataFrame | None = None, rules: DataFrame | None = None, pivots: int | None = None) -> Analysis:
+    """sources (file_path, text): symbols, references, edges, graph metrics, findings, review and verdict. Bottlenecks are exact, or estimated from so many `pivots`."""
     rows = graph.cut(parsers.parsed(sources))
     files = sources.select(F.col("file_path").alias("path"), E.language("file_path").alias("language")).distinct()
     symbols, refs, outcomes = parsers.symbols(rows), edges.admitted_refs(parsers.refs(rows)), parsers.outcomes(rows)
@@ -83,7 +83,7 @@ def analyze(sources: DataFrame, before: DataFrame | None = None, rules: DataFram
     return Analysis(
         {
             "files": files, "symbols": symbols, "refs": refs, "outcomes": outcomes, "edges": e, "nodes": nodes, "links": pairs, "components": components,
-            "coupling": graph.coupling(nodes, pairs), "bottlenecks": graph.bottlenecks(graph.betweenness(nodes, pairs)), "zero_inbound": graph.zero_inbound(nodes, pairs),
+            "coupling": graph.coupling(nodes, pairs), "bottlenecks": graph.bottlenecks(graph.betweenness(nodes, pairs, pivots=pivots)), "zero_inbound": graph.zero_inbound(nodes, pairs),
             "contracts": text.contract_inventory(text.contract_hits(sources)), "complexity": assess.complexity_groups(text.loop_costs(sources)), "security": security,
             "structural": structural.structural_findings(sources), "findings": findings, "reviewed": reviewed, "review_summary": review.review_summary(reviewed), "delta": delta, "verdict": review.guard(counters), "coverage": coverage,
         }

@@ -108,6 +108,11 @@ def _(s, d):
     return az.behavior_pairs(x.select("id", F.array("k1", "k2").alias("keys"), F.array("s1", "s2").alias("selectors")))
 
 
+@add("truncated_searches", f"WITH k AS (SELECT id, unnest([k1, k2]) AS key FROM ({duck(BODIES)})) SELECT id, count(*)::INT AS keys_skipped, 0 AS keys_left_out FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING count(*) > 64) GROUP BY id")
+def _(s, d):
+    return az.truncated_searches(frame(s, d, BODIES).select("id", F.array("k1", "k2").alias("keys")))
+
+
 def rules(s):
     policy = {"accept": [{"id": "p1", "family": "dead_code", "path": "m3/**"}, {"id": "p2", "value": "5-LOW", "below": 200}]}
     exclusions = {"rules": [{"id": "r1", "type": "hardwiring", "path": "m?/f1*"}, {"id": "r2", "path": "m1*/**", "below": 50}]}

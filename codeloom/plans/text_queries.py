@@ -73,9 +73,9 @@ def _(s, d):
     return found.groupBy("ref_index").agg(F.sum("n").alias("candidates"), F.sum(F.when(F.col("fit"), F.col("n")).otherwise(0)).alias("fitting"))
 
 
-@add("unresolved_sites", f"SELECT ref_index FROM {R_} r WHERE NOT EXISTS (SELECT 1 FROM {E_} e WHERE e.source_file_path = r.file_path AND e.kind = r.kind AND e.line = r.line AND e.source_symbol_id IS NOT DISTINCT FROM r.enclosing_symbol_id AND e.layer = 'Runtime' AND e.edge_index % 5 = 0)")
+@add("unresolved_sites", f"SELECT ref_index FROM {R_} r WHERE NOT EXISTS (SELECT 1 FROM {E_} e WHERE e.source_file_path = r.file_path AND e.kind = r.kind AND e.line = r.line AND e.source_symbol_id IS NOT DISTINCT FROM r.enclosing_symbol_id AND e.layer = 'Runtime')")
 def _(s, d):
-    e = frame(s, d, b.EDGES).filter("layer = 'Runtime' and edge_index % 5 = 0")
+    e = frame(s, d, b.EDGES).filter("layer = 'Runtime'")
     return rs.unresolved_sites(refs(s, d), e).select("ref_index")
 
 
@@ -160,21 +160,39 @@ def code_files(s, d):
 ENVS = f"h AS (SELECT file_path, line, unnest(regexp_extract_all(content, 'env::var\\(\"([A-Z][A-Z0-9_]*)\"', 1)) AS value FROM {CODE_} WHERE NOT (content LIKE '//%' AND file_path LIKE '%.rs'))"
 
 
-@add("contract_inventory_top50", f"WITH {ENVS} SELECT 'env_keys' AS category, value, count(*) AS count FROM h GROUP BY value ORDER BY count DESC, value LIMIT 50")
+#: For each customer three sources with contracts of every category, several of them in one place or over several lines (¦ stands for a line break): category, value.
+_CUSTOMER = lambda n: f"' || CAST(c_custkey % {n} AS STRING) || '"
+CONTRACTED = [
+    ("routes/c", ".php", f"<?php¦Route::get(\"/u{_CUSTOMER(40)}\", \"C@i\");¦do_action(\"init{_CUSTOMER(7)}\");¦config(\"mail.d{_CUSTOMER(5)}\");¦register_post_type(array(\"k{_CUSTOMER(9)}\" => 1,¦ \"shared\" => 2));¦// env(\"OFF\")", [("routes", f"/u{_CUSTOMER(40)}"), ("hooks", f"init{_CUSTOMER(7)}"), ("config_keys", f"mail.d{_CUSTOMER(5)}"), ("registered_keys", f"k{_CUSTOMER(9)}"), ("registered_keys", "shared")]),
+    ("web/c", ".ts", f"type S =¦  | \"draft{_CUSTOMER(6)}\"¦  | \"done\";¦const k = [\"al\", \"be{_CUSTOMER(4)}\"] as const;¦const e = new CustomEvent(\"p.{_CUSTOMER(3)}\");¦fetch(\"/api/x{_CUSTOMER(8)}\");¦socket.emit(\"ch{_CUSTOMER(2)}\", 1);¦f(process.env.MODE_{_CUSTOMER(11)});", [("symbolic_literals", f"draft{_CUSTOMER(6)}"), ("symbolic_literals", "done"), ("symbolic_literals", "al"), ("symbolic_literals", f"be{_CUSTOMER(4)}"), ("symbolic_literals", f"p.{_CUSTOMER(3)}"), ("http_calls", f"/api/x{_CUSTOMER(8)}"), ("channels", f"ch{_CUSTOMER(2)}"), ("env_keys", f"MODE_{_CUSTOMER(11)}")]),
+    ("view/c", ".vue", f"<div data-controller=\"sp{_CUSTOMER(5)}\"¦ data-action=\"click->sa{_CUSTOMER(5)}#open\"></div>", [("symbolic_literals", f"sp{_CUSTOMER(5)}"), ("symbolic_literals", f"sa{_CUSTOMER(5)}")]),
+]
+CONTRACT_FILES = " UNION ALL ".join(f"SELECT '{folder}' || CAST(c_custkey AS STRING) || '{end}' AS file_path, '{text}' AS text FROM {{customer}}" for folder, end, text, _ in CONTRACTED)
+HITS = f"h AS (SELECT 'env_keys' AS category, unnest(regexp_extract_all(content, 'env::var\\(\"([A-Z][A-Z0-9_]*)\"', 1)) AS value FROM {CODE_} WHERE NOT (content LIKE '//%' AND file_path LIKE '%.rs') UNION ALL " + " UNION ALL ".join(f"SELECT '{category}', '{value}' FROM customer" for *_, found in CONTRACTED for category, value in found) + ")"
+
+
+def contract_sources(s, d):
+    """CODE's files and those of the customers."""
+    return code_files(s, d).unionByName(frame(s, d, CONTRACT_FILES).withColumn("text", F.translate("text", "¦", "\n")))
+
+
+@add("contract_inventory_top50", f"WITH {duck(HITS)} SELECT category, value, count(*) AS count FROM h GROUP BY category, value QUALIFY row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, value) <= 50")
 def _(s, d):
-    return tx.contract_inventory(tx.contract_hits(code_files(s, d)).filter("category = 'env_keys'")).select("category", "value", "count")
+    return tx.contract_inventory(tx.contract_hits(contract_sources(s, d))).select("category", "value", "count")
 
 
-@add("contract_summary", f"WITH {ENVS} SELECT 'env_keys' AS category, count(DISTINCT value) AS unique_values, count(*) AS occurrences FROM h HAVING count(*) > 0")
+@add("contract_summary", f"WITH {duck(HITS)} SELECT category, count(DISTINCT value) AS unique_values, count(*) AS occurrences FROM h GROUP BY category")
 def _(s, d):
-    return tx.contract_summary(tx.contract_hits(code_files(s, d)).filter("category = 'env_keys'"))
+    return tx.contract_summary(tx.contract_hits(contract_sources(s, d)))
+
+
+COMPARED = ", ".join(f"'{c}'" for c in tx.COMPARED)
 
 
-@add("contract_delta", f"WITH {ENVS}, z AS (SELECT DISTINCT regexp_replace(value, '^KEY_1', 'KEY_N') AS value FROM h), a AS (SELECT DISTINCT value FROM h) SELECT 'env_keys' AS category, value, 'removed' AS change FROM a WHERE value NOT IN (FROM z) UNION ALL SELECT 'env_keys', value, 'added' FROM z WHERE value NOT IN (FROM a)")
+@add("contract_delta", f"WITH {duck(HITS)}, z AS (SELECT DISTINCT category, regexp_replace(value, '^(KEY_|init|draft|k)1', '\\1N') AS value FROM h WHERE category IN ({COMPARED})), a AS (SELECT DISTINCT category, value FROM h WHERE category IN ({COMPARED})) SELECT category, value, 'removed' AS change FROM a WHERE (category, value) NOT IN (SELECT (category, value) FROM z) UNION ALL SELECT category, value, 'added' FROM z WHERE (category, value) NOT IN (SELECT (category, value) FROM a)")
 def _(s, d):
-    lines = code(s, d).select("file_path", "line", F.col("content").alias("text"))
-    hits = lambda x: tx.contract_hits(x).filter("category = 'env_keys'")
-    return tx.contract_delta(hits(lines), hits(lines.withColumn("text", F.regexp_replace("text", '"KEY_1', '"KEY_N'))))
+    x = contract_sources(s, d)
+    return tx.contract_delta(tx.contract_hits(x), tx.contract_hits(x.withColumn("text", F.regexp_replace("text", '"(KEY_|init|draft|k)1', '"$1N'))))
 
 
 LOOPS = "SELECT 'src/l' || CAST(o_orderkey AS STRING) || '.py' AS file_path, 'for a in b:' || chr(10) || CASE o_orderkey % 3 WHEN 0 THEN '    sorted(a)' WHEN 1 THEN '    for c in a:' || chr(10) || '        json.loads(c)' ELSE 'sorted(a)' END AS text FROM {orders}"
