@@ -186,6 +186,31 @@ def severities(calls: DataFrame, reachable: DataFrame, inputs: DataFrame) -> Dat
     return x.select("file_path", "line", "language", "category", "label", raised.alias("severity"), contexts.alias("contexts"), F.coalesce("inputs", F.array().cast("array<string>")).alias("inputs"))
 
 
+def cross_file_flows(calls: DataFrame, reachable: DataFrame, inputs: DataFrame, ways: DataFrame) -> DataFrame:
+    """severities, and for calls without an input above them in their own file the inputs of the file that the best way leads from (ways: path, way, see scanners.causal_ways).
+
+    Such a call is rated as if the input stood in its file, with the context BoundaryInputReachableViaGraph (BoundaryInputInSameFile otherwise). flow: the first input,
+    the files on the way, and the call.
+    """
+    x = severities(calls, reachable, inputs)
+    place = F.array_position(F.array(*map(F.lit, INPUT_RANK)), F.col("kind"))
+    few = inputs.select(F.col("file_path").alias("root"), "line", "kind", "evidence").distinct().withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("line", place, "evidence"))).filter("n <= 4")
+    few = few.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line", "kind"))), lambda s: F.concat_ws(":", s["line"].cast("string"), s["kind"])).alias("theirs"))
+    far = ways.select(F.col("path").alias("file_path"), "way", F.col("way")[0].alias("root")).join(few, "root")
+    x = x.join(far.select("file_path", "way", "theirs"), "file_path", "left")
+    own = F.size("inputs") > 0
+    other = ~own & F.col("theirs").isNotNull()
+    html = F.col("category") == "UnsafeHtmlOutput"
+    first = F.when(own, F.concat_ws(":", "file_path", F.col("inputs")[0])).otherwise(F.concat_ws(":", F.col("way")[0], F.col("theirs")[0]))
+    sink = F.concat_ws(":", "file_path", F.col("line").cast("string"))
+    return x.select(
+        "file_path", "line", "language", "category", "label", F.when(other, F.when(html, "Medium").otherwise("High")).otherwise(F.col("severity")).alias("severity"),
+        F.when(own, F.array_append("contexts", F.lit("BoundaryInputInSameFile"))).when(other, F.array_append("contexts", F.lit("BoundaryInputReachableViaGraph"))).otherwise(F.col("contexts")).alias("contexts"),
+        F.when(other, F.col("theirs")).otherwise(F.col("inputs")).alias("inputs"), F.when(other, F.col("way")).otherwise(F.array().cast("array<string>")).alias("input_path"),
+        F.when(own, F.array(first, sink)).when(other, F.concat(F.array(first), F.col("way"), F.array(sink))).otherwise(F.array().cast("array<string>")).alias("flow"),
+    )
+
+
 _VALUE = r"['\"`]([A-Za-z0-9_./:>?&=~%${}+-]+)['\"`]"
 _CHANNEL = r"['\"`]([A-Za-z0-9_.:/${}-]+)['\"`]"
 #: Contract patterns by category; group 1 is the value.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import expr as E
 from codeloom.functions import masks
-from codeloom.operators import assess, deadcode, edges, graph, receivers, resolution, review, text
+from codeloom.operators import assess, deadcode, edges, graph, receivers, resolution, review, scanners, text
 from codeloom.operators import rules as structural
 from codeloom.sources import parsers, scan
 
@@ -61,7 +61,8 @@ def analyze(sources: DataFrame, before: DataFrame | None = None, rules: DataFram
     masked = text.lines_of(sources.select("file_path", masks.mask_code("text", E.language("file_path")).alias("text"))).withColumnRenamed("content", "masked")
     calls_at = text.dangerous_calls(lines.join(masked, ["file_path", "line"]), "masked")
     entries = nodes.filter(E.is_default_entry("path"))
-    security = text.severities(calls_at, entries, text.boundary_inputs(lines))
+    inputs = graph.cut(text.boundary_inputs(lines))
+    security = text.cross_file_flows(calls_at, entries, inputs, scanners.causal_ways(e, inputs.select(F.col("file_path").alias("path"))))
     literals = text.magic_strings(code).unionByName(text.hardcoded_networks(code)).unionByName(text.env_outside_config(code)).unionByName(text.repeated_literals(code).drop("files"))
     unused = deadcode.unused_symbols(symbols, e, outcomes).select("category", "file_path", F.col("start_line").alias("line"), F.col("name").alias("value"))
     imports = deadcode.unused_imports(refs, e).select("category", "file_path", "line", F.col("binding_name").alias("value"))

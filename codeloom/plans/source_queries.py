@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import graph, incremental, receivers, rules
+from codeloom.operators import graph, incremental, receivers, rules, scanners
+from codeloom.operators import text as tx
 from codeloom.plans import bindings as b
 from codeloom.plans import text_queries as tq
 from codeloom.plans.bindings import duck, frame
@@ -104,3 +105,22 @@ _LEVELS = ", ".join(
 def _(s, d):
     found = graph.zone_support_paths(frame(s, d, b.CYCLES))
     return found.withColumns({"path": F.array_join("path", " > "), "relations": F.array_join("relations", ",")})
+
+
+#: For each customer a file with an input (every third), one between, and one with a dangerous call, every seventh of which has an input of its own.
+FLOW_LINES = """SELECT 'in/c' || CAST(c_custkey AS STRING) || '.py' AS file_path, 3 AS line, CASE WHEN c_custkey % 3 = 0 THEN 'x = request.GET' ELSE 'x = 1' END AS content FROM {customer}
+ UNION ALL SELECT 'sink/c' || CAST(c_custkey AS STRING) || '.py', 9, 'os.system(x)' FROM {customer} UNION ALL SELECT 'sink/c' || CAST(c_custkey AS STRING) || '.py', 4, CASE WHEN c_custkey % 7 = 0 THEN 'y = request.GET' ELSE 'y = 2' END FROM {customer}"""
+_LINK = "SELECT '{}/c' || CAST(c_custkey AS STRING) || '.py' AS source_file_path, 'a' AS source_symbol_id, '{}/c' || CAST(c_custkey AS STRING) || '.py' AS target_file_path, 'b' AS target_symbol_id, {} AS relation_kind, CAST(NULL AS STRING) AS reference_target_name, 0 AS occurrence_index FROM {{customer}} WHERE {}"
+FLOW_EDGES = " UNION ALL ".join(_LINK.format(*x) for x in (("in", "mid", "'Call'", "TRUE"), ("mid", "sink", "CASE WHEN c_custkey % 2 = 0 THEN 'Import' ELSE 'Dispatch' END", "TRUE"), ("in", "sink", "'Call'", "c_custkey % 5 = 0")))
+_WAY = "CASE WHEN c_custkey % 3 <> 0 OR c_custkey % 7 = 0 THEN '' ELSE 'in/c' || c_custkey || '.py > mid/c' || c_custkey || '.py > sink/c' || c_custkey || '.py' END"
+
+
+@add("cross_file_flows", f"""SELECT 'sink/c' || c_custkey || '.py' AS file_path, 9 AS line, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 7 = 0 THEN 'High' ELSE 'Medium' END AS severity, CASE WHEN c_custkey % 7 = 0 THEN 'BoundaryInputInSameFile' WHEN c_custkey % 3 = 0 THEN 'BoundaryInputReachableViaGraph' ELSE '' END AS contexts,
+ CASE WHEN c_custkey % 7 = 0 THEN '4:RequestQuery' WHEN c_custkey % 3 = 0 THEN '3:RequestQuery' ELSE '' END AS inputs, {_WAY} AS input_path FROM customer""")
+def _(s, d):
+    lines = frame(s, d, FLOW_LINES)
+    inputs = tx.boundary_inputs(lines)
+    ways = scanners.causal_ways(frame(s, d, FLOW_EDGES), inputs.select(F.col("file_path").alias("path")))
+    nobody = s.createDataFrame([], "path string")
+    out = tx.cross_file_flows(tx.dangerous_calls(lines), nobody, inputs, ways)
+    return out.select("file_path", "line", "severity", F.array_join("contexts", ",").alias("contexts"), F.array_join("inputs", ",").alias("inputs"), F.array_join("input_path", " > ").alias("input_path"))
