@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import expr as E
@@ -51,3 +51,91 @@ def orphan_modules(files: DataFrame, edges: DataFrame, literals: DataFrame | Non
 def identifier_mentions(lines: DataFrame) -> DataFrame:
     """(name, file_path): inverted index of identifiers, once for each file."""
     return lines.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))).alias("name")).distinct()
+
+
+#: Kinds of symbols that an autoloader finds by name.
+CONTAINER_KINDS = ["Class", "Interface", "Trait", "Struct", "Enum"]
+#: Folders and file stems that a backend framework reaches by itself.
+FRAMEWORK_FOLDERS = ["migrations", "seeders", "seeds", "database", "config", "routes", "bootstrap", "public", "views", "resources", "tests", "__tests__", "vendor", "storage", "stubs", "bin", "commands"]
+FRAMEWORK_STEMS = ["index", "artisan", "server", "bootstrap", "autoload"]
+#: Calls that look a class up by a string, a quoted path, and quoted class names that are joined to a variable.
+LOOKUP_CALL = r"\b(?:class_exists|interface_exists|trait_exists|is_a|is_subclass_of|app|resolve|make|call_user_func|call_user_func_array|new)\s*\("
+LOOKUP_ARGUMENTS = LOOKUP_CALL + r"([^;]{0,400})"
+QUOTED_PATH = r"""['"`]([A-Za-z0-9_@$.\-]*/[A-Za-z0-9_@$./\-]+)['"`]"""
+QUOTED_CLASS = r"""['"]([A-Z][A-Za-z0-9]+)['"]"""
+JOINED_CLASS = r"""\.\s*(?:\w+\s*\([^)]*\)\s*\.\s*)?['"]([A-Z][A-Za-z0-9]+)['"]"""
+
+
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
+def built_class_suffixes(text: Column) -> Column:
+    """Ends of class names that a source joins to a variable and looks up, as an array."""
+    by_call = F.flatten(F.transform(F.filter(_all(text, LOOKUP_ARGUMENTS), lambda a: a.contains("$") & a.contains(".")), lambda a: _all(a, QUOTED_CLASS)))
+    by_variable = F.when(text.rlike(LOOKUP_CALL + r"\s*\$"), _all(text, JOINED_CLASS)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.concat(by_call, by_variable), lambda s: F.length(s) >= 4)
+
+
+def _told(kind: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("channel"), v.alias("value")))
+
+
+def _shapes(path: Column) -> Column:
+    """What a file's name may share with those of other folders: several dots, or the folder's name with an ending."""
+    name, folder = E.file_name(path), E.directory(path)
+    dots, inner = F.lower(F.regexp_extract(name, r"^[^.]*\.(.*)$", 1)), E.file_name(folder)
+    ending = F.lower(F.substr(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.length(inner) + 1))
+    both = F.array(
+        F.when(dots.contains("."), F.struct(F.lit("dots").alias("channel"), dots.alias("value"))),
+        F.when((folder != "") & name.startswith(inner) & (ending != ""), F.struct(F.lit("ending").alias("channel"), ending.alias("value"))),
+    )
+    return F.filter(both, lambda x: x.isNotNull())
+
+
+def orphan_backend_modules(sources: DataFrame, symbols: DataFrame, edges: DataFrame, contracts: DataFrame | None = None, outside: DataFrame | None = None, extensions: tuple[str, ...] = ("php",)) -> DataFrame:
+    """Backend files with classes that nothing leads to: → category, path, name, line, tier.
+
+    sources (file_path, text), symbols and edges as elsewhere; contracts (file_path): files with routes, hooks or registered keys; outside (text): texts
+    beyond the slice, which can only take findings away. A file is let off by an edge from another file that is no test, a contract, a quoted path that
+    ends with its name, a shape of name that several folders share (several dots: two; the folder's name with an ending: three), a class name that ends
+    with what some source builds a name with, a name under four bytes, and a mention of one of its classes in another file. Files without classes are
+    never found. Null texts count as empty, a repeated path as one file.
+
+    All texts are read once for the three channels that look into them; a row for each distinct hint, with the least and the greatest file that has it, is all
+    that meets the candidates, so a hint that every file has costs no more than another.
+    """
+    path = F.col("path")
+    s = sources.select(F.col("file_path").alias("path"), F.coalesce("text", F.lit("")).alias("text")).filter(~E.is_test_path("path"))
+    text = F.col("text")
+    # An identifier is a run of ASCII word characters; names with other letters go by runs that hold those too.
+    words = F.array_union(_all(text, "([A-Za-z0-9_]+)"), F.filter(_all(text, r"([A-Za-z0-9_\x{80}-\x{10FFFF}]+)"), lambda w: ~w.rlike("^[A-Za-z0-9_]+$")))
+    tails = F.transform(_all(text, QUOTED_PATH), lambda p: F.lower(E.file_name(F.rtrim(p, F.lit("/")))))
+    seen = F.concat(_told("word", words), _told("built", built_class_suffixes(text)))
+    told = s.select("path", F.lit(False).alias("beyond"), F.explode(F.array_distinct(F.concat(seen, _told("tail", tails)))).alias("h"))
+    if outside is not None:
+        told = told.unionByName(outside.select(F.coalesce("text", F.lit("")).alias("text")).select(F.lit(None).cast("string").alias("path"), F.lit(True).alias("beyond"), F.explode(F.array_distinct(seen)).alias("h")))
+    hints = told.groupBy("h.channel", "h.value").agg(F.min("path").alias("low"), F.max("path").alias("high"), F.bool_or("beyond").alias("beyond"))
+    places = s.select(E.directory(path).alias("folder"), F.explode(_shapes(path)).alias("h")).select("h.*", "folder").distinct()
+    shared = places.groupBy("channel", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.when(F.col("channel") == "dots", 2).otherwise(3))
+    hints = hints.unionByName(shared.select("channel", "value", F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high"), F.lit(True).alias("beyond")))
+
+    name = E.file_name(path)
+    first = F.lower(F.split_part(name, F.lit("."), F.lit(1)))
+    reached = F.arrays_overlap(F.split(F.lower(E.normalised(path)), "/"), F.array(*map(F.lit, FRAMEWORK_FOLDERS))) | F.lower(name).endswith(".blade.php") | first.isin(FRAMEWORK_STEMS)
+    files = s.filter(F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*extensions) & ~reached).select("path").distinct()
+    led = edges.filter((F.col("source_file_path") != F.col("target_file_path")) & ~E.is_test_path("source_file_path")).select(F.col("target_file_path").alias("path"))
+    if contracts is not None:
+        led = led.unionByName(contracts.select(F.col("file_path").alias("path")))
+    classes = symbols.filter(F.col("parent_symbol_id").isNull() & F.col("kind").isin(CONTAINER_KINDS)).select(F.col("file_path").alias("path"), F.col("name").alias("class"))
+    found = files.join(led.distinct(), "path", "left_anti").join(classes.distinct(), "path")
+    ends = F.transform(F.sequence(F.lit(1), F.length("class") - 3), lambda k: F.substr(F.col("class"), k))
+    wanted = F.concat(
+        _told("word", F.array("class")), _told("tail", F.array(F.lower(name))), _shapes(path),
+        _told("built", F.when(F.length("class") >= 4, F.filter(ends, lambda e: e.rlike("^[A-Z]"))).otherwise(F.array().cast("array<string>"))),
+    )
+    asked = found.select("path", F.explode(wanted).alias("h")).select("path", "h.*").distinct()
+    met = asked.join(hints, ["channel", "value"]).filter((F.col("channel") != "word") | F.col("beyond") | (F.col("low") != path) | (F.col("high") != path)).select("path")
+    short = found.filter(F.octet_length("class") < 4).select("path")
+    left = found.select("path").distinct().join(met.unionByName(short).distinct(), "path", "left_anti")
+    return left.select(F.lit("OrphanModule").alias("category"), "path", F.split_part(name, F.lit("."), F.lit(1)).alias("name"), F.lit(1).alias("line"), F.lit("Heuristic").alias("tier"))

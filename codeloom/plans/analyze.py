@@ -25,8 +25,8 @@ class Analysis:
             raise AttributeError(name) from None
 
 
-def analyze(sources: DataFrame, before: DataFrame | None = None, rules: DataFrame | None = None, pivots: int | None = None) -> Analysis:
-    """sources (file_path, text): symbols, references, edges, graph metrics, findings, review and verdict. Bottlenecks are exact, or estimated from so many `pivots`."""
+def analyze(sources: DataFrame, before: DataFrame | None = None, rules: DataFrame | None = None, pivots: int | None = None, outside: DataFrame | None = None) -> Analysis:
+    """sources (file_path, text), and texts `outside` that may mention what is in them: symbols, references, edges, graph metrics, findings, review and verdict. Bottlenecks are exact, or estimated from so many `pivots`."""
     rows = graph.cut(parsers.parsed(sources))
     files = sources.select(F.col("file_path").alias("path"), E.language("file_path").alias("language")).distinct()
     symbols, refs, outcomes = parsers.symbols(rows), edges.admitted_refs(parsers.refs(rows)), parsers.outcomes(rows)
@@ -66,11 +66,14 @@ def analyze(sources: DataFrame, before: DataFrame | None = None, rules: DataFram
     literals = text.magic_strings(code).unionByName(text.hardcoded_networks(code)).unionByName(text.env_outside_config(code)).unionByName(text.repeated_literals(code).drop("files"))
     unused = deadcode.unused_symbols(symbols, e, outcomes).select("category", "file_path", F.col("start_line").alias("line"), F.col("name").alias("value"))
     imports = deadcode.unused_imports(refs, e).select("category", "file_path", "line", F.col("binding_name").alias("value"))
+    hits = graph.cut(text.contract_hits(sources))
+    wired = hits.filter(F.col("category").isin("routes", "hooks", "registered_keys"))
+    orphans = deadcode.orphan_backend_modules(sources, symbols.withColumn("parent_symbol_id", F.col("owner_type_name")), e, wired, outside).select("category", F.col("path").alias("file_path"), "line", F.col("name").alias("value"))
     severity = F.create_map(F.lit("Low"), F.lit(300), F.lit("Medium"), F.lit(600), F.lit("High"), F.lit(900))
     findings = (
         security.select(F.lit("security").alias("family"), F.col("label").alias("category"), "file_path", "line", F.col("label").alias("value"), severity[F.col("severity")].alias("severity_millis"))
         .unionByName(literals.select(F.lit("hardwiring").alias("family"), "category", "file_path", "line", "value", F.lit(300).alias("severity_millis")))
-        .unionByName(unused.unionByName(imports).select(F.lit("dead_code").alias("family"), "category", "file_path", "line", "value", F.lit(400).alias("severity_millis")))
+        .unionByName(unused.unionByName(imports).unionByName(orphans).select(F.lit("dead_code").alias("family"), "category", "file_path", "line", "value", F.lit(400).alias("severity_millis")))
         .select(E.identity_key("category", "file_path", "value", F.col("line").cast("string")).alias("fingerprint"), F.col("file_path").alias("path"), "family", "category", "line", "value", "severity_millis", F.lit(800).alias("confidence_millis"))
     )
     findings = graph.cut(findings.distinct())
@@ -85,11 +88,13 @@ def analyze(sources: DataFrame, before: DataFrame | None = None, rules: DataFram
         {
             "files": files, "symbols": symbols, "refs": refs, "outcomes": outcomes, "edges": e, "nodes": nodes, "links": pairs, "components": components,
             "coupling": graph.coupling(nodes, pairs), "bottlenecks": graph.bottlenecks(graph.betweenness(nodes, pairs, pivots=pivots)), "zero_inbound": graph.zero_inbound(nodes, pairs),
-            "contracts": text.contract_inventory(text.contract_hits(sources)), "complexity": assess.complexity_groups(text.loop_costs(sources)), "security": security,
+            "contracts": text.contract_inventory(hits), "complexity": assess.complexity_groups(text.loop_costs(sources)), "security": security,
             "structural": structural.structural_findings(sources), "findings": findings, "reviewed": reviewed, "review_summary": review.review_summary(reviewed), "delta": delta, "verdict": review.guard(counters), "coverage": coverage,
         }
     )
 
 
 def analyze_folder(spark, root: str, **options) -> Analysis:
-    return analyze(scan.sources(scan.scan(spark, root)), **options)
+    files = scan.scan(spark, root)
+    beyond, _ = scan.supplemental(files, scan.admitted(files))
+    return analyze(scan.sources(files), outside=beyond.select(F.decode("content", "UTF-8").alias("text")), **options)

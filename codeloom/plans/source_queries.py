@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import graph, incremental, receivers, rules, scanners
+from codeloom.operators import deadcode, graph, incremental, receivers, rules, scanners
 from codeloom.operators import text as tx
 from codeloom.plans import bindings as b
 from codeloom.plans import text_queries as tq
@@ -124,3 +124,24 @@ def _(s, d):
     nobody = s.createDataFrame([], "path string")
     out = tx.cross_file_flows(tx.dangerous_calls(lines), nobody, inputs, ways)
     return out.select("file_path", "line", "severity", F.array_join("contexts", ",").alias("contexts"), F.array_join("inputs", ",").alias("inputs"), F.array_join("input_path", " > ").alias("input_path"))
+
+
+#: Backend files: a source for each order, whose class other sources may name, build, quote or share the shape of.
+_PATH = f"""CASE o_orderkey % 10 WHEN 0 THEN 'app/m' || CAST(o_custkey % 20 AS STRING) || '/Order{KEY}.php' WHEN 1 THEN 'app/h' || CAST(o_custkey % 90 AS STRING) || '/U{KEY}.hooks' || CAST(o_orderkey % 400 AS STRING) || '.php'
+ WHEN 2 THEN 'app/Mod{KEY}/Mod{KEY}Kind' || CAST(o_custkey % 80 AS STRING) || '.php' WHEN 3 THEN 'app/database/M{KEY}.php' WHEN 4 THEN 'app/s/Svc{KEY}.php' WHEN 5 THEN 'lib/legacy{KEY}.php' WHEN 6 THEN 'lib/Fn{KEY}.php'
+ WHEN 7 THEN 'lib/Ab{KEY}.php' WHEN 8 THEN 'tests/T{KEY}.php' ELSE 'app/run/run{KEY}.php' END"""
+_CLASS = f"""CASE o_orderkey % 10 WHEN 0 THEN 'Order{KEY}' WHEN 1 THEN 'Hook{KEY}' WHEN 2 THEN 'Shape{KEY}' WHEN 3 THEN 'Moved{KEY}' WHEN 4 THEN 'Svc{KEY}Cust' || CAST(o_custkey AS STRING) WHEN 5 THEN 'Legacy{KEY}' WHEN 7 THEN 'Abc' WHEN 8 THEN 'Tested{KEY}' ELSE 'Run{KEY}' END"""
+BACKEND = f"""SELECT {_PATH} AS file_path, CASE o_orderkey % 10 WHEN 6 THEN 'function f() «»' ELSE 'class ' || {_CLASS} || ' «»' END || CASE o_orderkey % 10
+ WHEN 8 THEN ' Order' || CAST(o_orderkey - 8 AS STRING) || '::go();' WHEN 9 THEN ' Order' || CAST(o_orderkey - 9 - 10 * (o_custkey % 3) AS STRING) || '::go(); require "x/Legacy' || CAST(o_orderkey - 4 - 10 * (o_custkey % 5) AS STRING) || '.php"; return app("A" . $t . "Cust' || CAST(o_custkey AS STRING) || '");' ELSE '' END AS text FROM {{orders}}"""
+BACKEND_SYMBOLS = f"SELECT {_PATH} AS file_path, CASE o_orderkey % 10 WHEN 6 THEN 'Function' ELSE 'Class' END AS kind, {_CLASS} AS name, CAST(NULL AS STRING) AS parent_symbol_id FROM {{orders}}"
+BACKEND_EDGES = f"SELECT CASE o_orderkey % 3 WHEN 0 THEN {_PATH} WHEN 1 THEN 'tests/x.php' ELSE 'app/main.php' END AS source_file_path, {_PATH} AS target_file_path FROM {{orders}} WHERE o_orderkey % 7 = 0"
+BACKEND_WIRED = f"SELECT {_PATH} AS file_path FROM {{orders}} WHERE o_custkey % 11 = 0"
+
+
+@add("orphan_backend_modules", f"""WITH o AS MATERIALIZED (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 10 AS r, o_orderkey % 7 = 0 AND o_orderkey % 3 = 2 OR o_custkey % 11 = 0 AS led, {duck(_PATH)} AS path FROM orders),
+run AS (SELECT k - 9 - 10 * (c % 3) AS named, k - 4 - 10 * (c % 5) AS quoted, c FROM o WHERE r = 9), hooks AS (SELECT k % 400 AS h FROM o WHERE r = 1 GROUP BY h HAVING count(DISTINCT c % 90) >= 2), kinds AS (SELECT c % 80 AS kind FROM o WHERE r = 2 GROUP BY kind HAVING count(*) >= 3)
+SELECT 'OrphanModule' AS category, path, regexp_extract(path, '([^/.]*)[.][^/]*$', 1) AS name, 1 AS line, 'Heuristic' AS tier FROM o WHERE NOT led AND CASE r WHEN 0 THEN k NOT IN (SELECT named FROM run) WHEN 1 THEN k % 400 NOT IN (FROM hooks) WHEN 2 THEN c % 80 NOT IN (FROM kinds)
+ WHEN 4 THEN c NOT IN (SELECT c FROM run) WHEN 5 THEN k NOT IN (SELECT quoted FROM run) WHEN 9 THEN TRUE ELSE FALSE END""")
+def _(s, d):
+    x = frame(s, d, BACKEND).withColumn("text", F.translate("text", "«»", "{}"))
+    return deadcode.orphan_backend_modules(x, frame(s, d, BACKEND_SYMBOLS), frame(s, d, BACKEND_EDGES), frame(s, d, BACKEND_WIRED))
