@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ ENTRY_PATTERNS = ["/main.", "/lib.", "/mod.", "/index.", "/__init__.", "/config/
 TEST_SUFFIXES_EXACT = ["Test.php", "Spec.php"]
 TEST_SUFFIXES = ["_test.rs", "_test.go", "_test.py", "_test.php", "_spec.php", "-test.php", "-spec.php"]
 TEST_NAMES = ["test.php", "spec.php"]
+TEST_FOLDERS = ["tests", "test", "spec", "__tests__"]
 #: Languages by extension.
 EXTENSIONS = {"JavaScript": ["js", "jsx", "mjs", "cjs"], "TypeScript": ["ts", "tsx", "mts", "cts", "vue"], "Php": ["php", "phtml", "php3", "php4", "php5", "php8"], "Python": ["py"], "Ruby": ["rb", "rake"], "Rust": ["rs"]}
 
@@ -61,23 +64,30 @@ def language(path: str | Column) -> Column:
     return F.create_map(*[F.lit(v) for name, ext in EXTENSIONS.items() for e in ext for v in (e, name)])[extension(path)]
 
 
+def _either(parts: list[str]) -> str:
+    return "(?:" + "|".join(map(re.escape, parts)) + ")"
+
+
+# One pattern each, so that a path that is itself an expression is worked out once.
+_TEST = "|".join(
+    [
+        f"(?:^|/)(?i:{_either(TEST_FOLDERS)})(?:/|\\z)",
+        r"(?:^|/)(?i:test_)[^/]*\z",
+        r"(?i:\.test\.|\.spec\.)[^/]*\z",
+        f"(?:^|/)(?i:{_either(TEST_NAMES)})\\z",
+        f"{_either(TEST_SUFFIXES_EXACT)}\\z",
+        f"(?i:{_either(TEST_SUFFIXES)})\\z",
+    ]
+)
+_ENTRY = "(?:^|/)" + _either([p[1:] for p in ENTRY_PATTERNS])
+
+
 def is_test_path(path: str | Column) -> Column:
-    p = normalised(path)
-    name = file_name(p)
-    low = F.lower(name)
-    return any_of(
-        F.arrays_overlap(F.split(F.lower(p), "/"), F.array(*map(F.lit, ["tests", "test", "spec", "__tests__"]))),
-        low.startswith("test_"),
-        low.contains(".test."),
-        low.contains(".spec."),
-        low.isin(TEST_NAMES),
-        *[name.endswith(s) for s in TEST_SUFFIXES_EXACT],
-        *[low.endswith(s) for s in TEST_SUFFIXES],
-    )
+    return normalised(path).rlike(_TEST)
 
 
 def is_default_entry(path: str | Column) -> Column:
-    return contains_any(F.concat(F.lit("/"), normalised(path)), ENTRY_PATTERNS)
+    return normalised(path).rlike(_ENTRY)
 
 
 def is_config_like(path: str | Column) -> Column:
