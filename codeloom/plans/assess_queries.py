@@ -314,7 +314,7 @@ def _(s, d):
 @add("assessment_counts", f"SELECT family AS kind, count(*) AS n FROM {FD_} GROUP BY 1")
 def _(s, d):
     f = frame(s, d, b.FINDINGS)
-    return f.groupBy(F.col("family").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return a.counts_by_kind(*[(k, f.filter(F.col("family") == k)) for k in ("dead_code", "hardwiring", "security")])
 
 
 @add("explain_finding", f"WITH {REVIEWED}, t AS (SELECT min(fingerprint) AS f FROM w), x AS (SELECT w.* FROM w, t WHERE fingerprint = f) SELECT fingerprint, path, family, severity_millis, status, rule_id, (SELECT count(*) FROM w q WHERE q.path = x.path AND q.fingerprint <> x.fingerprint) AS beside, (SELECT count(*) FROM w q WHERE q.family = x.family AND q.severity_millis > x.severity_millis) AS worse FROM x")

@@ -18,11 +18,20 @@ ENVIRONMENT = ["composer.json", "composer.lock", "package.json", "package-lock.j
 def scan(spark: SparkSession, root: str, ignored: list[str] | None = None, hidden: bool = False) -> DataFrame:
     """(relative_path, size_bytes, modified_at, content_hash, content) of all files below root, on any store Spark reads."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return pruned(below(raw, root), IGNORED if ignored is None else ignored, hidden)
+
+
+def below(raw: DataFrame, root: str) -> DataFrame:
+    """Rows of the binary file source with paths relative to root."""
     base = re.sub(r"/+$", "", root)
     plain = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", "")
     bare = re.sub("^[a-z0-9]+:(//[^/]*)?", "", base)
-    x = raw.select(F.substring(plain, len(bare) + 2, 1 << 30).alias("relative_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), F.xxhash64("content").alias("content_hash"), "content")
-    return pruned(x, IGNORED if ignored is None else ignored, hidden)
+    return raw.select(F.substring(plain, len(bare) + 2, 1 << 30).alias("relative_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), F.xxhash64("content").alias("content_hash"), "content")
+
+
+def empty(spark: SparkSession) -> DataFrame:
+    """No files."""
+    return spark.createDataFrame([], "relative_path string, size_bytes long, modified_at timestamp, content_hash long, content binary")
 
 
 def pruned(files: DataFrame, ignored: list[str] = IGNORED, hidden: bool = False) -> DataFrame:

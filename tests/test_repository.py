@@ -9,7 +9,6 @@ from codeloom.operators import plugins, resolution
 from codeloom.plans import cypher
 from codeloom.plans.analyze import analyze_folder
 from codeloom.sources import parsers, scan, sinks
-from codeloom.streaming.refresh import Revisions, watch
 
 FILES = {
     "app/main.py": "import os\nfrom app.util import helper, unused\n\n\ndef run(x):\n    helper(x)\n    os.system(x)\n\n\nif __name__ == '__main__':\n    import sys\n    run(sys.argv[1])\n",
@@ -159,15 +158,3 @@ def test_publication(spark, tmp_path):
     sinks.register_views(nodes, relations)
     assert spark.sql("select count(*) from code_relation r join code_node n on n.id = r.to").first()[0] == 2
     assert "| a | FILE |" in sinks.report("R", {"Nodes": nodes})
-
-
-def test_live_refresh(spark, tmp_path):
-    folder, shared, seen = tmp_path / "in", f"file://{tmp_path}/shared", []
-    folder.mkdir()
-    (folder / "a.py").write_text("x = 1\n")
-    r = Revisions()
-    receipt = r.edit(["a.py"])
-    assert not r.fresh(receipt)
-    watch(spark, str(folder), shared, lambda df, n: seen.append({x.file_path.rpartition("/")[2] for x in df.collect()}), r).awaitTermination()
-    assert seen == [{"a.py"}] and r.fresh(receipt) and not r.dirty
-    assert not r.publish(0)  # late
