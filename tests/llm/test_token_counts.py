@@ -1,4 +1,6 @@
 import random
+import string
+import time
 
 import public_tokenizers
 import pytest
@@ -50,3 +52,22 @@ def test_cache_is_dropped_without_changing_counts(library, monkeypatch):
     counter = token_counts.TokenCounter(PATH)
     texts = [f"word{i} and other things {i * 7}" for i in range(60)]
     assert [n for k in range(0, 60, 9) for n in counter.count(texts[k : k + 9])] == list(map(library, texts))
+
+
+def test_long_pre_tokens_of_many_letters(library):
+    r = random.Random(5)
+    text = "".join(r.choices(string.ascii_letters, k=1_000_000))
+    counter = token_counts.TokenCounter(PATH)
+    began = time.time()
+    assert counter.count([text]) == [library(text)]
+    assert time.time() - began < 20  # about 4 on a free machine; passes over everything would take many minutes
+
+
+def test_both_ways_of_merging_agree(library, monkeypatch):
+    r = random.Random(6)
+    signs = "aaaabtheing ing  e日é=="
+    texts = ["".join(r.choices(signs, k=r.randrange(1, 400))) for _ in range(300)] + ["ab" * 900, "a" * 1001, "aab" * 333, "", " " * 777, "=" * 600 + "a"]
+    want = list(map(library, texts))
+    for most in (0, 1, 5, 40, 10_000):
+        monkeypatch.setattr(token_counts, "LONG", most)
+        assert token_counts.TokenCounter(PATH).count(texts) == want
