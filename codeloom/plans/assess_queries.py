@@ -314,7 +314,7 @@ def _(s, d):
 @add("assessment_counts", f"SELECT family AS kind, count(*) AS n FROM {FD_} GROUP BY 1")
 def _(s, d):
     f = frame(s, d, b.FINDINGS)
-    return a.counts_by_kind(*[(k, f.filter(F.col("family") == k)) for k in ("dead_code", "hardwiring", "security")])
+    return az.counts_by_kind(*[(k, f.filter(F.col("family") == k)) for k in ("dead_code", "hardwiring", "security")])
 
 
 @add("explain_finding", f"WITH {REVIEWED}, t AS (SELECT min(fingerprint) AS f FROM w), x AS (SELECT w.* FROM w, t WHERE fingerprint = f) SELECT fingerprint, path, family, severity_millis, status, rule_id, (SELECT count(*) FROM w q WHERE q.path = x.path AND q.fingerprint <> x.fingerprint) AS beside, (SELECT count(*) FROM w q WHERE q.family = x.family AND q.severity_millis > x.severity_millis) AS worse FROM x")
@@ -339,3 +339,41 @@ def _(s, d):
     from codeloom.plans.api import quality_evaluation
 
     return quality_evaluation(rv.suppressed(frame(s, d, b.FINDINGS), rules(s)))
+
+
+#: An assessment for each customer, of ten focuses, with up to three other files.
+FOCUSES = ["hand_rolled_parsing", "algorithmic_complexity_hotspot", "sanctioned_path_bypass", "duplicate_mechanism", "abstraction_sprawl", "compatibility_scar", "split_identity_model"]
+_NEAR = "'m' || CAST((c_custkey + {k}) % 20 AS STRING) || '/f' || CAST(c_custkey + {k} AS STRING)"
+_FOCUS = "CASE c_custkey % 7 " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(FOCUSES)) + " END"
+ASSESSED = f"SELECT {_FOCUS} AS focus, {_NEAR.format(k=0)} AS path, CAST(c_custkey * 37 % 1000 AS INT) AS severity_millis, CASE WHEN c_custkey % 4 = 0 THEN array({_NEAR.format(k=1)}, {_NEAR.format(k=2)}, {_NEAR.format(k=3)}) ELSE array({_NEAR.format(k=1)}) END AS related FROM {{customer}}"
+_HOT = f"SELECT path FROM ({CENTRAL}) AS c WHERE centrality_millis >= 600"
+_CYC = f"SELECT path FROM ({CENTRAL}) AS c WHERE path LIKE 'm7/%'"
+_AS = duck(ASSESSED).replace("array(", "list_value(")
+PACKETS = f"""{REVIEWED}, b AS (SELECT path, count(*) AS n, count(*) FILTER (family = 'security') AS sec, count(*) FILTER (family = 'hardwiring') AS lit, bool_or(family = 'security' AND severity_millis >= 900) AS exposed FROM w WHERE status = 'Visible' GROUP BY path),
+ab AS (SELECT b.*, coalesce(centrality_millis, 0) AS central, b.path LIKE 'm7/%' AS cyc, coalesce(centrality_millis, 0) >= 600 AS hot FROM b LEFT JOIN {CE_} USING (path)),
+lb AS (SELECT *, concat_ws(',', CASE WHEN central > 0 THEN 'bottleneck:' || central END, CASE WHEN cyc THEN 'strong_cycle' END) AS labels FROM ab),
+pk AS (SELECT 'security_hotspot' AS focus, CASE WHEN exposed THEN 3 ELSE 2 END AS pr, path, [path] AS files, CASE WHEN exposed THEN 870 ELSE 760 END AS conf, sec AS n, labels, 7 AS fr, 'security_hotspot:' || path AS id FROM lb WHERE sec > 0
+ UNION ALL SELECT 'warning_heavy_hotspot', CASE WHEN sec > 0 OR cyc OR central >= 700 THEN 3 ELSE 2 END, path, [path], CASE WHEN sec > 0 THEN 760 ELSE 640 END, n, labels, 0, 'warning_heavy_hotspot:' || path FROM lb WHERE hot AND NOT (lit >= n - 1 OR (lit > 2 * (n - lit) AND sec = 0))
+ UNION ALL SELECT 'dead_code_proof', 3, path, [path], 800, 1, '', 5, 'dead_code_proof:' || fingerprint FROM w WHERE status = 'Visible' AND family = 'dead_code'
+ UNION ALL SELECT focus, CASE WHEN focus = 'abstraction_sprawl' THEN 1 WHEN focus = 'algorithmic_complexity_hotspot' AND severity_millis >= 820 OR focus NOT LIKE 'alg%' AND severity_millis >= 700 OR len(related) >= 2 AND focus IN ('hand_rolled_parsing', 'duplicate_mechanism', 'compatibility_scar', 'split_identity_model') THEN 3 ELSE 2 END,
+  path, list_sort(list_append(related, path)), severity_millis, 1, '', CASE focus WHEN 'hand_rolled_parsing' THEN 5 WHEN 'algorithmic_complexity_hotspot' THEN 5 WHEN 'sanctioned_path_bypass' THEN 4 WHEN 'duplicate_mechanism' THEN 4 WHEN 'abstraction_sprawl' THEN 3 WHEN 'compatibility_scar' THEN 2 ELSE 1 END, focus || ':' || path FROM ({_AS})),
+ch AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY again, -pr, -fr, files, focus, id)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY focus ORDER BY -pr, -fr, files, focus, id) > 1 AS again FROM pk) QUALIFY rank <= 12),
+ft AS (SELECT id, unnest(files) AS path FROM ch), ln AS MATERIALIZED (SELECT DISTINCT source_file_path AS src, target_file_path AS dst FROM {C_} WHERE source_file_path <> target_file_path),
+ra AS (SELECT id, path, bool_or(inc) AS inc, bool_or(NOT inc) AS outg FROM (SELECT id, dst AS path, false AS inc FROM ft JOIN ln ON src = path UNION ALL SELECT id, src, true FROM ft JOIN ln ON dst = path) GROUP BY ALL HAVING (id, path) NOT IN (SELECT (id, path) FROM ft))"""
+
+
+@add("guardian_packets", f"""WITH {PACKETS} SELECT rank, id, CASE pr WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS priority, focus, path AS primary_file, array_to_string(files, ',') AS target_files, conf::INT AS confidence_millis, n AS findings, labels,
+ CASE WHEN focus IN ('security_hotspot', 'algorithmic_complexity_hotspot') THEN 2 ELSE 1 END AS obligations, (SELECT count(*) FROM ra WHERE ra.id = ch.id AND inc) AS radius_in, (SELECT count(*) FROM ra WHERE ra.id = ch.id AND outg) AS radius_out,
+ CASE WHEN focus IN ('security_hotspot', 'warning_heavy_hotspot', 'dead_code_proof') THEN n ELSE 0 END AS members FROM ch""")
+def _(s, d):
+    from codeloom.operators import graph as gr
+    from codeloom.operators import packets as pk
+
+    w = rv.suppressed(frame(s, d, b.FINDINGS), rules(s))
+    made = pk.of_findings(w, frame(s, d, CENTRAL), frame(s, d, _CYC), frame(s, d, _HOT)).unionByName(pk.of_assessments(frame(s, d, ASSESSED)))
+    got = gr.cut(pk.chosen(made, 12))
+    _, links = gr.file_graph(frame(s, d, b.CYCLES))
+    near = pk.radius(got, links).groupBy("id").agg(F.count_if("incoming").alias("radius_in"), F.count_if("outgoing").alias("radius_out"))
+    mine = pk.members(got, w).groupBy("id").agg(F.count(F.lit(1)).alias("members"))
+    out = got.join(near, "id", "left").join(mine, "id", "left").na.fill(0, ["radius_in", "radius_out", "members"])
+    return out.select("rank", "id", "priority", "focus", "primary_file", F.array_join("target_files", ",").alias("target_files"), "confidence_millis", "findings", F.array_join("labels", ",").alias("labels"), F.size("obligations").alias("obligations"), "radius_in", "radius_out", "members")
