@@ -10,8 +10,8 @@ import ast
 
 from codeloom.functions.shapes import _LINKS, _NAME, Tokens
 
-#: tag bind or use; kind of a binding: function, class, import, value; of a use: call, new, name, write; to_name, to_line: the symbol that is bound.
-FIELDS = "tag string, name string, scopes array<int>, kind string, line int, start int, to_name string, to_line int"
+#: tag bind or use; kind of a binding: function, class, import, value; of a use: call, new, name, write; to_name, to_line, to_start: the symbol that is bound.
+FIELDS = "tag string, name string, scopes array<int>, kind string, line int, start int, to_name string, to_line int, to_start int"
 LANGUAGES = ["JavaScript", "TypeScript", "Python"]
 #: Words of scripts that are no names.
 _WORDS = frozenset("if else for while do switch case default break continue return throw try catch finally function class extends implements new delete typeof void in of instanceof const let var import export from as async await yield this super null true false undefined static get set public private protected readonly override abstract declare".split())
@@ -163,13 +163,13 @@ def _script(t: Tokens) -> list[tuple]:
 
     def bind(k: int, scope: int, kind: str = "value", symbol: int | None = None) -> None:
         taken.add(k)
-        rows.append(("bind", t.at(k), [scope], kind, t.line[k], t.start[k], None if symbol is None else t.at(symbol), None if symbol is None else t.line[symbol]))
+        rows.append(("bind", t.at(k), [scope], kind, t.line[k], t.start[k], *((None, None, None) if symbol is None else (t.at(symbol), t.line[symbol], t.start[symbol]))))
 
     def around() -> list[int]:
         return [*[s[1] for s in reversed(stack)], 0]
 
     def use(k: int, kind: str) -> None:
-        rows.append(("use", t.at(k), around(), kind, t.line[k], t.start[k], None, None))
+        rows.append(("use", t.at(k), around(), kind, t.line[k], t.start[k], None, None, None))
 
     for i in range(len(t.token)):
         x = t.at(i)
@@ -263,11 +263,11 @@ def _python(text: str) -> list[tuple]:
     outer: dict[tuple[int, str], str] = {}  # (scope, name) → global or nonlocal
 
     def bind(node, name: str, here: tuple, kind: str = "value") -> None:
-        symbol = kind in ("function", "class")
-        rows.append(("bind", name, list(here), kind, node.lineno, offsets[node.lineno - 1] + node.col_offset, name if symbol else None, node.lineno if symbol else None))
+        start = offsets[node.lineno - 1] + node.col_offset
+        rows.append(("bind", name, list(here), kind, node.lineno, start, *((name, node.lineno, start) if kind in ("function", "class") else (None, None, None))))
 
     def use(node, name: str, here: tuple, kind: str) -> None:
-        rows.append(("use", name, list(here), kind, node.lineno, offsets[node.lineno - 1] + node.col_offset, None, None))
+        rows.append(("use", name, list(here), kind, node.lineno, offsets[node.lineno - 1] + node.col_offset, None, None, None))
 
     todo = [(x, (0,), (0,)) for x in tree.body]
     while todo:

@@ -26,7 +26,7 @@ def facts(sources: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = [(p, *r) for p, t, x in zip(pdf.file_path, pdf.text, pdf.language) for r in scopes.facts(masks.vue_script(t) if p.endswith(".vue") else t, x)]
             out = pd.DataFrame(rows, columns=["file_path", *names])
-            yield out.astype({"to_line": "Int32"})
+            yield out.astype({"to_line": "Int32", "to_start": "Int32"})
 
     x = sources.select("file_path", "text", E.language("file_path").alias("language")).filter(F.col("language").isin(scopes.LANGUAGES) & F.col("text").isNotNull())
     return x.mapInPandas(run, f"file_path string, {scopes.FIELDS}").distinct()
@@ -35,7 +35,7 @@ def facts(sources: DataFrame) -> DataFrame:
 def declarations(found: DataFrame) -> DataFrame:
     """Facts → what each scope means by a name: file_path, scope, name, imported, known, and the symbol's target_name, target_line, target_start and target_kind."""
     b = found.filter("tag = 'bind'").withColumn("scope", F.col("scopes")[0])
-    symbol = F.when(F.col("to_name").isNotNull(), F.struct(F.col("start").alias("target_start"), F.col("to_name").alias("target_name"), F.col("to_line").alias("target_line"), F.col("kind").alias("target_kind")))
+    symbol = F.when(F.col("to_name").isNotNull(), F.struct(F.col("to_start").alias("target_start"), F.col("to_name").alias("target_name"), F.col("to_line").alias("target_line"), F.col("kind").alias("target_kind")))
     per = b.groupBy(*KEY).agg(F.min(symbol).alias("s"), F.bool_and(F.col("kind") == "import").alias("imported"), F.bool_and(F.col("to_name").isNotNull()).alias("known"))
     return per.select(*KEY, "imported", "known", "s.*")
 
@@ -58,3 +58,43 @@ def scoped_symbols(found: DataFrame) -> DataFrame:
     """Facts → symbols bound within a function or block: file_path, start_line, name. No other scope can mean them."""
     b = found.filter("tag = 'bind' and to_name is not null and scopes[0] <> 0")
     return b.select("file_path", F.col("to_line").alias("start_line"), F.col("to_name").alias("name")).distinct()
+
+
+def with_bound_symbols(symbols: DataFrame, found: DataFrame) -> DataFrame:
+    """Symbols, and those that scopes bind which a parser has not seen: functions held by variables, several declared in one line."""
+    b = found.filter("tag = 'bind' and to_name is not null and name = to_name").select("file_path", F.col("to_line").alias("start_line"), F.col("to_name").alias("name"), F.col("to_start").alias("start"), F.initcap("kind").alias("kind"))
+    place = F.row_number().over(Window.partitionBy("file_path", "start_line", "name").orderBy("start"))
+    seen = symbols.groupBy("file_path", "start_line", "name").agg(F.count_distinct("id").alias("n"))
+    more = b.withColumn("place", place).join(seen, ["file_path", "start_line", "name"], "left").filter(F.col("place") > F.coalesce("n", F.lit(0)))
+    key = F.concat_ws("#", "file_path", "name", F.col("start_line").cast("string"), F.when(F.col("place") > 1, F.col("place").cast("string")))
+    more = more.select(F.xxhash64(key).alias("symbol_index"), key.alias("id"), "file_path", "kind", "name", F.col("name").alias("qualified_name"), F.lit("Public").alias("visibility"), "start_line", F.col("start_line").alias("end_line"))
+    return symbols.unionByName(more, allowMissingColumns=True)
+
+
+def with_bound_calls(refs: DataFrame, uses: DataFrame) -> DataFrame:
+    """References, and calls that scopes bind which a parser has not seen, as those in a line that declares something."""
+    known = refs.select("file_path", "line", F.col("target_name").alias("name")).distinct()
+    more = uses.filter("kind in ('call', 'new') and target_name is not null").select("file_path", "line", "name").distinct().join(known, ["file_path", "line", "name"], "left_anti")
+    more = more.select(F.xxhash64("file_path", "line", F.lit("Call"), "name").alias("ref_index"), "file_path", F.lit("Call").alias("kind"), F.col("name").alias("target_name"), "line", F.lit("Free").alias("call_form"))
+    return refs.unionByName(more, allowMissingColumns=True)
+
+
+def open_symbols(symbols: DataFrame, found: DataFrame) -> DataFrame:
+    """Symbols without those that only a scope of their own file can mean."""
+    return symbols.join(scoped_symbols(found), ["file_path", "start_line", "name"], "left_anti").select(*symbols.columns)
+
+
+def lexical_targets(refs: DataFrame, uses: DataFrame, symbols: DataFrame, found: DataFrame) -> DataFrame:
+    """(ref_index, target_symbol_id): for references that scopes bind, the symbols that uses of their name in their line mean; null where none of them means a known one."""
+    r = refs.filter("call_form = 'Free' or kind in ('Extends', 'Implements', 'Type')").select("ref_index", "file_path", "line", F.col("target_name").alias("name"), (F.col("kind") == "Call").alias("called"))
+    u = uses.select("file_path", "line", "name", (F.col("kind") != "name").alias("called"), "target_name", "target_line", "target_start").distinct()
+    # Symbols of one line and name stand in the order of their bindings.
+    by = ["file_path", "target_line", "target_name"]
+    bound = found.filter("tag = 'bind' and to_name is not null").select("file_path", F.col("to_line").alias("target_line"), F.col("to_name").alias("target_name"), F.col("to_start").alias("target_start"))
+    targets = bound.distinct().withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("target_start")))
+    s = symbols.select("file_path", F.col("start_line").alias("target_line"), F.col("name").alias("target_name"), F.col("id").alias("target_symbol_id"))
+    s = s.distinct().withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.length("target_symbol_id"), "target_symbol_id")))
+    named = targets.join(s, [*by, "place"], "left").select(*by, "target_start", "target_symbol_id")
+    met = r.join(u, ["file_path", "line", "name", "called"]).join(named, [*by, "target_start"], "left").select("ref_index", "target_symbol_id").distinct()
+    some = met.filter("target_symbol_id is not null")
+    return cut(some.unionByName(met.join(some.select("ref_index"), "ref_index", "left_anti")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import expr as E
 from codeloom.functions import masks
-from codeloom.operators import assess, deadcode, edges, graph, receivers, resolution, review, scanners, text
+from codeloom.operators import assess, bindings, deadcode, edges, graph, receivers, resolution, review, scanners, text
 from codeloom.operators import rules as structural
 from codeloom.sources import parsers, scan
 
@@ -29,26 +29,32 @@ def analyze(sources: DataFrame, before: DataFrame | None = None, rules: DataFram
     """sources (file_path, text), and texts `outside` that may mention what is in them: symbols, references, edges, graph metrics, findings, review and verdict. Bottlenecks are exact, or estimated from so many `pivots`."""
     rows = graph.cut(parsers.parsed(sources))
     files = sources.select(F.col("file_path").alias("path"), E.language("file_path").alias("language")).distinct()
-    symbols, refs, outcomes = parsers.symbols(rows), edges.admitted_refs(parsers.refs(rows)), parsers.outcomes(rows)
+    scoped = graph.cut(bindings.facts(sources))
+    uses = graph.cut(bindings.bound_uses(scoped))
+    symbols, outcomes = bindings.with_bound_symbols(parsers.symbols(rows), scoped), parsers.outcomes(rows)
+    refs = edges.admitted_refs(bindings.with_bound_calls(parsers.refs(rows), uses))
     wanted = refs.filter("kind = 'Import'").select("file_path", F.col("target_name").alias("target"), "binding_name").join(files.select(F.col("path").alias("file_path"), "language"), "file_path")
     # An import may name a module or something in it.
     both = wanted.unionByName(wanted.withColumn("target", F.regexp_replace("target", r"(::|[.\\])[^.:\\]+$", "")))
     reached = resolution.import_targets(both.select("file_path", "language", "target").distinct(), files)
     imported = reached.select("file_path", "imported_path").distinct()
     none = symbols.select("file_path", F.col("name").alias("binding"), F.col("id").alias("qualified")).limit(0)
-    calls = refs.filter("kind not in ('Import', 'TypeImport')").withColumn("target_name", E.leaf_name("target_name"))
-    resolved = resolution.resolve(calls, symbols, none, imported)
+    calls = refs.filter("kind not in ('Import', 'TypeImport')").withColumn("target_name", E.leaf_name("target_name")).dropDuplicates(["ref_index"])
+    resolved = resolution.resolve(calls, bindings.open_symbols(symbols, scoped), none, imported)
     # What the type of its receiver proves goes before what a name alone suggests.
     proven = receivers.member_calls(sources, files).select("file_path", "line", F.col("member").alias("target_name"), F.col("target_file_path").alias("tf"), F.col("target_line").alias("tl"))
     named = symbols.select(F.col("file_path").alias("tf"), F.col("start_line").alias("tl"), F.col("name").alias("target_name"), F.col("id").alias("target_symbol_id"))
     typed = calls.filter("call_form in ('Member', 'Associated')").join(proven, ["file_path", "line", "target_name"]).join(named, ["tf", "tl", "target_name"]).groupBy("ref_index").agg(F.min("target_symbol_id").alias("target_symbol_id"))
     typed = graph.cut(typed).select("ref_index", "target_symbol_id", F.lit("ImportScoped").alias("resolution_tier"), F.lit(900).alias("confidence_millis"))
     resolved = resolved.join(typed.select("ref_index"), "ref_index", "left_anti").select(*typed.columns).unionByName(typed)
+    # The scopes of a file go before both.
+    lexical = bindings.lexical_targets(calls, uses, symbols, scoped)
+    resolved = resolution.with_lexical(resolved, calls, lexical).join(lexical.select("ref_index").distinct().withColumn("lexical", F.lit(True)), "ref_index", "left")
     s = symbols.select(F.col("id").alias("target_symbol_id"), F.col("file_path").alias("target_file_path"))
     made = calls.join(resolved, "ref_index").join(s, "target_symbol_id")
     found = made.select(
-        F.col("ref_index").alias("edge_index"), F.col("file_path").alias("source_file_path"), F.col("enclosing_symbol_id").alias("source_symbol_id"), "target_file_path", "target_symbol_id", F.col("target_name").alias("reference_target_name"), "kind",
-        edges.relation_of(F.col("kind")).alias("relation_kind"), F.lit("Structural").alias("layer"), edges.strength_of(F.col("resolution_tier")).alias("strength"), F.lit("Resolver").alias("origin"), "resolution_tier", "confidence_millis", F.lower(F.concat_ws(":", "kind", "resolution_tier")).alias("reason"), "line",
+        F.xxhash64("ref_index", "target_symbol_id").alias("edge_index"), F.col("file_path").alias("source_file_path"), F.col("enclosing_symbol_id").alias("source_symbol_id"), "target_file_path", "target_symbol_id", F.col("target_name").alias("reference_target_name"), "kind",
+        edges.relation_of(F.col("kind")).alias("relation_kind"), F.lit("Structural").alias("layer"), edges.strength_of(F.col("resolution_tier")).alias("strength"), F.lit("Resolver").alias("origin"), "resolution_tier", "confidence_millis", F.when(F.col("lexical"), F.concat(F.when(F.col("kind") == "Call", "call").otherwise("reference"), F.lit(":lexical-binding"))).otherwise(F.lower(F.concat_ws(":", "kind", "resolution_tier"))).alias("reason"), "line",
     )
     links = imported.select(F.xxhash64("file_path", "imported_path").alias("edge_index"), F.col("file_path").alias("source_file_path"), F.lit(None).cast("string").alias("source_symbol_id"), F.col("imported_path").alias("target_file_path"), F.concat(F.lit("module:"), "imported_path").alias("target_symbol_id"), F.col("imported_path").alias("reference_target_name"), F.lit("Import").alias("kind"), F.lit("Import").alias("relation_kind"), F.lit("Structural").alias("layer"), F.lit("Hard").alias("strength"), F.lit("Resolver").alias("origin"), F.lit("ImportScoped").alias("resolution_tier"), F.lit(900).alias("confidence_millis"), F.lit("import:path").alias("reason"), F.lit(1).alias("line"))
     e = graph.cut(edges.recovery_downgrade(edges.admitted_edges(edges.filled(found.unionByName(links))), outcomes))

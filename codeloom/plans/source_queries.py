@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import deadcode, graph, incremental, receivers, rules, scanners
+from codeloom.operators import bindings, deadcode, graph, incremental, receivers, rules, scanners
 from codeloom.operators import text as tx
 from codeloom.plans import bindings as b
 from codeloom.plans import text_queries as tq
@@ -145,3 +145,18 @@ SELECT 'OrphanModule' AS category, path, regexp_extract(path, '([^/.]*)[.][^/]*$
 def _(s, d):
     x = frame(s, d, BACKEND).withColumn("text", F.translate("text", "«»", "{}"))
     return deadcode.orphan_backend_modules(x, frame(s, d, BACKEND_SYMBOLS), frame(s, d, BACKEND_EDGES), frame(s, d, BACKEND_WIRED))
+
+
+#: For each order a script of nested blocks, one for each line item, which binds one of three names to a function or a value and calls all of them; some write the first.
+NESTED = "SELECT l_orderkey AS k, l_partkey % 3 AS f, l_returnflag = 'R' AS unknown, l_quantity > 45 AS writes, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_quantity) AS INT) AS n FROM {lineitem}"
+BLOCKS = f"""SELECT CASE WHEN k % 2 = 0 THEN 'src/o' || CAST(k AS STRING) || '.js' ELSE 'src/o' || CAST(k AS STRING) || '.ts' END AS file_path,
+ 'function f0() «»¦' || array_join(transform(array_sort(collect_list(struct(n, CASE WHEN unknown THEN '« let f' || CAST(f AS STRING) || ' = given' ELSE '« const f' || CAST(f AS STRING) || ' = (a) => a' END || '; f0(); f1(1); x.f2(); f2(f0);' || CASE WHEN writes THEN ' f0 = x;' ELSE '' END AS line))), x -> x.line), '¦') || '¦' || repeat('»', CAST(count(*) AS INT)) AS text
+ FROM ({NESTED}) AS l GROUP BY k"""
+
+
+@add("lexical_bindings", f"""WITH l AS ({duck(NESTED)}), u AS (SELECT k, n, v, writes, max(CASE WHEN f = v THEN n WHEN v = 0 THEN 0 END) OVER (PARTITION BY k, v ORDER BY n) AS scope FROM l, (VALUES (0), (1), (2)) t(v)),
+b AS (SELECT k, n AS scope, f AS v, unknown FROM l UNION ALL SELECT DISTINCT k, 0, 0, false FROM l), w AS (SELECT DISTINCT k, scope FROM u WHERE writes AND v = 0)
+SELECT 'src/o' || k || CASE WHEN k % 2 = 0 THEN '.js' ELSE '.ts' END AS file_path, n + 1 AS line, 'f' || v AS name, 0 AS occurrence, CASE WHEN unknown OR v = 0 AND (k, scope) IN (FROM w) THEN NULL ELSE scope + 1 END AS target_line FROM u JOIN b USING (k, scope, v)""")
+def _(s, d):
+    x = frame(s, d, BLOCKS).withColumn("text", F.translate("text", "¦«»", "\n{}"))
+    return bindings.bound_uses(bindings.facts(x)).select("file_path", "line", "name", "occurrence", "target_line")

@@ -131,7 +131,7 @@ def test_odd_sources(spark):
 def test_analysis_goes_by_scopes(spark):
     from codeloom.plans.analyze import analyze
 
-    sources = [("popup.ts", ARROWS), ("lib.ts", "export const format = (text: string) => text;\nformat('module');\n"), ("foreign.ts", "export function copyText(text: string) { return text; }\n"), ("scope.js", BLOCKS)]
+    sources = [("popup.ts", ARROWS), ("lib.ts", "export const format = (text: string) => text;\nformat('module');\n"), ("foreign.ts", "export function copyText(text: string) { return text; }\n"), ("scope.js", BLOCKS), ("twice.js", "{ const second = x => 1; } { const second = x => 2; second(1); }")]
     done = analyze(spark.createDataFrame(sources, "file_path string, text string"))
     edges = [e for e in done.edges.collect() if e.kind == "Call"]
     by = lambda name: sorted((e.source_file_path, e.line, e.target_file_path, e.reason) for e in edges if e.reference_target_name == name)
@@ -139,4 +139,5 @@ def test_analysis_goes_by_scopes(spark):
     assert by("copyText") == [("popup.ts", 5, "popup.ts", lexical), ("popup.ts", 6, "popup.ts", lexical)]
     assert by("onlyLocal") == [("popup.ts", 9, "popup.ts", lexical)]
     assert ("lib.ts", 2, "lib.ts", lexical) in by("format") and ("popup.ts", 13, "popup.ts", lexical) in by("format")
-    assert len(by("local")) == 2 and not by("changed")
+    assert len(by("local")) == 2 and not by("changed") and by("internal") == [("scope.js", 3, "scope.js", lexical)]
+    assert [e.target_symbol_id for e in edges if e.reference_target_name == "second"] == ["twice.js#second#1#2"]
