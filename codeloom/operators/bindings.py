@@ -19,7 +19,7 @@ KEY = ["file_path", "scope", "name"]
 
 
 def facts(sources: DataFrame) -> DataFrame:
-    """sources (file_path, text) → file_path and the columns of scopes.FIELDS. Vue files by their scripts; null texts have no rows."""
+    """sources (file_path, text) → file_path and the columns of scopes.FIELDS, read once. Vue files by their scripts; null texts have no rows."""
 
     def run(batches):
         names = [f.split()[0] for f in scopes.FIELDS.split(", ")]
@@ -29,7 +29,7 @@ def facts(sources: DataFrame) -> DataFrame:
             yield out.astype({"to_line": "Int32", "to_start": "Int32"})
 
     x = sources.select("file_path", "text", E.language("file_path").alias("language")).filter(F.col("language").isin(scopes.LANGUAGES) & F.col("text").isNotNull())
-    return x.mapInPandas(run, f"file_path string, {scopes.FIELDS}").distinct()
+    return cut(x.mapInPandas(run, f"file_path string, {scopes.FIELDS}"))
 
 
 def declarations(found: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def analyze(sources: DataFrame, before: DataFrame | None = None, rules: DataFram
     """sources (file_path, text), and texts `outside` that may mention what is in them: symbols, references, edges, graph metrics, findings, review and verdict. Bottlenecks are exact, or estimated from so many `pivots`."""
     rows = graph.cut(parsers.parsed(sources))
     files = sources.select(F.col("file_path").alias("path"), E.language("file_path").alias("language")).distinct()
-    scoped = graph.cut(bindings.facts(sources))
+    scoped = bindings.facts(sources)
     uses = graph.cut(bindings.bound_uses(scoped))
     symbols, outcomes = bindings.with_bound_symbols(parsers.symbols(rows), scoped), parsers.outcomes(rows)
     refs = edges.admitted_refs(bindings.with_bound_calls(parsers.refs(rows), uses))
