@@ -377,3 +377,37 @@ def _(s, d):
     mine = pk.members(got, w).groupBy("id").agg(F.count(F.lit(1)).alias("members"))
     out = got.join(near, "id", "left").join(mine, "id", "left").na.fill(0, ["radius_in", "radius_out", "members"])
     return out.select("rank", "id", "priority", "focus", "primary_file", F.array_join("target_files", ",").alias("target_files"), "confidence_millis", "findings", F.array_join("labels", ",").alias("labels"), F.size("obligations").alias("obligations"), "radius_in", "radius_out", "members")
+
+
+#: A line for each order, in a file for each customer: parsing by hand, old ways, timers, decoded manifests, environment.
+ASSESSED = """SELECT CASE o_custkey % 4 WHEN 0 THEN 'lib/m' || CAST(o_custkey % 48 AS STRING) || '/parser' || CAST(o_custkey AS STRING) || '.php' WHEN 1 THEN 'app/schedule/cron' || CAST(o_custkey AS STRING) || '.js'
+ WHEN 2 THEN 'app/page/route' || CAST(o_custkey AS STRING) || '.php' ELSE 'app/x/policy' || CAST(o_custkey AS STRING) || '.py' END AS file_path, CAST(o_orderkey AS INT) AS line, o_orderpriority AS priority,
+ CASE o_orderkey % 6 WHEN 0 THEN 'x = substr(a)' WHEN 1 THEN 'preg_match(b); explode(c)' WHEN 2 THEN '// Legacy fallback' WHEN 3 THEN 'setTimeout(f)' WHEN 4 THEN 'json.loads(s)' ELSE 'env("k"); strpos(d)' END AS content FROM {orders}"""
+AS_ = f"({duck(ASSESSED)})"
+
+
+def assessed(s, d):
+    return frame(s, d, ASSESSED).select("file_path", "line", "content")
+
+
+@add("compatibility_scars", f"SELECT file_path, count_if(content LIKE '%Legacy%') AS keyword_hits, count_if(priority = '1-URGENT') AS split_names, least(350 + 80 * count_if(content LIKE '%Legacy%') + 100 * count_if(priority = '1-URGENT'), 1000)::INT AS severity_millis FROM {AS_} GROUP BY file_path HAVING count_if(content LIKE '%Legacy%') >= 2 OR count_if(priority = '1-URGENT') >= 2")
+def _(s, d):
+    return az.compatibility_scars(frame(s, d, ASSESSED).filter("priority = '1-URGENT'").select("file_path"), assessed(s, d))
+
+
+@add("sanctioned_bypass", f"SELECT file_path, count_if(content LIKE 'env%') AS n, least(520 + 70 * least(count_if(content LIKE 'env%'), 4) + least(max(line % 1000) // 200, 180), 1000)::INT AS severity_millis FROM {AS_} WHERE file_path NOT LIKE 'app/schedule/%' GROUP BY file_path HAVING n > 0 AND count_if(content LIKE 'json%') > 0")
+def _(s, d):
+    x = assessed(s, d)
+    centrality = x.groupBy(F.col("file_path").alias("path")).agg(F.max(F.col("line") % 1000).alias("centrality_millis"))
+    return az.sanctioned_bypass(x.filter("content like 'env%'"), x, r"\bjson\.loads\b", "^app/schedule/", centrality)
+
+
+@add("hand_rolled_parsing", f"""WITH f AS (SELECT file_path, sum(CASE left(content, 3) WHEN 'x =' THEN 1 WHEN 'pre' THEN 2 WHEN 'env' THEN 1 ELSE 0 END)::BIGINT AS score FROM {AS_} WHERE file_path LIKE 'lib/%' GROUP BY file_path HAVING score >= 3)
+SELECT regexp_replace(file_path, '/[^/]*$', '') AS directory, count(*) AS files, sum(score)::BIGINT AS score, least(400 + 20 * sum(score), 1000)::INT AS severity_millis FROM f GROUP BY 1 HAVING count(*) >= 2 AND sum(score) >= 8""")
+def _(s, d):
+    return az.hand_rolled_parsing(assessed(s, d)).select("directory", "files", "score", "severity_millis")
+
+
+@add("home_made_stacks", " UNION ALL ".join(f"SELECT '{name}' AS stack, min(file_path) AS file_path, count(DISTINCT file_path) AS files, count(*) AS score, least(450 + 40 * least(count(DISTINCT file_path), 8) + 5 * least(count(*), 40), 1000)::INT AS severity_millis FROM {AS_} WHERE file_path LIKE '{path}' AND content LIKE '{sign}' HAVING files >= 2" for name, path, sign in (("scheduler", "app/schedule/%", "setTimeout%"), ("page_resolution", "app/page/%", "preg%"), ("manifest_policy", "app/x/%", "json%"))))
+def _(s, d):
+    return az.stacks(assessed(s, d))
