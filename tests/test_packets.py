@@ -82,3 +82,12 @@ def test_radius_and_members(spark):
 def test_empty_tables(spark):
     reviewed, packets = packets_of(spark, [], [], [], [], [])
     assert pk.chosen(packets).count() == 0 and pk.radius(pk.chosen(packets), spark.createDataFrame([], "src string, dst string")).count() == 0 and pk.members(pk.chosen(packets), reviewed).count() == 0
+
+
+def test_registered_query_reads_assessments(spark):
+    """A binding further down the module took the name of the query's own, and the query failed on a column it doesn't have."""
+    from codeloom.plans import registry
+
+    got = registry.QUERIES["guardian_packets"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 13))
+    assert {r["focus"] for r in got} > {"hand_rolled_parsing", "split_identity_model"}
