@@ -119,6 +119,40 @@ def test_random_graphs(spark, seed):
         assert all(abs(got[v] - 1000 * score[v]) <= 1 for v in names)
 
 
+@pytest.mark.parametrize("local", [-1, 60])
+def test_components_behind_each_other(spark, monkeypatch, local):
+    """Rounds grow with the logarithm of how many components lie behind each other: one component a round took over 150 cuts here."""
+    files = [[f"{k:02}/{x}" for x in "abc"] for k in range(20)]
+    pairs = [(f[i], f[(i + 1) % 3]) for f in files for i in range(3)] + [(f[0], g[1]) for i, f in enumerate(files) for g in files[i + 1 :]]
+    links, cuts, real = spark.createDataFrame(pairs, "src string, dst string"), [], gr.cut
+    monkeypatch.setattr(gr, "cut", lambda x: cuts.append(1) or real(x))
+    got = {r.path: (r.component, r.size) for r in gr.strong_components(links, local).collect()}
+    assert got == {x: (f[0], 3) for f in files for x in f}
+    assert len(cuts) < 80
+
+
+def test_witness_is_that_of_a_queue(spark):
+    pairs = random_graph(3)
+    links = spark.createDataFrame(pairs, "src string, dst string")
+    found = gr.strong_components(links)
+    for row in gr.cycle_witness(links, found).collect():
+        inside = {r.path for r in found.filter(f"component = '{row.component}'").collect()}
+        came, queue, want = {row.component: None}, deque([row.component]), None
+        while want is None:
+            x = queue.popleft()
+            for a, y in sorted(pairs):
+                if a == x and y == row.component and want is None:
+                    want = [y]
+                    while x is not None:
+                        want.append(x)
+                        x = came[x]
+                    break
+                if a == x and y in inside and y not in came:
+                    came[y] = x
+                    queue.append(y)
+        assert row.witness == want[::-1]
+
+
 def test_traces(spark):
     e = edges(spark, edge("a", "b", "Call"), edge("b", "d", "Call"), edge("a", "c"), edge("c", "d"), edge("a", "x"))
     assert [r.path for r in gr.traces(e, "a", "d", k=2).collect()] == [["a", "b", "d"], ["a", "c", "d"]]
