@@ -153,6 +153,20 @@ def test_witness_is_that_of_a_queue(spark):
         assert row.witness == want[::-1]
 
 
+def test_betweenness_by_blocks(spark, monkeypatch):
+    """Blocks of sources one after another give what all at once do, and leave nothing of their checkpoints behind."""
+    import os
+
+    pairs = random_graph(4)
+    links = spark.createDataFrame(pairs, "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "path string")
+    want = {r.path: r.centrality_millis for r in gr.betweenness(nodes, links).collect()}
+    monkeypatch.setattr(gr, "BLOCK_ROWS", 40)
+    got = {r.path: r.centrality_millis for r in gr.betweenness(nodes, links, -1).collect()}
+    assert all(abs(got[v] - want[v]) <= 1 for v in want) and got.keys() == want.keys()
+    assert not [x for x in os.listdir(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")) if x.startswith("block-")]
+
+
 def test_traces(spark):
     e = edges(spark, edge("a", "b", "Call"), edge("b", "d", "Call"), edge("a", "c"), edge("c", "d"), edge("a", "x"))
     assert [r.path for r in gr.traces(e, "a", "d", k=2).collect()] == [["a", "b", "d"], ["a", "c", "d"]]
