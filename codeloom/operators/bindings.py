@@ -18,8 +18,8 @@ from codeloom.operators.graph import cut
 KEY = ["file_path", "scope", "name"]
 
 
-def facts(sources: DataFrame) -> DataFrame:
-    """sources (file_path, text) → file_path and the columns of scopes.FIELDS, read once. Vue files by their scripts; null texts have no rows."""
+def facts(sources: DataFrame, keep: bool = True) -> DataFrame:
+    """sources (file_path, text) → file_path and the columns of scopes.FIELDS, read once and kept for several uses unless told otherwise. Vue files by their scripts; null texts have no rows."""
 
     def run(batches):
         names = [f.split()[0] for f in scopes.FIELDS.split(", ")]
@@ -29,26 +29,26 @@ def facts(sources: DataFrame) -> DataFrame:
             yield out.astype({"to_line": "Int32", "to_start": "Int32"})
 
     x = sources.select("file_path", "text", E.language("file_path").alias("language")).filter(F.col("language").isin(scopes.LANGUAGES) & F.col("text").isNotNull())
-    return cut(x.mapInPandas(run, f"file_path string, {scopes.FIELDS}"))
-
-
-def declarations(found: DataFrame) -> DataFrame:
-    """Facts → what each scope means by a name: file_path, scope, name, imported, known, and the symbol's target_name, target_line, target_start and target_kind."""
-    b = found.filter("tag = 'bind'").withColumn("scope", F.col("scopes")[0])
-    symbol = F.when(F.col("to_name").isNotNull(), F.struct(F.col("to_start").alias("target_start"), F.col("to_name").alias("target_name"), F.col("to_line").alias("target_line"), F.col("kind").alias("target_kind")))
-    per = b.groupBy(*KEY).agg(F.min(symbol).alias("s"), F.bool_and(F.col("kind") == "import").alias("imported"), F.bool_and(F.col("to_name").isNotNull()).alias("known"))
-    return per.select(*KEY, "imported", "known", "s.*")
+    found = x.mapInPandas(run, f"file_path string, {scopes.FIELDS}")
+    return cut(found) if keep else found
 
 
 def bound_uses(found: DataFrame) -> DataFrame:
-    """Facts → uses that a scope of their file binds, imports left out: file_path, line, name, kind, start, occurrence (from 0, of the name in its line) and target_*, null where what is bound isn't known."""
-    u = found.filter("tag = 'use'").select("file_path", "name", "kind", "line", "start", F.posexplode("scopes").alias("depth", "scope"))
-    met = u.join(declarations(found), KEY)
-    inner = F.min_by(F.struct("scope", "imported", "known", "target_name", "target_line", "target_start", "target_kind"), "depth").alias("d")
-    meant = cut(met.groupBy("file_path", "name", "kind", "line", "start").agg(inner).select("file_path", "name", "kind", "line", "start", "d.*"))
-    written = meant.filter("kind = 'write'").select(*KEY).distinct().withColumn("written", F.lit(True))
-    sure = F.col("known") & F.col("written").isNull()
-    out = meant.filter("kind <> 'write' and not imported").join(written, KEY, "left")
+    """Facts → uses that a scope of their file binds, imports left out: file_path, line, name, kind, start, occurrence (from 0, of the name in its line) and target_*, null where what is bound isn't known.
+
+    Facts are spread by file and name once; all that follows (each scope's meaning of a name, the innermost that a use lies in, writes, places in a line) goes by keys that hold these two.
+    """
+    bound = F.col("tag") == "bind"
+    x = found.filter("tag in ('bind', 'use') and name is not null").select("tag", "file_path", "name", "kind", "line", "start", "scopes", "to_name", "to_line", "to_start").repartition("file_path", "name")
+    x = x.select("*", F.posexplode(F.when(bound, F.slice("scopes", 1, 1)).otherwise(F.col("scopes"))).alias("depth", "scope")).drop("scopes")
+    named = F.when(bound & F.col("to_name").isNotNull(), F.struct(F.col("to_start").alias("target_start"), F.col("to_name").alias("target_name"), F.col("to_line").alias("target_line"), F.col("kind").alias("target_kind")))
+    scope = Window.partitionBy(*KEY)
+    meaning = [F.min(named).over(scope).alias("s"), F.min(F.when(bound, F.col("kind") == "import")).over(scope).alias("imported"), F.min(F.when(bound, F.col("to_name").isNotNull())).over(scope).alias("known")]
+    met = x.select("tag", "file_path", "name", "kind", "line", "start", "depth", "scope", *meaning).filter("tag = 'use' and imported is not null")
+    inner = F.min_by(F.struct("scope", "imported", "known", "s"), "depth").alias("d")
+    meant = met.groupBy("file_path", "name", "kind", "line", "start").agg(inner).select("file_path", "name", "kind", "line", "start", "d.scope", "d.imported", "d.known", "d.s.*")
+    out = meant.withColumn("written", F.max(F.col("kind") == "write").over(scope)).filter("kind <> 'write' and not imported")
+    sure = F.col("known") & ~F.col("written")
     place = Window.partitionBy("file_path", "line", "name").orderBy("start", "kind")
     targets = [F.when(sure, F.col(c)).alias(c) for c in ("target_name", "target_line", "target_start", "target_kind")]
     return out.select("file_path", "line", "name", "kind", "start", (F.row_number().over(place) - 1).alias("occurrence"), *targets)

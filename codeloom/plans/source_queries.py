@@ -160,4 +160,4 @@ SELECT 'src/o' || k || CASE WHEN k % 2 = 0 THEN '.js' ELSE '.ts' END AS file_pat
 def _(s, d):
     # As many tasks parse as the cluster shuffles to: small texts would be read by one.
     x = frame(s, d, BLOCKS).withColumn("text", F.translate("text", "¦«»", "\n{}")).repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "file_path")
-    return bindings.bound_uses(bindings.facts(x)).select("file_path", "line", "name", "occurrence", "target_line")
+    return bindings.bound_uses(bindings.facts(x, keep=False)).select("file_path", "line", "name", "occurrence", "target_line")

@@ -141,3 +141,13 @@ def test_analysis_goes_by_scopes(spark):
     assert ("lib.ts", 2, "lib.ts", lexical) in by("format") and ("popup.ts", 13, "popup.ts", lexical) in by("format")
     assert len(by("local")) == 2 and not by("changed") and by("internal") == [("scope.js", 3, "scope.js", lexical)]
     assert [e.target_symbol_id for e in edges if e.reference_target_name == "second"] == ["twice.js#second#1#2"]
+
+
+def test_uses_are_spread_once(spark):
+    """One exchange and no checkpoint of all facts: a copy of each use for each scope around it went over the network before, and facts and uses to disk twice."""
+    x = spark.createDataFrame([("a.js", BLOCKS), ("b.js", "function f() { f(); }")], "file_path string, text string")
+    uses = bindings.bound_uses(bindings.facts(x, keep=False))
+    plan = uses._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "MapInPandas" in plan
+    kept = bindings.bound_uses(bindings.facts(x))
+    assert sorted(map(str, uses.collect())) == sorted(map(str, kept.collect())) and uses.count() >= 5
