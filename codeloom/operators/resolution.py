@@ -185,13 +185,26 @@ def linearised(heritage: DataFrame) -> DataFrame:
 
 
 def override_edges(symbols: DataFrame, lineage: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Methods that override one of the same name of the nearest ancestor. lineage: child, ancestor (class ids), depth."""
+    """Methods that override one of the same name of the nearest ancestor. lineage: child, ancestor (class ids), depth.
+
+    Of the methods of a name in a class, and of those that a class finds above it, the two first are kept, the second for a method that is the first itself;
+    so methods meet their class's choice, not each other.
+    """
     m = symbols.filter("kind = 'Method' and parent_symbol_id is not null").select("id", "name", "symbol_index", F.col("parent_symbol_id").alias("owner"), "file_path", "start_line")
-    up = m.select(F.col("id").alias("target_symbol_id"), "name", F.col("owner").alias("ancestor"), F.col("symbol_index").alias("ti"), F.col("file_path").alias("target_file_path"))
-    hit = m.join(lineage, m.owner == lineage.child).join(up, ["ancestor", "name"]).filter("id != target_symbol_id")
-    best = hit.groupBy(F.col("id").alias("source_symbol_id"), F.col("file_path").alias("source_file_path"), F.col("start_line").alias("line")).agg(F.min(F.struct("depth", "ti", "target_symbol_id", "target_file_path")).alias("b"))
+    method = F.struct(F.col("symbol_index").alias("ti"), F.col("id").alias("target_symbol_id"), F.col("file_path").alias("target_file_path"))
+    up = _two_least(m.select(F.col("owner").alias("ancestor"), "name", F.col("id").alias("key"), method.alias("x")), ["ancestor", "name"])
+    above = m.select(F.col("owner").alias("child"), "name").distinct().join(lineage.select("child", "ancestor", "depth"), "child").join(up, ["ancestor", "name"])
+    above = _two_least(above.select(F.col("child").alias("owner"), "name", F.col("x.target_symbol_id").alias("key"), F.struct("depth", "x.*").alias("x")), ["owner", "name"])
+    two = above.groupBy("owner", "name").agg(F.array_sort(F.collect_list("x")).alias("two"))
+    hit = m.join(two, ["owner", "name"]).withColumn("b", F.get(F.filter("two", lambda x: x["target_symbol_id"] != F.col("id")), F.lit(0))).filter("b is not null")
+    best = hit.groupBy(F.col("id").alias("source_symbol_id"), F.col("file_path").alias("source_file_path"), F.col("start_line").alias("line")).agg(F.min("b").alias("b"))
     out = best.select("source_symbol_id", "source_file_path", "line", "b.target_symbol_id", "b.target_file_path", F.lit("Overrides").alias("kind"), F.lit(950).alias("confidence_millis"))
     if existing is not None:
         out = out.join(existing.filter("kind = 'Overrides'").select("source_symbol_id", "target_symbol_id"), ["source_symbol_id", "target_symbol_id"], "left_anti")
     return out
 
+
+def _two_least(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (by, key, x) → for each `by` the least x of the two keys whose least are smallest."""
+    each = rows.groupBy(*by, "key").agg(F.min("x").alias("x"))
+    return each.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("x"))).filter("n <= 2").select(*by, "x")
