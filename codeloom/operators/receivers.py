@@ -17,7 +17,7 @@ from codeloom.functions import declared, shapes
 from codeloom.functions import expr as E
 from codeloom.functions import masks
 from codeloom.operators import resolution
-from codeloom.operators.graph import cut
+from codeloom.operators.graph import cut, dealt
 
 #: Words of types that name no class of a repository, and wrappers of which the content counts.
 PRIMITIVES = "null undefined none void never mixed any unknown string number boolean bool int integer float double str array object callable iterable resource true false parent".split()
@@ -38,16 +38,27 @@ def type_names(text: Column) -> Column:
 
 
 def facts(sources: DataFrame) -> DataFrame:
-    """sources (file_path, text) → file_path, language and the columns of declared.FIELDS."""
+    """sources (file_path, text) → file_path, language and the columns of declared.FIELDS, each fact of a file once.
+
+    Sources come dealt out by file, so that a task knows by itself which facts it has given, and keeps those of one file only.
+    """
 
     def run(batches):
         names = [f.split()[0] for f in declared.FIELDS.split(", ")]
+        at, given = None, set()
         for pdf in batches:
-            rows = [(p, x, *r) for p, t, x in zip(pdf.file_path, pdf.text, pdf.language) for r in declared.facts(shapes.Tokens(masks.vue_script(t) if p.endswith(".vue") else t, x))]
+            rows = []
+            for p, t, x in zip(pdf.file_path, pdf.text, pdf.language):
+                if p != at:
+                    at, given = p, set()
+                for r in declared.facts(shapes.Tokens(masks.vue_script(t) if p.endswith(".vue") else t, x)):
+                    if (fact := repr(r)) not in given:
+                        given.add(fact)
+                        rows.append((p, x, *r))
             yield pd.DataFrame(rows, columns=["file_path", "language", *names])
 
     x = sources.select("file_path", "text", E.language("file_path").alias("language")).filter(F.col("language").isin(LANGUAGES) & F.col("text").isNotNull())
-    return x.mapInPandas(run, f"file_path string, language string, {declared.FIELDS}").distinct()
+    return dealt(x, x.count()).mapInPandas(run, f"file_path string, language string, {declared.FIELDS}")
 
 
 def substituted(found: DataFrame) -> DataFrame:

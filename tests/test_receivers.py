@@ -91,3 +91,11 @@ def test_empty_and_odd_sources(spark):
     assert targets(spark, files, "b.ts") == []
     sources = spark.createDataFrame([("a.ts", None), (None, "x.y()")], "file_path string, text string")
     assert receivers.member_calls(sources, sources.select(F.col("file_path").alias("path"))).count() == 0
+
+
+def test_facts_come_once_from_several_tasks(spark):
+    files = [(f"src/f{i}.ts", "class A {\n  go(): A { return x; }\n}\nconst a = new A();\na.go();\n") for i in range(40)]
+    twice = spark.createDataFrame(files + files[:5], "file_path string, text string").coalesce(1)
+    got = receivers.facts(twice).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got}) > 1
+    assert len({repr(r[:-1]) for r in got}) == len(got) == 40 * len([r for r in got if r.file_path == "src/f9.ts"])
