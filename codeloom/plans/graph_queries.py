@@ -150,7 +150,8 @@ def _(s, d):
     e = cycles(s, d).withColumn("turned", F.expr(TURNED))
     e = e.withColumn("x", F.col("source_file_path")).withColumn("source_file_path", F.when(F.col("turned"), F.col("target_file_path")).otherwise(F.col("x"))).withColumn("target_file_path", F.when(F.col("turned"), F.col("x")).otherwise(F.col("target_file_path")))
     nodes, links = gr.file_graph(e)
-    return gr.unstable_smells(gr.coupling(nodes, links), gr.module_counts(links))
+    pairs = gr.cut(gr.module_counts(links))
+    return gr.unstable_smells(gr.coupling(nodes, links, pairs), pairs)
 
 
 @add("neighbour_modules", f"WITH {FG}, n AS (SELECT m AS module, x AS other, sum(o)::BIGINT AS out_count, sum(i)::BIGINT AS in_count FROM (SELECT a AS m, z AS x, n AS o, 0 AS i FROM mc UNION ALL SELECT z, a, 0, n FROM mc) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY module ORDER BY out_count + in_count DESC, other)::INT AS rank FROM n QUALIFY rank <= 3")
