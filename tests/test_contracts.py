@@ -1,3 +1,5 @@
+import time
+
 from codeloom.operators import assess, text
 
 
@@ -23,3 +25,34 @@ def test_searches_that_are_cut_short_are_told(spark):
     rows = [(f"b{i}", ["common", f"own{i}"]) for i in range(5)] + [("many", [f"k{i}" for i in range(10)]), ("fine", ["own1"])]
     got = assess.truncated_searches(spark.createDataFrame(rows, "id string, keys array<string>"), most_bucket=4).collect()
     assert sorted(tuple(r) for r in got) == sorted([(f"b{i}", 1, 0) for i in range(5)] + [("many", 0, 2)])
+
+
+def test_lines_of_very_many_contracts(spark):
+    """Lines are found from the text's breaks, once, not for each match by counting from the beginning."""
+    n = 200_000
+    long = "\n".join(f'let k = env::var("KEY_{i % 7}");' for i in range(n))
+    began = time.monotonic()
+    got = [(r.line, r.value) for r in text.contract_hits(spark.createDataFrame([("src/long.rs", long)], "file_path string, text string")).collect()]
+    assert sorted(got) == [(i + 1, f"KEY_{i % 7}") for i in range(n)]
+    assert time.monotonic() - began < 60
+
+
+def test_words_that_stand_before_patterns_leave_no_match_out():
+    """Each pattern's own texts hold one of its words."""
+    import re
+
+    texts = {
+        "routes": ['#[Route(path: "/a")', '#[Route("/a")', 'Route::get("/a")', 'router.use("/a")', "match '/a'", "mount Api::Root => '/a'"],
+        "hooks": ["add_filter('a')", "apply_filters('a')", "do_action('a')", "register_uninstall_hook('a')"],
+        "registered_keys": ["Register_x('a')", "BIND('a')", "singleton('a')", "Alias('a')", "command('a')", "schedule('a')", "ſchedule('a')", "BİND('a')"],
+        "env_keys": ["env('A')", "getenv('A')", "std::env::var_os('A')", "env!('A')", "option_env!('A')", "$_ENV['A']", "$_SERVER['A']", "os.environ.get('A')", "os.environ['A']", "ENV.fetch('A')", "ENV['A']", "process.env.A", "process.env['A']", "import.meta.env.A"],
+        "config_keys": ["config('a')", "get_option('a')", "register_setting('a')"],
+        "channels": ["socket.send('a')", "io.on('a'", "ws.on('a'", "Echo.join('a'", "Broadcast::channel('a'", "new PrivateChannel('a'", "x.publish('a'", "x.psubscribe('a'", "x->trigger('a'"],
+        "http_calls": ["Http::get('a'", "fetch('a'", "axios.get('a'", "axios({url: 'a'", "->request('GET', 'a'", "curl_setopt($c, CURLOPT_URL, 'a'", "wp_remote_post('a'"],
+        "symbolic_literals": ["new CustomEvent('a')", "data-controller='a'"],
+    }
+    for category, pattern, words in text.CONTRACTS:
+        for t in texts[category]:
+            if re.search(pattern, t):
+                assert any(w in (t.lower() if pattern.startswith("(?i)") else t) for w in words) or not t.isascii()
+        assert any(re.search(pattern, t) for t in texts[category]), pattern
