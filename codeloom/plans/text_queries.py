@@ -8,6 +8,7 @@ from codeloom.functions import expr as E
 from codeloom.operators import deadcode as dc
 from codeloom.operators import resolution as rs
 from codeloom.operators import text as tx
+from codeloom.operators.graph import cut
 from codeloom.plans import bindings as b
 from codeloom.plans.bindings import duck, frame
 from codeloom.sources import scan as sc
@@ -146,7 +147,8 @@ SELECT file_path, line, category, CASE WHEN category = 'UnsafeHtmlOutput' THEN '
  CASE WHEN file_path IN (FROM r) THEN 'ExternallyReachable' ELSE '' END AS contexts,
  coalesce((SELECT string_agg(q.line || ':' || q.kind, ',' ORDER BY q.line, q.kind) FROM four q WHERE q.file_path = dg.file_path AND q.line <= dg.line), '') AS inputs FROM dg WHERE category IS NOT NULL""")
 def _(s, d):
-    c = code(s, d)
+    # Else a line is made anew for each mark that it is searched for, by the few tasks that read the tables.
+    c = cut(code(s, d).repartition(int(s.conf.get("spark.sql.shuffle.partitions"))))
     out = tx.severities(tx.dangerous_calls(c), c.filter("file_path like 'app/e1%'").select(F.col("file_path").alias("path")), tx.boundary_inputs(c))
     return out.select("file_path", "line", "category", "severity", F.array_join("contexts", ",").alias("contexts"), F.array_join("inputs", ",").alias("inputs"))
 
