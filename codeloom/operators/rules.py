@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import expr as E
 from codeloom.functions import masks, shapes
+from codeloom.operators.graph import dealt
 
 #: What is repeated in a loop, by language, subtype and patterns; `$$$ARGS` stands for any arguments, `$X` for one expression.
 IN_LOOPS = [
@@ -143,7 +144,7 @@ def spans(sources: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file_path", "language", "is_loop", "start", "stop", "line", "key", "shape", "token", "max_items"]).astype({"max_items": "Int32"})
 
     x = sources.select("file_path", "text", E.language("file_path").alias("language")).filter(F.col("language").isin(*RULED) & F.col("text").isNotNull())
-    return x.mapInPandas(run, "file_path string, language string, is_loop boolean, start int, stop int, line int, key string, shape string, token string, max_items int")
+    return dealt(x).mapInPandas(run, "file_path string, language string, is_loop boolean, start int, stop int, line int, key string, shape string, token string, max_items int")
 
 
 def in_loops(found: DataFrame) -> DataFrame:
