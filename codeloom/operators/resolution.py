@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom import model as M
 from codeloom.functions import expr as E
+from codeloom.operators import tiers
 from codeloom.operators.graph import cut
 
 
@@ -51,15 +52,13 @@ def candidates(refs: DataFrame, symbols: DataFrame, imports: DataFrame, imported
 
 def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame, imported_files: DataFrame) -> DataFrame:
     """(ref_index, target_symbol_id, resolution_tier, confidence_millis, reason): the best tier; parameter counts narrow where any fits; the first symbol, but of the whole repository only a single one."""
-    found = candidates(refs, symbols, imports, imported_files)
-    per = found.groupBy("ref_index", "tier_rank").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("fit"), F.col("n"))).alias("nf"), F.min(F.struct("symbol_index", "id")).alias("any"), F.min(F.when(F.col("fit"), F.struct("symbol_index", "id"))).alias("fit"),
-    )
-    best = per.groupBy("ref_index").agg(F.min(F.struct("tier_rank", "n", "nf", "any", "fit")).alias("b")).select("ref_index", "b.*")
-    chosen = F.coalesce("fit", "any")
-    tier = F.when(F.col("tier_rank") == 0, "SameFile").when(F.col("tier_rank") < 3, "ImportScoped").otherwise("Global")
-    sole = (F.col("tier_rank") < 3) | (F.coalesce("nf", "n") == 1)
-    out = best.filter(sole).select("ref_index", chosen["id"].alias("target_symbol_id"), tier.alias("resolution_tier"))
+    found = tiers.best_rows(refs, symbols, imports, imported_files)
+    # Rows that repeat a number are one reference.
+    global_ = [F.sum(F.when(F.col("rank") == k, F.col("n"))).alias(f"n{k}") for k in (6, 7)]
+    best = found.groupBy("ref_index").agg(F.min(F.struct("rank", "symbol_index", "id")).alias("b"), *global_).select("ref_index", "b.*", "n6", "n7")
+    tier = F.when(F.col("rank") < 2, "SameFile").when(F.col("rank") < 6, "ImportScoped").otherwise("Global")
+    sole = (F.col("rank") < 6) | (F.coalesce("n6", "n7") == 1)
+    out = best.filter(sole).select("ref_index", F.col("id").alias("target_symbol_id"), tier.alias("resolution_tier"))
     return out.withColumn("confidence_millis", F.create_map(*[v for t, c in M.TIER_CONFIDENCE.items() for v in (F.lit(t), F.lit(c))])[F.col("resolution_tier")])
 
 
