@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom import model as M
@@ -52,13 +52,19 @@ def candidates(refs: DataFrame, symbols: DataFrame, imports: DataFrame, imported
 
 def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame, imported_files: DataFrame) -> DataFrame:
     """(ref_index, target_symbol_id, resolution_tier, confidence_millis, reason): the best tier; parameter counts narrow where any fits; the first symbol, but of the whole repository only a single one."""
-    found = tiers.best_rows(refs, symbols, imports, imported_files)
-    # Rows that repeat a number are one reference.
-    global_ = [F.sum(F.when(F.col("rank") == k, F.col("n"))).alias(f"n{k}") for k in (6, 7)]
-    best = found.groupBy("ref_index").agg(F.min(F.struct("rank", "symbol_index", "id")).alias("b"), *global_).select("ref_index", "b.*", "n6", "n7")
+    return chosen(tiers.best_rows(refs, symbols, imports, imported_files))
+
+
+def chosen(found: DataFrame, *more: Column) -> DataFrame:
+    """(ref_index, rank, symbol_index, id, n) → what resolve says; rows that repeat a number are one reference. more: aggregates beside it."""
+    several = [F.sum(F.when(F.col("rank") == k, F.col("n"))).alias(f"n{k}") for k in (6, 7)]
+    first = F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "symbol_index", "id"))).alias("b")
+    grouped = found.groupBy("ref_index").agg(first, *several, *more)
+    kept = grouped.columns[4:]
+    best = grouped.filter("b is not null").select("ref_index", "b.*", "n6", "n7", *kept)
     tier = F.when(F.col("rank") < 2, "SameFile").when(F.col("rank") < 6, "ImportScoped").otherwise("Global")
     sole = (F.col("rank") < 6) | (F.coalesce("n6", "n7") == 1)
-    out = best.filter(sole).select("ref_index", F.col("id").alias("target_symbol_id"), tier.alias("resolution_tier"))
+    out = best.filter(sole).select("ref_index", F.col("id").alias("target_symbol_id"), tier.alias("resolution_tier"), *kept)
     return out.withColumn("confidence_millis", F.create_map(*[v for t, c in M.TIER_CONFIDENCE.items() for v in (F.lit(t), F.lit(c))])[F.col("resolution_tier")])
 
 

@@ -31,8 +31,21 @@ def grid(refs: int, imported: int, symbols: int, partitions: int) -> tuple[int,
     return max(-(-cells // lines), -(-imported // CELL_FACTS)), lines
 
 
+#: What a reference is asked for by.
+ASKED = ["file_path", "target_name", "arity"]
+
+
 def best_rows(refs: DataFrame, symbols: DataFrame, imports: DataFrame, imported_files: DataFrame) -> DataFrame:
     """(ref_index, rank: twice the tier, and one where no parameter count fits, symbol_index and id of the first candidate of that rank, n: how many there are): a row for each reference that means anything."""
+    return _best(refs, symbols, imports, imported_files, ["ref_index"])
+
+
+def best_asks(refs: DataFrame, symbols: DataFrame, imports: DataFrame, imported_files: DataFrame) -> DataFrame:
+    """The same for each file, name and number of arguments: file_path, target_name, arity, rank, symbol_index, id, n."""
+    return _best(refs, symbols, imports, imported_files, ASKED)
+
+
+def _best(refs: DataFrame, symbols: DataFrame, imports: DataFrame, imported_files: DataFrame, by: list[str]) -> DataFrame:
     spark = refs.sparkSession
     signature = ["total", "required"]
     s = symbols.select(F.col("symbol_index").cast("long").alias("symbol_index"), "id", F.col("file_path").alias("file"), "name", F.col("parameter_count").cast("int").alias("total"), F.col("required_parameter_count").cast("int").alias("required"))
@@ -41,7 +54,7 @@ def best_rows(refs: DataFrame, symbols: DataFrame, imports: DataFrame, imported_
     near = cut(imported_files.filter("file_path is not null and imported_path is not null").select(F.col("file_path").alias("file"), F.col("imported_path").alias("imported")).distinct())
     declared = imports.filter("file_path is not null and binding is not null").select(F.col("file_path").alias("file"), F.col("binding").alias("name"), F.col("qualified").alias("q")).distinct()
     through = declared.join(s.drop("file", "name"), F.col("q") == F.col("id"), "left").groupBy("file", "name", *signature).agg(F.count("id").alias("n"), F.min(F.when(F.col("id").isNotNull(), F.struct("symbol_index", "id"))).alias("f")).select("file", "name", *signature, "n", "f.*")
-    r = refs.filter("target_name is not null").select("ref_index", "file_path", "target_name", F.col("arity").cast("int").alias("arity"))
+    r = refs.filter("target_name is not null").withColumn("arity", F.col("arity").cast("int")).select(*dict.fromkeys([*by, *ASKED]))
     columns, lines = grid(r.count(), near.count(), named.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def cell(column, line):
@@ -60,9 +73,9 @@ def best_rows(refs: DataFrame, symbols: DataFrame, imports: DataFrame, imported_
         .unionByName(facts(through, DECLARED, cell(of("file", columns), of("name", lines))))
         .unionByName(facts(near.select("*", every(lines, "line")), IMPORTED, cell(of("file", columns), F.col("line"))))
     )
-    schema = StructType([StructField("ref_index", refs.schema["ref_index"].dataType), StructField("rank", LongType()), StructField("symbol_index", LongType()), StructField("id", StringType()), StructField("n", LongType())])
+    schema = StructType([*r.select(*by).schema.fields, StructField("rank", LongType()), StructField("symbol_index", LongType()), StructField("id", StringType()), StructField("n", LongType())])
     asking = r.select(cell(of("file_path", columns), of("target_name", lines)), "*")
-    return asking.groupBy("cell").cogroup(known.groupBy("cell")).applyInArrow(_best_of_cell, schema)
+    return asking.groupBy("cell").cogroup(known.groupBy("cell")).applyInArrow(lambda left, right: _best_of_cell(left, right, by), schema)
 
 
 def _codes(*columns: pa.ChunkedArray) -> tuple[list[np.ndarray], int]:
@@ -100,7 +113,7 @@ def _sums(keys: list[np.ndarray], n: np.ndarray, order: np.ndarray) -> tuple[lis
     return [k[starts] for k in keys], np.add.reduceat(n[by], starts), np.minimum.reduceat(order[by], starts)
 
 
-def _best_of_cell(refs: pa.Table, facts: pa.Table) -> pa.Table:
+def _best_of_cell(refs: pa.Table, facts: pa.Table, by: list[str]) -> pa.Table:
     (rf, ff, fi), _ = _codes(refs["file_path"], facts["file"], facts["imported"])
     (rn, fn), names = _codes(refs["target_name"], facts["name"])
     null = np.iinfo(np.int32).min
@@ -111,7 +124,7 @@ def _best_of_cell(refs: pa.Table, facts: pa.Table) -> pa.Table:
 
     # Equal references of a file are asked for once.
     arities, ra = np.unique(_ints(refs["arity"], null), return_inverse=True)
-    asked, back = np.unique((rf * names + rn) * len(arities) + ra, return_inverse=True)
+    asked, one, back = np.unique((rf * names + rn) * len(arities) + ra, return_index=True, return_inverse=True)
     arity, pair = arities[asked % len(arities)], asked // len(arities)
     file, name = pair // names, pair % names
     rank, best, count = np.full(len(asked), -1), np.full(len(asked), LAST), np.zeros(len(asked), np.int64)
@@ -168,7 +181,7 @@ def _best_of_cell(refs: pa.Table, facts: pa.Table) -> pa.Table:
     who = np.flatnonzero((rank < 0) & ~stops)
     meet(3, who, *ranges(kn, name[who]), (kt, kr, n3, o3))
 
-    found = np.flatnonzero(rank[back] >= 0)
-    mine = back[found]
+    mine = np.flatnonzero(rank >= 0) if by == ASKED else back[rank[back] >= 0]
+    whose = refs.select(by).take(pa.array(one[mine] if by == ASKED else np.flatnonzero(rank[back] >= 0)))
     first = facts.select(["symbol_index", "id"]).take(pa.array(row_of[best[mine]]))
-    return pa.table({"ref_index": refs["ref_index"].take(pa.array(found)), "rank": pa.array(rank[mine]), "symbol_index": first["symbol_index"], "id": first["id"], "n": pa.array(count[mine])})
+    return pa.table({**{c: whose[c] for c in by}, "rank": pa.array(rank[mine]), "symbol_index": first["symbol_index"], "id": first["id"], "n": pa.array(count[mine])})

@@ -75,3 +75,18 @@ def test_zone_support_paths_turn_round(spark):
     rows = [("a/x", "b/y", "Call", 900, "Structural"), ("b/y", "b/z", "Import", 900, "Structural"), ("b/z", "b/w", "Import", 900, "Structural"), ("b/z", "b/v", "Import", 900, "Structural")]
     edges = spark.createDataFrame(rows, "source_file_path string, target_file_path string, relation_kind string, confidence_millis int, layer string")
     assert [(x.source_zone, x.target_zone, x.reversed, x.path, x.relations) for x in graph.zone_support_paths(edges).collect()] == [("a", "b", False, ["a/x", "b/y", "b/z"], ["Call", "Import"])]
+
+
+def test_state_has_a_row_for_each_name_of_a_file(spark):
+    """However often a file refers to a name; a number that a kept and a changed file share is told of both."""
+    from codeloom.sources import sinks
+
+    graph.cut(spark.range(1))
+    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/state-{uuid.uuid4().hex}"
+    symbols = [(1, "s1", "a.py", "x", None, None)]
+    refs = [(k, f, "x", None) for f, low in (("a.py", 0), ("c.py", 49)) for k in range(low, low + 50)]
+    incremental.resolve_incrementally(*tables(spark, refs, symbols), root)
+    assert sinks.current(spark, root)["best"].count() == 2
+    found, _ = incremental.resolve_incrementally(*tables(spark, [*refs, (99, "c.py", "y", None)], symbols), root)
+    rows = sorted((x.ref_index, x.target_symbol_id, x.resolution_tier, x.reused) for x in found.collect())
+    assert rows == sorted([*((k, "s1", "SameFile", True) for k in range(50)), (49, "s1", "SameFile", False), *((k, "s1", "ImportScoped", False) for k in range(50, 99))])
