@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,23 +116,52 @@ def snake(name: Column, upper: bool = False) -> Column:
     return F.upper(out) if upper else F.lower(out)
 
 
+#: How edges of a pair and reason are merged, and how many a task merges at once.
+MERGED = {"n": "sum", "at": "min", "line": "min", "c": "max", "s": "max", "t": "max", "o1": "min", "o2": "max"}
+MERGED_AT_ONCE = 200_000
+
+
+def _merged(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal keys merged within some batches of a task."""
+
+    def merged() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        got = table.group_by(keys, use_threads=False).aggregate(list(MERGED.items()))
+        columns = {c: got[f"{c}_{MERGED[c]}" if c in MERGED else c] for c in table.column_names}
+        yield from pa.table(columns).cast(table.schema).to_batches()
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= MERGED_AT_ONCE:
+            yield from merged()
+            held, rows = [], 0
+    if rows:
+        yield from merged()
+
+
 def dependency_rollup(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges per (from, to, type, kinds, layer): counts, the least line, the best confidence, strength and tier, reasons, origin.
 
-    Two levels: distinct reasons are folded first, so a pair with very many edges is merged map-side and its list is short.
+    Each task merges its edges of a pair and reason before they are dealt out by pair, once: so a pair with very many edges makes few rows, and distinct
+    reasons are folded where they lie, so that its list is short.
     """
     e = with_export_ids(edges, symbols)
-    keys = ["from", "to", "type", "reference_kind", "relation_kind", "layer"]
-    e = e.withColumns({"reference_kind": snake(F.col("kind")), "relation_kind": F.lower("type"), "layer": snake(F.col("layer"))})
-    once = e.groupBy(*keys, "reason").agg(
-        F.count(F.lit(1)).alias("n"), F.min("edge_index").alias("at"), F.min("line").alias("line"), F.max("confidence_millis").alias("c"),
-        F.max(M.rank("strength", M.STRENGTHS)).alias("s"), F.max(M.rank("resolution_tier", M.TIERS)).alias("t"), F.min("origin").alias("o1"), F.max("origin").alias("o2"),
+    keys = ["from", "to", "type", "reference_kind", "layer"]
+    e = e.select(
+        "from", "to", "type", snake(F.col("kind")).alias("reference_kind"), snake(F.col("layer")).alias("layer"), "reason", F.lit(1).cast("long").alias("n"), F.col("edge_index").alias("at"), "line", F.col("confidence_millis").alias("c"),
+        M.rank("strength", M.STRENGTHS).alias("s"), M.rank("resolution_tier", M.TIERS).alias("t"), F.col("origin").alias("o1"), F.col("origin").alias("o2"),
     )
+    dealt = e.mapInArrow(lambda batches: _merged(batches, [*keys, "reason"]), e.schema).repartition(*keys)
+    once = dealt.groupBy(*keys, "reason").agg(*[getattr(F, how)(c).alias(c) for c, how in MERGED.items()])
     fold = F.aggregate(
         F.array_sort(F.collect_list(F.struct("at", "reason"))), F.lit(None).cast("string"),
         lambda acc, x: F.when(acc.isNull(), x["reason"]).when(F.contains(acc, x["reason"]), acc).otherwise(F.concat(acc, F.lit(" | "), x["reason"])),
     )
     out = once.groupBy(*keys).agg(F.sum("n").alias("occurrence_count"), F.min("line").alias("line"), F.max("c").alias("confidence_millis"), F.max("s").alias("s"), F.max("t").alias("t"), F.min("o1").alias("o1"), F.max("o2").alias("o2"), fold.alias("reason"))
+    out = out.select("from", "to", "type", "reference_kind", F.lower("type").alias("relation_kind"), "layer", *out.columns[5:])
+    keys = out.columns[:6]
     return out.select(
         *keys, snake(M.named(F.col("s"), M.STRENGTHS)).alias("strength"), F.when(F.col("o1") == F.col("o2"), F.lower("o1")).otherwise("mixed").alias("origin"),
         snake(M.named(F.col("t"), M.TIERS)).alias("resolution_tier"), "confidence_millis", "reason", "line", "occurrence_count",
