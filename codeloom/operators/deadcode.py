@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import expr as E
+from codeloom.operators.graph import put_by
 
 #: Names that a runtime calls by itself.
 MAGIC_NAMES = ["main", "setUp", "tearDown", "boot", "register", "handle", "initialize"]
@@ -66,6 +67,10 @@ QUOTED_CLASS = r"""['"]([A-Z][A-Za-z0-9]+)['"]"""
 JOINED_CLASS = r"""\.\s*(?:\w+\s*\([^)]*\)\s*\.\s*)?['"]([A-Z][A-Za-z0-9]+)['"]"""
 
 
+def _nothing() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
@@ -73,8 +78,9 @@ def _all(text: Column, pattern: str) -> Column:
 def built_class_suffixes(text: Column) -> Column:
     """Ends of class names that a source joins to a variable and looks up, as an array."""
     by_call = F.flatten(F.transform(F.filter(_all(text, LOOKUP_ARGUMENTS), lambda a: a.contains("$") & a.contains(".")), lambda a: _all(a, QUOTED_CLASS)))
-    by_variable = F.when(text.rlike(LOOKUP_CALL + r"\s*\$"), _all(text, JOINED_CLASS)).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.concat(by_call, by_variable), lambda s: F.length(s) >= 4)
+    by_variable = F.when(text.rlike(LOOKUP_CALL + r"\s*\$"), _all(text, JOINED_CLASS)).otherwise(_nothing())
+    found = F.filter(F.concat(by_call, by_variable), lambda s: F.length(s) >= 4)
+    return F.when(text.contains("(") & text.contains("$") & text.contains("."), found).otherwise(_nothing())
 
 
 def _told(kind: str, values: Column) -> Column:
@@ -103,16 +109,20 @@ def orphan_backend_modules(sources: DataFrame, symbols: DataFrame, edges: DataFr
     never found. Null texts count as empty, a repeated path as one file.
 
     All texts are read once for the three channels that look into them; a row for each distinct hint, with the least and the greatest file that has it, is all
-    that meets the candidates, so a hint that every file has costs no more than another.
+    that meets the candidates, so a hint that every file has costs no more than another. Texts are dealt out by file before they are searched, and paths are
+    kept, for tables of short rows are read by few tasks.
     """
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     path = F.col("path")
-    s = sources.select(F.col("file_path").alias("path"), F.coalesce("text", F.lit("")).alias("text")).filter(~E.is_test_path("path"))
+    texts = sources.select(F.col("file_path").alias("path"), F.coalesce("text", F.lit("")).alias("text")).repartition(n, "path")
+    s = put_by(sources.select(F.col("file_path").alias("path")).distinct()).filter(~E.is_test_path("path"))
     text = F.col("text")
     # An identifier is a run of ASCII word characters; names with other letters go by runs that hold those too.
-    words = F.array_union(_all(text, "([A-Za-z0-9_]+)"), F.filter(_all(text, r"([A-Za-z0-9_\x{80}-\x{10FFFF}]+)"), lambda w: ~w.rlike("^[A-Za-z0-9_]+$")))
-    tails = F.transform(_all(text, QUOTED_PATH), lambda p: F.lower(E.file_name(F.rtrim(p, F.lit("/")))))
+    words = F.array_union(_all(text, "([A-Za-z0-9_]+)"), F.when(F.octet_length(text) == F.length(text), _nothing()).otherwise(F.filter(_all(text, r"([A-Za-z0-9_\x{80}-\x{10FFFF}]+)"), lambda w: ~w.rlike("^[A-Za-z0-9_]+$"))))
+    tails = F.when(text.contains("/"), F.transform(_all(text, QUOTED_PATH), lambda p: F.lower(E.file_name(F.rtrim(p, F.lit("/")))))).otherwise(_nothing())
     seen = F.concat(_told("word", words), _told("built", built_class_suffixes(text)))
-    told = s.select("path", F.lit(False).alias("beyond"), F.explode(F.array_distinct(F.concat(seen, _told("tail", tails)))).alias("h"))
+    # As a condition of the hints and not of the texts, tests are left out after the dealing.
+    told = texts.select("path", F.lit(False).alias("beyond"), F.explode(F.when(~E.is_test_path("path"), F.array_distinct(F.concat(seen, _told("tail", tails))))).alias("h"))
     if outside is not None:
         told = told.unionByName(outside.select(F.coalesce("text", F.lit("")).alias("text")).select(F.lit(None).cast("string").alias("path"), F.lit(True).alias("beyond"), F.explode(F.array_distinct(seen)).alias("h")))
     hints = told.groupBy("h.channel", "h.value").agg(F.min("path").alias("low"), F.max("path").alias("high"), F.bool_or("beyond").alias("beyond"))

@@ -73,3 +73,13 @@ def test_part_of_the_analysis(spark):
     done = analyze(spark.createDataFrame(list(kept.items()), "file_path string, text string"))
     assert {(r.path, r.value) for r in done.findings.filter("category = 'OrphanModule'").collect()} >= {("app/Services/DeadService.php", "DeadService")}
     assert not done.findings.filter("category = 'OrphanModule' and value = 'StringWired'").count()
+
+
+def test_texts_are_dealt_out_before_they_are_searched(spark):
+    sources = spark.createDataFrame([("a/X.php", "class Lonely {}"), ("a/Y.php", "")], "file_path string, text string").coalesce(1)
+    symbols = spark.createDataFrame([("a/X.php", "Class", "Lonely", None)], "file_path string, kind string, name string, parent_symbol_id string")
+    got = deadcode.orphan_backend_modules(sources, symbols, spark.createDataFrame([], "source_file_path string, target_file_path string"))
+    assert [r.path for r in got.collect()] == ["a/X.php"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    searched, _, read = plan.partition("RepartitionByExpression")
+    assert "regexp_extract_all" in searched and read and "regexp_extract_all" not in read.split("Join")[0]
