@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 
 from codeloom import model as M
@@ -167,6 +168,25 @@ def test_betweenness_by_blocks(spark, monkeypatch):
     assert not [x for x in os.listdir(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")) if x.startswith("block-")]
 
 
+def test_betweenness_goes_by_what_sources_reach(monkeypatch):
+    """Sources go together in blocks, none over a graph that it isn't connected with: each took time by all files before."""
+    pairs = [(f"{k}/{a}", f"{k}/{b}") for k in range(30) for a, b in random_graph(k % 3)]
+    names = sorted({x for p in pairs for x in p})
+    place = {x: i for i, x in enumerate(names)}
+    src, dst = (np.array([place[p[k]] for p in pairs], np.int32) for k in (0, 1))
+    sizes, real = [], gr._block_shares
+    monkeypatch.setattr(gr, "_block_shares", lambda roots, a, b, n: sizes.append((len(roots), n)) or real(roots, a, b, n))
+    once = gr._shares(src, dst, len(names), 0, 1)
+    assert max(n for _, n in sizes) <= max(len({x for p in random_graph(k) for x in p}) for k in range(3))
+    assert max(b for b, _ in sizes) > 1
+    monkeypatch.setattr(gr, "TOGETHER", 3), monkeypatch.setattr(gr, "PIECE", 2)
+    assert np.allclose(once, sum(gr._shares(src, dst, len(names), k, 4) for k in range(4)))
+    for k in range(3):  # each copy as by itself
+        alone = [i for i, x in enumerate(names) if x.startswith(f"{k}/")]
+        again = [i for i, x in enumerate(names) if x.startswith(f"{k + 3}/")]
+        assert np.allclose(once[alone], once[again]) and once[alone].any()
+
+
 def test_traces(spark):
     e = edges(spark, edge("a", "b", "Call"), edge("b", "d", "Call"), edge("a", "c"), edge("c", "d"), edge("a", "x"))
     assert [r.path for r in gr.traces(e, "a", "d", k=2).collect()] == [["a", "b", "d"], ["a", "c", "d"]]
