@@ -27,6 +27,11 @@ OWN_TYPES = ["self", "static", "this", "$this", "Self"]
 LANGUAGES = ["JavaScript", "TypeScript", "Python", "Php", "Rust"]
 
 
+def _spread(x: DataFrame) -> DataFrame:
+    """For joins: facts made in Python are taken for as small as the table that their sources come from, and would go through the driver to all tasks."""
+    return x.hint("merge")
+
+
 def leaf(name: Column) -> Column:
     return F.element_at(F.split(name, r"\\|::|\."), -1)
 
@@ -74,7 +79,7 @@ def substituted(found: DataFrame) -> DataFrame:
     sets = all_.filter("sets").select(F.lit(None).cast("long").alias("id"), "file_path", "name", F.lit(None).cast("int").alias("far"), F.col("scopes")[0].alias("scope"), "start", F.col("id").alias("set"), F.col("start").alias("at"))
     before = Window.partitionBy("file_path", "name", "scope").orderBy("start", F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     last = uses.unionByName(sets).withColumn("last", F.last(F.when(F.col("set").isNotNull(), F.struct("set", "at")), ignorenulls=True).over(before)).filter("id is not null and last.at < start")
-    pointed = cut(all_.join(last.groupBy("id").agg(F.min_by("last.set", "far").alias("next")), "id", "left").select("id", "sets", "file_path", F.col("first").alias("name"), "rest", "detail", "next"))
+    pointed = cut(all_.join(_spread(last.groupBy("id").agg(F.min_by("last.set", "far").alias("next"))), "id", "left").select("id", "sets", "file_path", F.col("first").alias("name"), "rest", "detail", "next"))
     known = pointed.filter("sets").select("id", "name", "rest", "detail", "next")
     while not known.filter("next is not null").isEmpty():
         known = cut(_followed(known, known))
@@ -87,7 +92,7 @@ def _followed(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Rows with what they point at in the place of themselves."""
     n = known.select(F.col("id").alias("next"), F.struct("name", "rest", "detail", "next").alias("n"))
     kept = [c for c in rows.columns if c not in ("name", "rest", "detail", "next")]
-    met, there = rows.join(n, "next", "left"), F.col("n").isNotNull()
+    met, there = rows.join(_spread(n), "next", "left"), F.col("n").isNotNull()
     # A typed variable has no steps of its own.
     more = F.concat(F.coalesce("n.rest", F.array().cast("array<string>")), F.coalesce("rest", F.array().cast("array<string>")))
     return met.select(*kept, F.when(there, F.col("n.name")).otherwise(F.col("name")).alias("name"), more.alias("rest"), F.when(there, F.col("n.detail")).otherwise(F.col("detail")).alias("detail"), F.col("n.next").alias("next"))
@@ -102,7 +107,7 @@ def imports_of(found: DataFrame, files: DataFrame) -> DataFrame:
     """Named imports: file_path, binding, exported, module, imported_path."""
     i = found.filter("tag = 'import'").select("file_path", "language", F.col("name").alias("binding"), F.col("owner").alias("exported"), F.col("detail").alias("target"))
     reached = resolution.import_targets(i.select("file_path", "language", "target").distinct(), files)
-    return i.join(reached, ["file_path", "target"], "left").withColumnRenamed("target", "module")
+    return i.join(_spread(reached), ["file_path", "target"], "left").withColumnRenamed("target", "module")
 
 
 def visible(symbols: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,11 +119,11 @@ def visible(symbols: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFram
     same = s.select("file_path", F.col("name").alias("short"), F.lit(0).alias("rank"), what)
     wanted = F.when(F.col("exported") == "default", F.col("binding")).otherwise(F.col("exported"))
     i = imports.select("file_path", F.col("binding").alias("short"), wanted.alias("sn"), F.col("imported_path").alias("sf"), "module")
-    named = i.join(top, ["sf", "sn"]).select("file_path", "short", F.lit(1).alias("rank"), "s")
+    named = i.join(_spread(top), ["sf", "sn"]).select("file_path", "short", F.lit(1).alias("rank"), "s")
     classes = s.filter("kind = 'class' and detail like '%\\\\\\\\%'").select(F.col("detail").alias("module"), what)
-    spaced = i.join(classes, "module").select("file_path", "short", F.lit(1).alias("rank"), "s")
+    spaced = i.join(_spread(classes), "module").select("file_path", "short", F.lit(1).alias("rank"), "s")
     nowhere = i.select("file_path", "short", F.lit(2).alias("rank"), F.lit(None).cast(top.schema["s"].dataType).alias("s"))
-    near = i.filter("sf is not null").select("file_path", "sf").distinct().join(top, "sf").select("file_path", F.col("sn").alias("short"), F.lit(3).alias("rank"), "s")
+    near = i.filter("sf is not null").select("file_path", "sf").distinct().join(_spread(top), "sf").select("file_path", F.col("sn").alias("short"), F.lit(3).alias("rank"), "s")
     every = same.unionByName(named).unionByName(spaced).unionByName(nowhere).unionByName(near).distinct()
     best = Window.partitionBy("file_path", "short")
     here = every.withColumn("least", F.min("rank").over(best)).filter("rank = least").select("file_path", "short", F.lit(True).alias("here"), "s")
@@ -130,7 +135,7 @@ def visible(symbols: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFram
 def members_of(symbols: DataFrame, lineage: DataFrame | None) -> DataFrame:
     """(sid of a class, member, mf, mo, leads, own, line): its methods, or those of the nearest ancestor."""
     m = symbols.filter("kind = 'fn' and owner is not null").select(F.col("file_path").alias("mf"), F.col("owner").alias("mo"), F.col("name").alias("member"), "leads", F.coalesce(F.col("detail").isin(OWN_TYPES), F.lit(False)).alias("own"), "line")
-    every = _with_ancestors(symbols, lineage).join(m, ["mf", "mo"])
+    every = _with_ancestors(symbols, lineage).join(_spread(m), ["mf", "mo"])
     least = Window.partitionBy("sid", "member").orderBy("depth", "mf", "line")
     return cut(every.withColumn("n", F.row_number().over(least)).filter("n = 1").drop("n", "depth"))
 
@@ -141,14 +146,14 @@ def closed(states: DataFrame, here: DataFrame, anywhere: DataFrame, members: Dat
     key, results = ["root", "file_path", "name", "rest"], []
     while True:
         asked = front.withColumns({"short": leaf(F.col("name")), "key": F.when(F.col("name").contains("\\"), F.col("name")).otherwise(leaf(F.col("name"))), "lang": E.language("file_path")})
-        met = asked.join(here, ["file_path", "short"], "left").join(anywhere.withColumnRenamed("s", "a"), ["key", "lang"], "left")
+        met = asked.join(_spread(here), ["file_path", "short"], "left").join(_spread(anywhere.withColumnRenamed("s", "a")), ["key", "lang"], "left")
         met = cut(met.select("root", "rest", F.when(F.col("here"), F.col("s")).otherwise(F.col("a")).alias("s")).filter("s is not null").select("root", "rest", "s.*"))
         results.append(met.filter("kind = 'class' and size(rest) = 0").select("root", "sid"))
         left = met.filter("kind = 'class' and size(rest) > 0").select("root", "sid", "sf", "sn", F.col("rest")[0].alias("member"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest"))
-        stepped = left.join(members, ["sid", "member"])
+        stepped = left.join(_spread(members), ["sid", "member"])
         place = F.when(F.col("own"), F.struct(F.col("sf").alias("file_path"), F.array("sn").alias("names"))).otherwise(F.struct(F.col("mf").alias("file_path"), F.col("leads").alias("names")))
         after = stepped.select("root", place.alias("p"), "rest").unionByName(met.filter("kind = 'fn'").select("root", F.struct(F.col("sf").alias("file_path"), F.col("leads").alias("names")).alias("p"), "rest"))
-        front = cut(after.select("root", "p.file_path", F.explode("p.names").alias("name"), "rest").distinct().join(seen, key, "left_anti").select(*key))
+        front = cut(after.select("root", "p.file_path", F.explode("p.names").alias("name"), "rest").distinct().join(_spread(seen), key, "left_anti").select(*key))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -164,7 +169,7 @@ def _with_ancestors(symbols: DataFrame, lineage: DataFrame | None) -> DataFrame:
     own = c.withColumn("depth", F.lit(0))
     if lineage is None:
         return own
-    return own.unionByName(lineage.select(F.col("child").alias("sid"), F.col("ancestor"), "depth").join(c.withColumnRenamed("sid", "ancestor"), "ancestor").select("sid", "mf", "mo", "depth"))
+    return own.unionByName(lineage.select(F.col("child").alias("sid"), F.col("ancestor"), "depth").join(_spread(c.withColumnRenamed("sid", "ancestor")), "ancestor").select("sid", "mf", "mo", "depth"))
 
 
 def member_calls(sources: DataFrame, files: DataFrame, lineage: DataFrame | None = None) -> DataFrame:
@@ -176,7 +181,7 @@ def member_calls(sources: DataFrame, files: DataFrame, lineage: DataFrame | None
     sites = cut(substituted(found).withColumn("root", F.xxhash64("file_path", "name", "rest")))
     types = closed(sites.select("root", "file_path", "name", "rest").distinct(), here, anywhere, members)
     calls = found.filter("tag = 'call'").select(F.xxhash64("file_path", "start", "name").alias("site"), "file_path", "line", F.col("name").alias("member"), "start")
-    hit = calls.join(sites.select("site", "root").distinct(), "site").join(types, "root").join(members.withColumnRenamed("line", "target_line"), ["sid", "member"])
+    hit = calls.join(_spread(sites.select("site", "root").distinct()), "site").join(_spread(types), "root").join(_spread(members.withColumnRenamed("line", "target_line")), ["sid", "member"])
     best = hit.groupBy("site", "file_path", "line", "member", "start").agg(F.min(F.struct("mf", "target_line", "mo")).alias("b"))
     return best.select("file_path", "line", "member", "start", F.col("b.mf").alias("target_file_path"), F.col("b.mo").alias("target_owner"), F.col("b.target_line").alias("target_line"))
 
@@ -187,8 +192,8 @@ def class_lineage(sources: DataFrame, heritage: DataFrame) -> DataFrame:
     symbols = symbols_of(found)
     here, anywhere = visible(symbols, imports_of(found, sources.select(F.col("file_path").alias("path")).distinct()))
     asked = heritage.select("file_path", "parent").distinct().withColumns({"short": leaf(F.col("parent")), "key": F.when(F.col("parent").contains("\\"), F.col("parent")).otherwise(leaf(F.col("parent"))), "lang": E.language("file_path")})
-    met = asked.join(here, ["file_path", "short"], "left").join(anywhere.withColumnRenamed("s", "a"), ["key", "lang"], "left").withColumn("s", F.when(F.col("here"), F.col("s")).otherwise(F.col("a")))
+    met = asked.join(_spread(here), ["file_path", "short"], "left").join(_spread(anywhere.withColumnRenamed("s", "a")), ["key", "lang"], "left").withColumn("s", F.when(F.col("here"), F.col("s")).otherwise(F.col("a")))
     parents = met.filter("s.kind = 'class'").select("file_path", "parent", F.col("s.sid").alias("ancestor"))
     children = symbols.filter("kind = 'class'").select("file_path", F.col("name").alias("child"), F.col("sid"))
-    edges = heritage.join(parents, ["file_path", "parent"]).join(children, ["file_path", "child"]).select(F.col("sid").alias("child"), F.col("ancestor").alias("parent"), F.lit(0).alias("place"))
+    edges = heritage.join(_spread(parents), ["file_path", "parent"]).join(_spread(children), ["file_path", "child"]).select(F.col("sid").alias("child"), F.col("ancestor").alias("parent"), F.lit(0).alias("place"))
     return resolution.ancestors(edges).select("child", "ancestor", "depth")

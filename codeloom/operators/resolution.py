@@ -125,7 +125,8 @@ def joined(path):
 
 def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports → (file_path, target, imported_path): the first candidate that is a file."""
-    hit = import_candidates(imports).join(files.select(F.col("path").alias("candidate")), "candidate")
+    # As large as the repository, whatever it is estimated at: not through the driver.
+    hit = import_candidates(imports).join(files.select(F.col("path").alias("candidate")).hint("merge"), "candidate")
     return hit.groupBy("file_path", "target").agg(F.min_by("candidate", "place").alias("imported_path"))
 
 

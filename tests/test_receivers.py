@@ -99,3 +99,17 @@ def test_facts_come_once_from_several_tasks(spark):
     got = receivers.facts(twice).withColumn("task", F.spark_partition_id()).collect()
     assert len({r.task for r in got}) > 1
     assert len({repr(r[:-1]) for r in got}) == len(got) == 40 * len([r for r in got if r.file_path == "src/f9.ts"])
+
+
+def test_no_table_goes_through_the_driver(spark, monkeypatch, tmp_path):
+    """Facts are estimated by the few bytes of their sources, so all that was made of them was broadcast."""
+    plans, real = [], receivers.cut
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(receivers, "cut", lambda x: plans.append(plan(x)) or real(x))
+    sources = spark.createDataFrame([*TS.items(), ("src/a.ts", 'import { buildUser } from "./factory";\nconst u = buildUser();\nu.me().save();\n')], "file_path string, text string")
+    sources.write.parquet(f"{tmp_path}/sources")
+    sources = spark.read.parquet(f"{tmp_path}/sources")
+    found = receivers.member_calls(sources, sources.select(F.col("file_path").alias("path")))
+    plans.append(plan(found))
+    assert {(r.member, r.target_file_path) for r in found.collect()} == {("me", "src/models.ts"), ("save", "src/models.ts")}
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
