@@ -8,12 +8,13 @@ other files is guessed for it. Imports are left to the tiers. The rows of a use
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import expr as E
 from codeloom.functions import masks, scopes
-from codeloom.operators.graph import cut
+from codeloom.operators.graph import cut, dealt
 
 KEY = ["file_path", "scope", "name"]
 
@@ -54,6 +55,32 @@ def bound_uses(found: DataFrame) -> DataFrame:
     return out.select("file_path", "line", "name", "kind", "start", (F.row_number().over(place) - 1).alias("occurrence"), *targets)
 
 
+def meant_uses(sources: DataFrame) -> DataFrame:
+    """As bound_uses(facts(sources)), for callers that need no facts: what a name means lies in its file, so it is found where the file is parsed, and no facts are written or shuffled."""
+    schema = pa.schema([("file_path", pa.string()), ("line", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("occurrence", pa.int32()), ("target_name", pa.string()), ("target_line", pa.int32()), ("target_start", pa.int32()), ("target_kind", pa.string())])
+
+    def run(batches):
+        path, known = None, []  # a file's texts stand one after the other, over the ends of batches too
+
+        def columns(rows):
+            cols = zip(*rows) if rows else [[] for _ in schema]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+        for batch in batches:
+            rows = []
+            for p, t, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != path:
+                    rows += [(path, *r) for r in scopes.meant(known)]
+                    path, known = p, []
+                known += scopes.facts(masks.vue_script(t) if p.endswith(".vue") else t, x)
+            yield columns(rows)
+        yield columns([(path, *r) for r in scopes.meant(known)])
+
+    x = sources.select("file_path", "text", E.language("file_path").alias("language")).filter(F.col("language").isin(scopes.LANGUAGES) & F.col("text").isNotNull())
+    types = {"string": "string", "int32": "int"}
+    return dealt(x).mapInArrow(run, ", ".join(f"{f.name} {types[str(f.type)]}" for f in schema))
+
+
 def scoped_symbols(found: DataFrame) -> DataFrame:
     """Facts → symbols bound within a function or block: file_path, start_line, name. No other scope can mean them."""
     b = found.filter("tag = 'bind' and to_name is not null and scopes[0] <> 0")

@@ -158,6 +158,5 @@ BLOCKS = f"""SELECT CASE WHEN k % 2 = 0 THEN 'src/o' || CAST(k AS STRING) || '.j
 b AS (SELECT k, n AS scope, f AS v, unknown FROM l UNION ALL SELECT DISTINCT k, 0, 0, false FROM l), w AS (SELECT DISTINCT k, scope FROM u WHERE writes AND v = 0)
 SELECT 'src/o' || k || CASE WHEN k % 2 = 0 THEN '.js' ELSE '.ts' END AS file_path, n + 1 AS line, 'f' || v AS name, 0 AS occurrence, CASE WHEN unknown OR v = 0 AND (k, scope) IN (FROM w) THEN NULL ELSE scope + 1 END AS target_line FROM u JOIN b USING (k, scope, v)""")
 def _(s, d):
-    # As many tasks parse as the cluster shuffles to: small texts would be read by one.
-    x = frame(s, d, BLOCKS).withColumn("text", F.translate("text", "¦«»", "\n{}")).repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "file_path")
-    return bindings.bound_uses(bindings.facts(x, keep=False)).select("file_path", "line", "name", "occurrence", "target_line")
+    x = frame(s, d, BLOCKS).withColumn("text", F.translate("text", "¦«»", "\n{}"))
+    return bindings.meant_uses(x).select("file_path", "line", "name", "occurrence", "target_line")

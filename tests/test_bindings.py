@@ -151,3 +151,19 @@ def test_uses_are_spread_once(spark):
     assert plan.count("Exchange ") == 1 and "MapInPandas" in plan
     kept = bindings.bound_uses(bindings.facts(x))
     assert sorted(map(str, uses.collect())) == sorted(map(str, kept.collect())) and uses.count() >= 5
+
+
+def test_meant_where_parsed(spark):
+    """Uses that are bound where their file is parsed are those of the rows of facts, also for a path with two texts, and nothing is shuffled behind the parser."""
+    python = "import os\ndef f(a):\n    def g(): return a()\n    g(); f(g); os()\n    global h\n    h = g\nclass C:\n    def m(self): return C()\nh()\n"
+    files = [("src/a.ts", ARROWS), ("src/a.ts", BLOCKS), ("src/b.js", BLOCKS), ("src/c.ts", CLASSES), ("src/d.py", python), ("src/e.ts", ""), ("src/f.ts", None), (None, BLOCKS), ("src/g.md", BLOCKS), ("src/h.vue", f"<script>{ARROWS}</script>"), ("src/i.py", "def")]
+    x = spark.createDataFrame([*files, *[(f"src/n{i}.ts", BLOCKS + "f0();" * i) for i in range(20)]], "file_path string, text string")
+    want = bindings.bound_uses(bindings.facts(x))
+    got = bindings.meant_uses(x)
+    assert got.columns == want.select(*got.columns).columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
+    assert got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0].count("Exchange") == 0
+    from codeloom.plans import source_queries
+
+    text = source_queries.Q["lexical_bindings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "Exchange" not in text.split("MapInArrow")[0]
