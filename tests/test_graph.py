@@ -132,6 +132,27 @@ def test_components_behind_each_other(spark, monkeypatch, local):
     assert len(cuts) < 80
 
 
+def test_cycle_classes_read_edges_once(spark, tmp_path):
+    """What lies within components goes three ways; each read all edges anew before."""
+    edges(spark, *[edge(f"m/{a}", f"m/{b}") for a, b in random_graph(5)]).write.parquet(f"{tmp_path}/e")
+    e = spark.read.parquet(f"{tmp_path}/e")
+    found = gr.strong_components(gr.file_graph(e)[1])
+    out = gr.cycle_classes(e, gr.cut(found))
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.component, r["size"]) for r in out.collect()} == {(r.component, r["size"]) for r in found.collect()}
+
+
+def test_links_keep_apart_paths_of_one_hash(spark, monkeypatch):
+    links = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(gr.F, "xxhash64", lambda *_: gr.F.lit(1).cast("long"))
+        names, ids = gr._hashed(nodes, links)
+        path = {r.id: r.path for r in names.collect()}
+        assert len(path) == 3 and {(path[r.s], path[r.d]) for r in ids.collect()} == {("a", "b"), ("b", "c")}
+
+
 def test_witness_is_that_of_a_queue(spark):
     pairs = random_graph(3)
     links = spark.createDataFrame(pairs, "src string, dst string")
